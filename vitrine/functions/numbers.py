@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A plain cast would also take '1d', '1f' and hexadecimal floats, so the text is checked first.
+# A plain cast to double would also take '1d', '1f' and hexadecimal floats. Text that reads as a
+# decimal is none of these; only what is left over is looked at with the slower patterns.
+_PLAIN = "decimal(38,10)"
 _FINITE = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
 _INFINITE = r"^\s*[+-]?(?i:inf(?:inity)?)\s*$"
 # Sums of money and stock are taken in decimal, so they do not depend on row order.
@@ -15,9 +17,12 @@ _EXACT = "decimal(28,6)"
 def to_number(text: Column) -> Column:
     """Text to double; what is no number, NaN or too large becomes NULL."""
     number = text.try_cast("double")
-    return F.when(
-        text.rlike(_FINITE), F.when(F.abs(number) < F.lit(float("inf")), number)
-    ).when(text.rlike(_INFINITE), number)
+    finite = F.when(F.abs(number) < F.lit(float("inf")), number)
+    return (
+        F.when(text.try_cast(_PLAIN).isNotNull(), number)
+        .when(text.rlike(_FINITE), finite)
+        .when(text.rlike(_INFINITE), number)
+    )
 
 
 def to_number_strict(text: Column) -> Column:

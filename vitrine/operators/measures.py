@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions.numbers import exact_sum, percent
-from vitrine.operators.filters import on_day
+from vitrine.operators.filters import drop_missing, on_day
 from vitrine.operators.panel import is_movement, is_sale, step_revenue_doubled
 
 
@@ -26,7 +26,7 @@ def count_distinct_by(
     Keys and things that are NULL are not counted. A key without any hit has 0.
     """
     hit = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
-    pairs = rows.dropna(subset=list(keys)).groupBy(*keys, thing).agg(F.bool_or(hit).alias("_hit"))
+    pairs = drop_missing(rows, *keys).groupBy(*keys, thing).agg(F.bool_or(hit).alias("_hit"))
     return pairs.groupBy(*keys).agg(
         F.count_if(F.col("_hit") & F.col(thing).isNotNull()).alias(new)
     )
@@ -34,7 +34,7 @@ def count_distinct_by(
 
 def any_by(rows: DataFrame, keys: Sequence[str], flag: Column, new: str) -> DataFrame:
     """Whether any row of the group has the flag. Groups with a NULL key are left out."""
-    return rows.dropna(subset=list(keys)).groupBy(*keys).agg(
+    return drop_missing(rows, *keys).groupBy(*keys).agg(
         F.bool_or(F.coalesce(flag, F.lit(False))).alias(new)
     )
 
@@ -96,7 +96,7 @@ def stock_flow_by(
         return exact_sum(F.col(name) * weight)
 
     return (
-        listings.dropna(subset=list(keys))
+        drop_missing(listings, *keys)
         .groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("total_products"),

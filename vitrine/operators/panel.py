@@ -71,10 +71,6 @@ def with_previous(
     return rows.drop(_CARRY, _HAS_PREVIOUS)
 
 
-def without_null_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return rows.dropna(subset=list(keys))
-
-
 def _last_of_slice_before(
     slices: Slices,
     history: DataFrame,

@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.numbers import exact
+from vitrine.operators.filters import drop_missing
 
-# Cells per doubling of the value. A price range of ten millions to one has some
-# hundred thousand cells, so a cell holds a tiny part of even the largest group.
-_CELLS_PER_OCTAVE = 4096
+# Cells per doubling of the value: prices between a cent and ten million fall into some eight
+# thousand cells, so a cell holds a tiny part of even the largest group.
+_CELLS_PER_OCTAVE = 256
 _CELL_LIMIT = _CELLS_PER_OCTAVE * 1100
 
 
@@ -26,7 +27,7 @@ def value_counts(
 ) -> DataFrame:
     """Rows per (key, value). Groups with a NULL key are left out."""
     count = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    return rows.dropna(subset=list(keys)).groupBy(*keys, value).agg(count.alias("_n"))
+    return drop_missing(rows, *keys).groupBy(*keys, value).agg(count.alias("_n"))
 
 
 def _cell(value: Column) -> Column:
@@ -37,9 +38,8 @@ def _cell(value: Column) -> Column:
         return F.floor(scaled) + 2 * _CELL_LIMIT
 
     number = value.cast("double")
-    return F.when(number > 0, depth(number)).when(number < 0, -depth(-number)).otherwise(
-        F.when(number == 0, F.lit(0).cast("long"))
-    )
+    cell = F.when(number > 0, depth(number)).when(number < 0, -depth(-number))
+    return F.coalesce(cell, F.lit(0).cast("long"))
 
 
 def price_stats(
@@ -54,64 +54,55 @@ def price_stats(
     A group whose values are all NULL is reported with NULL statistics.
     """
     low, high, mean, median = names
-    number = F.col(value).cast("double")
-    counts = value_counts(rows, keys, value, weight).withColumn("_cell", _cell(F.col(value)))
-    cells = counts.groupBy(*keys, "_cell").agg(
-        F.sum("_n").alias("_n"),
-        F.min(value).alias("_low"),
-        F.max(value).alias("_high"),
-        F.sum(exact(number) * F.col("_n")).alias("_sum"),
-        F.sum(number * F.col("_n")).alias("_rough_sum"),
-        F.count_if(number.isNotNull() & exact(number).isNull()).alias("_too_large"),
+    counts = value_counts(rows, keys, value, weight)
+    totals = counts.groupBy(*keys).agg(
+        F.min(value).alias(low),
+        F.max(value).alias(high),
+        _mean(F.col(value).cast("double"), F.col("_n")).alias(mean),
     )
-    # A bounded group: the cells of one key. Rows of a NULL value are in the NULL cell, which
-    # sorts first and must not move the ranks.
-    filled = F.when(F.col("_cell").isNotNull(), F.col("_n")).otherwise(0)
+    return totals.join(_medians(counts, keys, value, median), list(keys), "left")
+
+
+def _mean(number: Column, times: Column) -> Column:
+    """Mean of weighted numbers; the sum is exact unless a number is infinite or giant."""
+    known = number.isNotNull()
+    too_large = F.count_if(known & exact(number).isNull())
+    total = F.when(too_large == 0, F.sum(exact(number) * times).cast("double"))
+    total = total.otherwise(F.sum(number * times))
+    return F.try_divide(total, F.sum(F.when(known, times)).cast("double"))
+
+
+def _medians(counts: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    # NULL values stay in with a count of 0. A filter here would reach the scan below, and the
+    # counts would be computed again instead of shared with the totals.
+    known = F.when(F.col(value).isNotNull(), F.col("_n")).otherwise(0)
+    placed = counts.withColumns({"_known": known, "_cell": _cell(F.col(value))})
+    # A bounded group: the cells of one key.
     whole = Window.partitionBy(*keys)
     up_to_here = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.when(
-        F.sum("_too_large").over(whole) == 0, F.sum("_sum").over(whole).cast("double")
-    ).otherwise(F.sum("_rough_sum").over(whole))
-    ranked = cells.select(
-        *keys,
-        "_cell",
-        (F.sum(filled).over(up_to_here) - filled).alias("_before"),
-        filled.alias("_filled"),
-        F.sum(filled).over(whole).alias("_total"),
-        F.min("_low").over(whole).alias(low),
-        F.max("_high").over(whole).alias(high),
-        F.try_divide(total, F.sum(filled).over(whole).cast("double")).alias(mean),
+    cells = (
+        placed.groupBy(*keys, "_cell")
+        .agg(F.sum("_known").alias("_in_cell"))
+        .withColumn("_through", F.sum("_in_cell").over(up_to_here))
+        .withColumn("_total", F.sum("_in_cell").over(whole))
+        .withColumn("_before", F.col("_through") - F.col("_in_cell"))
     )
     lower, upper = _middle_ranks(F.col("_total"))
-    middle = ranked.where(
-        ((F.col("_before") <= upper) & (F.col("_before") + F.col("_filled") > lower))
-        | ((F.col("_total") == 0) & F.col("_cell").isNull())
-    )
+    middle = cells.where((F.col("_before") <= upper) & (F.col("_through") > lower))
+    # The values of one or two cells per key.
     in_cell = Window.partitionBy(*keys, "_cell").orderBy(value)
-    upto = in_cell.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    same_key = [F.col(f"c.{key}") == F.col(f"m.{key}") for key in keys]
+    up_to_here = in_cell.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     values = (
-        middle.alias("m")
-        .join(
-            counts.alias("c"),
-            [*same_key, F.col("c._cell").eqNullSafe(F.col("m._cell"))],
-            "inner",
-        )
-        .select(*[f"m.{key}" for key in keys], "m._cell", "_before", "_total", low, high, mean, value, "_n")
-        .withColumn("_end", F.col("_before") + F.sum("_n").over(upto))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
+        placed.join(middle.select(*keys, "_cell", "_before", "_total"), [*keys, "_cell"])
+        .withColumn("_end", F.col("_before") + F.sum("_known").over(up_to_here))
+        .withColumn("_start", F.col("_end") - F.col("_known"))
     )
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_start") <= rank) & (rank < F.col("_end")), F.col(value)))
+        here = (F.col("_start") <= rank) & (rank < F.col("_end"))
+        return F.max(F.when(here, F.col(value))).cast("double")
 
-    lower, upper = _middle_ranks(F.col("_total"))
-    return values.groupBy(*keys).agg(
-        F.max(low).alias(low),
-        F.max(high).alias(high),
-        F.max(mean).alias(mean),
-        ((at(lower).cast("double") + at(upper).cast("double")) / 2).alias(median),
-    )
+    return values.groupBy(*keys).agg(((at(lower) + at(upper)) / 2).alias(name))
 
 
 def _middle_ranks(total: Column) -> tuple[Column, Column]:

@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.functions.names import brand_names, breadcrumb_names
+from vitrine.functions.names import brand_names
 from vitrine.functions.numbers import or_zero, percent, to_number
-from vitrine.operators.expand import per_distinct_element
+from vitrine.operators.filters import drop_missing
 from vitrine.operators.joins import latest_per_key
 from vitrine.operators.measures import any_by, coverage
 from vitrine.operators.panel import change, is_sale, with_previous
 from vitrine.operators.skew import Slices
 from vitrine.operators.stats import price_stats
 from vitrine.plans.config import Scope
-from vitrine.plans.inputs import clean_facts, listing_slices, target_listings
+from vitrine.plans.inputs import (
+    categories_of_listings,
+    clean_facts,
+    listing_slices,
+    target_listings,
+)
 
 
 def listing_histories(
@@ -22,7 +27,7 @@ def listing_histories(
 ) -> DataFrame:
     """One row per listing with observations: did its stock ever go down, and more aggregates."""
     steps = with_previous(
-        facts.dropna(subset=["url_id"]),
+        drop_missing(facts, "url_id"),
         ["url_id"],
         "created",
         scope.tiebreak,
@@ -110,9 +115,8 @@ def seller_price_report(listings: DataFrame, observations: DataFrame, scope: Sco
     all observations.
     """
     facts = clean_facts(observations, scope, fill="zero")
-    wanted = target_listings(
-        listings, scope, "raw", keep=("seller_id", breadcrumb_names(F.col("breadcrumbs")).alias("names"))
-    ).drop("category")
+    # Listings are spread over their categories before any join: the lists stay off the facts.
+    wanted = categories_of_listings(listings, scope, "seller_id")
     histories = listing_histories(
         facts,
         scope,
@@ -120,24 +124,17 @@ def seller_price_report(listings: DataFrame, observations: DataFrame, scope: Sco
         F.max_by("price", F.struct("created", *scope.tiebreak)).alias("last_price"),
     )
     listed = wanted.join(histories, F.col("url") == F.col("url_id"), "left")
-    per_category = per_distinct_element(listed, "names", "category", "times")
-    lowest = per_category.groupBy("category").agg(F.min("last_price").alias("min_price"))
+    lowest = listed.groupBy("category").agg(F.min("last_price").alias("min_price"))
     sellers = coverage(
-        any_by(per_category, ["category", "seller_id"], F.col("sold"), "sold"),
+        any_by(listed, ["category", "seller_id"], F.col("sold"), "sold"),
         ["category"],
         "sold",
         "total_sellers",
         "sellers_with_sales",
         "pct_sellers_with_sales",
     )
-    priced = per_distinct_element(
-        wanted.join(facts.select("url_id", "price"), F.col("url") == F.col("url_id")),
-        "names",
-        "category",
-        "times",
-    )
     prices = price_stats(
-        priced,
+        wanted.join(facts.select("url_id", "price"), F.col("url") == F.col("url_id")),
         ["category"],
         weight="times",
         names=("_lowest", "max_price", "avg_price", "median_price"),

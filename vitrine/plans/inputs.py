@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.names import breadcrumb_names, breadcrumb_path, last_name, strip
 from vitrine.functions.numbers import or_zero, to_number, to_number_strict
+from vitrine.operators.expand import per_distinct_element
 from vitrine.operators.filters import drop_missing, in_any_category, since
 from vitrine.operators.joins import latest_per_key
 from vitrine.operators.skew import Slices, plan_slices
@@ -41,6 +42,13 @@ def target_listings(
     )
 
 
+def categories_of_listings(listings: DataFrame, scope: Scope, *keep: str) -> DataFrame:
+    """One row per listing and different ancestor category, with how often it is named."""
+    names = breadcrumb_names(F.col("breadcrumbs")).alias("names")
+    wanted = target_listings(listings, scope, "raw", keep=(*keep, names)).drop("category")
+    return per_distinct_element(wanted, "names", "category", "times")
+
+
 def recent(observations: DataFrame, scope: Scope) -> DataFrame:
     if scope.as_of is None:
         return observations

@@ -8,8 +8,8 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.functions.names import breadcrumb_names
 from vitrine.operators.expand import per_distinct_element
+from vitrine.operators.filters import drop_missing
 from vitrine.operators.measures import (
     any_by,
     coverage,
@@ -20,7 +20,12 @@ from vitrine.operators.measures import (
 from vitrine.operators.panel import change, is_movement, with_previous
 from vitrine.operators.skew import SLICE, join_facts
 from vitrine.plans.config import Scope
-from vitrine.plans.inputs import clean_facts, listing_slices, target_listings
+from vitrine.plans.inputs import (
+    categories_of_listings,
+    clean_facts,
+    listing_slices,
+    target_listings,
+)
 
 
 @dataclass(frozen=True)
@@ -135,11 +140,10 @@ def stock_flow_by_ancestor(
 
     Listings are reduced to one row each before they are spread over their categories.
     """
-    wanted = target_listings(
-        listings, scope, "raw", keep=(breadcrumb_names(F.col("breadcrumbs")).alias("names"),)
-    ).drop("category")
+    wanted = target_listings(listings, scope).select("url")
     per_listing = listing_totals(wanted, observations, scope, rules)
-    spread = per_distinct_element(per_listing, "names", "category", "times")
+    # Joined only now, so that the facts do not carry lists of categories through the shuffle.
+    spread = categories_of_listings(listings, scope).join(per_listing, "url")
     return stock_flow_by(spread, ["category"], rules.unit, times="times").select(
         "category",
         "total_products",
@@ -163,7 +167,7 @@ def changed_products_report(
     created and a number ``available_quantity``.
     """
     steps = with_previous(
-        observations.dropna(subset=["url_id"]),
+        drop_missing(observations, "url_id"),
         ["url_id"],
         "created",
         scope.tiebreak,

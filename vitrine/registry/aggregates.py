@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vitrine.functions.names import brand_names, breadcrumb_names, breadcrumb_path
 from vitrine.functions.numbers import exact_sum, to_number
 from vitrine.operators.expand import per_distinct_element
-from vitrine.operators.filters import on_day
+from vitrine.operators.filters import drop_missing, on_day
 from vitrine.operators.measures import any_by, count_distinct_by, coverage, stock_flow_by
 from vitrine.operators.panel import change, is_movement, is_sale, last_per_key, with_previous
 from vitrine.operators.stats import price_stats
@@ -99,7 +99,7 @@ def agg_price_by_product(t: Tables):
 def agg_price_last_mixed(t: Tables):
     rows = _priced(t, breadcrumb_path(F.col("breadcrumbs")).alias("category"))
     last = last_per_key(rows, "url", "price", "created", TIE, "last_price")
-    lowest = last.dropna(subset=["category"]).groupBy("category").agg(
+    lowest = drop_missing(last, "category").groupBy("category").agg(
         F.min("last_price").alias("min_price")
     )
     prices = price_stats(rows, ["category"], names=("_low", "max_price", "avg_price", "median_price")).drop("_low")
@@ -197,20 +197,27 @@ def agg_sales_by_product(t: Tables):
 
 
 def _sold(t: Tables):
-    """Whether a listing ever sold, with its category path, brands and seller."""
-    keep = ("seller_id", brand_names(F.col("brand")).alias("brands"))
-    listings = target_listings(t.listings, EVERYTHING, keep=keep).where(F.col("category") != "")
-    totals = listing_totals(listings, t.observations, EVERYTHING, FINAL_RULES)
+    """Whether a listing ever sold, with its category path and seller."""
+    listings = target_listings(t.listings, EVERYTHING, keep=("seller_id",))
+    totals = listing_totals(
+        listings.where(F.col("category") != ""), t.observations, EVERYTHING, FINAL_RULES
+    )
     return totals.withColumn("sold", F.col("sales") > 0)
 
 
+def _sold_brands(t: Tables):
+    """The same, one row per brand of the listing."""
+    brands = t.listings.select("url", brand_names(F.col("brand")).alias("brands"))
+    return _sold(t).join(per_distinct_element(brands, "brands", "brand", "_times"), "url")
+
+
 @query(
     "agg_any_brand",
     f"""WITH {_FLOW_SQL} SELECT category, brand, coalesce(bool_or(d < 0), false) AS sale_detected
     FROM (SELECT category, unnest(brands) AS brand, d FROM steps) GROUP BY ALL""",
 )
 def agg_any_brand(t: Tables):
-    rows = per_distinct_element(_sold(t), "brands", "brand", "_times")
+    rows = _sold_brands(t)
     return any_by(rows, ["category", "brand"], F.col("sold"), "sale_detected")
 
 
@@ -221,7 +228,7 @@ def agg_any_brand(t: Tables):
     FROM (SELECT category, unnest(brands) AS brand, seller_id, d FROM steps) GROUP BY ALL""",
 )
 def agg_any_brand_seller(t: Tables):
-    rows = per_distinct_element(_sold(t), "brands", "brand", "_times")
+    rows = _sold_brands(t)
     return any_by(rows, ["category", "brand", "seller_id"], F.col("sold"), "sale_detected")
 
 
@@ -235,7 +242,7 @@ def agg_any_brand_seller(t: Tables):
     FROM b GROUP BY category""",
 )
 def agg_brand_coverage(t: Tables):
-    rows = per_distinct_element(_sold(t), "brands", "brand", "_times")
+    rows = _sold_brands(t)
     flagged = any_by(rows, ["category", "brand"], F.col("sold"), "sold")
     names = ("total_brands", "brands_with_sales", "pct_brands_with_sales")
     return coverage(flagged, ["category"], "sold", *names)
@@ -281,7 +288,7 @@ def agg_stock_current_day(t: Tables):
             ),
             F.col("url") == F.col("url_id"),
         )
-        .dropna(subset=["quantity"])
+        .where(F.col("quantity").isNotNull())
     )
     return rows.groupBy("category").agg(exact_sum(F.col("quantity")).alias("total_stock"))
 

@@ -35,7 +35,7 @@ def steps(t: Tables):
         *TIE,
         to_number(F.col("available_quantity")).alias("quantity"),
         to_number(F.col("price")).alias("price"),
-    ).dropna(subset=["quantity"])
+    ).where(F.col("quantity").isNotNull())
     return with_previous(
         rows,
         ["url_id"],
@@ -74,7 +74,7 @@ def win_stock_change_brand(t: Tables):
         t.observations.select(
             "url_id", "created", *TIE, to_number(F.col("available_quantity")).alias("quantity")
         )
-        .dropna(subset=["quantity"])
+        .where(F.col("quantity").isNotNull())
         .join(brands, F.col("url_id") == F.col("url"))
         .drop("url")
     )
