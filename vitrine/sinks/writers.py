@@ -12,6 +12,8 @@ def write_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
         .option("header", True)
         .option("encoding", "UTF-8")
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 
