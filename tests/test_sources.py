@@ -55,9 +55,9 @@ def test_jdbc_options_refuse_half_a_request(wrong):
         jdbc_options({}, table="t")
 
 
-def test_csv_keeps_quotes_commas_nulls_and_empty_text(spark):
+def test_csv_keeps_quotes_commas_nulls_and_blanks(spark):
     frame = spark.createDataFrame(
-        [('a "b", c', None, "é"), ("", "x\\y", "[{'a'}]"), ('"', "''", " lead")],
+        [('a "b", c', None, "é"), (" ", "x\\y", "[{'a'}]"), ('"', "''", " lead")],
         "p string, q string, r string",
     )
     path = work_dir(spark)
@@ -65,6 +65,13 @@ def test_csv_keeps_quotes_commas_nulls_and_empty_text(spark):
     assert rows_of(read_csv(spark, path, frame.schema)) == rows_of(frame)
 
 
+def test_empty_text_in_csv_is_read_as_null(spark):
+    path = work_dir(spark)
+    write_csv(spark.createDataFrame([("", "a")], "p string, q string"), path)
+    schema = spark.createDataFrame([], "p string, q string").schema
+    assert rows_of(read_csv(spark, path, schema)) == [(None, "a")]
+
+
 def test_csv_with_line_breaks_in_cells(spark):
     frame = spark.createDataFrame([("a\nb", 1), ("c", 2)], "p string, n int")
     path = work_dir(spark)

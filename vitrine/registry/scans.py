@@ -21,6 +21,7 @@ from vitrine.sources.readers import (
     read_table,
     scan,
 )
+from vitrine.streaming.sweep import append_new_days
 
 
 @query(
@@ -149,3 +150,25 @@ def sink_partitioned(t: Tables):
     days = sweep_days(t.clicks, "created", date(2024, 1, 5), date(2024, 1, 20))
     write_by_day(days.select("url_id", "price", "created", "snapshot_date"), path, "snapshot_date")
     return read_table(t.spark, path).withColumn("snapshot_date", day_text(F.col("snapshot_date")))
+
+
+@query(
+    "sink_streamed_days",
+    """SELECT event_id, user_id, event_type, value, ts,
+      CAST(CAST(ts AS DATE) AS VARCHAR) AS snapshot_date FROM events""",
+)
+def sink_streamed_days(t: Tables):
+    path = work_dir(t.spark)
+    schema = t.table("events").select("event_id", "user_id", "event_type", "value", "ts").schema
+    append_new_days(
+        t.spark,
+        t.folder,
+        schema,
+        f"{path}/days",
+        f"{path}/checkpoint",
+        time="ts",
+        files="events.parquet",
+    ).awaitTermination()
+    return read_table(t.spark, f"{path}/days").withColumn(
+        "snapshot_date", day_text(F.col("snapshot_date"))
+    )

@@ -66,7 +66,10 @@ def name_by_position(rows: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = False) -> DataFrame:
-    """CSV with a header. ``multiline``: cells may hold line breaks, then a file is not split."""
+    """CSV with a header; an empty cell is NULL.
+
+    multiline: cells may hold line breaks. A file is then read by one task.
+    """
     return (
         spark.read.schema(schema)
         .option("header", True)
