@@ -49,7 +49,11 @@ def coverage(
 
 
 def stock_steps_per_listing(
-    rows: DataFrame, keys: Sequence[str], today: date | None, first_counts: bool
+    rows: DataFrame,
+    keys: Sequence[str],
+    today: date | None,
+    first_counts: bool,
+    tiebreak: Sequence[str] = (),
 ) -> DataFrame:
     """What one listing did, from its rows with quantity, change, price and price_before."""
     change, quantity, price = F.col("stock_change"), F.col("quantity"), F.col("price")
@@ -64,6 +68,7 @@ def stock_steps_per_listing(
         exact_sum(doubled).alias("revenue_doubled"),
         exact_sum(price).alias("price_sum"),
         exact_sum(F.least(change, F.lit(0.0))).alias("units"),
+        F.max(F.struct("created", *tiebreak, "price")).alias("latest"),
     )
 
 
@@ -74,7 +79,7 @@ def merge_listing_slices(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
         exact_sum(F.col(name)).alias(name)
         for name in ("stock", "stock_today", "revenue_doubled", "price_sum", "units")
     ]
-    return parts.groupBy(*keys).agg(*counts, *sums)
+    return parts.groupBy(*keys).agg(*counts, *sums, F.max("latest").alias("latest"))
 
 
 def stock_flow_by(

@@ -16,9 +16,9 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vitrine.functions.dates import seconds_of
 
@@ -83,6 +83,10 @@ class Slices:
             SLICE, F.coalesce(number, F.lit(0)).cast("int")
         ).drop("_from", "_span", "_count")
 
+    def only_hot(self, rows: DataFrame) -> DataFrame:
+        """Rows of hot keys."""
+        return rows.join(F.broadcast(self.hot.select(*self.keys)), list(self.keys), "left_semi")
+
     def copy_to_slices(self, dimension: DataFrame, key: Sequence[str]) -> DataFrame:
         """One copy of a hot key's dimension row per slice, to meet the slices in a join."""
         hot = self.hot.select(
@@ -136,24 +140,20 @@ def plan_slices(
     hot = [row for row in top if row["_n"] >= bar and row["_from"] is not None]
     if not hot:
         return plain
-    rows = [
-        (
-            *[row[key] for key in keys],
-            float(row["_from"]),
-            float(row["_to"] - row["_from"] + 1),
-            math.ceil(row["_n"] / bar) * policy.oversplit,
-        )
-        for row in hot
-    ]
-    schema = T.StructType(
-        [T.StructField(key, facts.schema[key].dataType) for key in keys]
-        + [
-            T.StructField("_from", T.DoubleType()),
-            T.StructField("_span", T.DoubleType()),
-            T.StructField("_count", T.IntegerType()),
-        ]
+    # An Arrow table of this size becomes part of the plan itself, without tasks of its own.
+    layout = pa.table(
+        {
+            **{key: [row[key] for row in hot] for key in keys},
+            "_from": [float(row["_from"]) for row in hot],
+            "_span": [float(row["_to"] - row["_from"] + 1) for row in hot],
+            "_count": [math.ceil(row["_n"] / bar) * policy.oversplit for row in hot],
+        }
+    )
+    typed = [F.col(key).cast(facts.schema[key].dataType) for key in keys]
+    frame = facts.sparkSession.createDataFrame(layout)
+    return Slices(
+        tuple(keys), time, frame.select(*typed, "_from", "_span", F.col("_count").cast("int"))
     )
-    return Slices(tuple(keys), time, facts.sparkSession.createDataFrame(rows, schema))
 
 
 def _all_present(keys: Sequence[str]) -> Column:

@@ -2,41 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions.names import brand_names
-from vitrine.functions.numbers import or_zero, percent, to_number
-from vitrine.operators.filters import drop_missing
+from vitrine.functions.numbers import percent
 from vitrine.operators.joins import latest_per_key
 from vitrine.operators.measures import any_by, coverage
-from vitrine.operators.panel import change, is_sale, with_previous
-from vitrine.operators.skew import Slices
 from vitrine.operators.stats import price_stats
 from vitrine.plans.config import Scope
-from vitrine.plans.inputs import (
-    categories_of_listings,
-    clean_facts,
-    listing_slices,
-    target_listings,
-)
+from vitrine.plans.histories import FINAL_RULES, ZERO_RULES, FlowRules, listing_totals
+from vitrine.plans.inputs import categories_of_listings, clean_facts, target_listings
 
 
-def listing_histories(
-    facts: DataFrame, scope: Scope, slices: Slices, *more: Column
+def listing_sales(
+    wanted: DataFrame, observations: DataFrame, scope: Scope, rules: FlowRules
 ) -> DataFrame:
-    """One row per listing with observations: did its stock ever go down, and more aggregates."""
-    steps = with_previous(
-        drop_missing(facts, "url_id"),
-        ["url_id"],
-        "created",
-        scope.tiebreak,
-        {"quantity_before": "quantity"},
-        slices=slices,
-        null_keys=False,
+    """Per wanted listing with observations: did its stock ever go down, and its latest price."""
+    urls = wanted.select("url").distinct()
+    return listing_totals(urls, observations, scope, rules).select(
+        "url", (F.col("sales") > 0).alias("sold"), F.col("latest.price").alias("last_price")
     )
-    sale = is_sale(change(F.col("quantity"), F.col("quantity_before")))
-    return steps.groupBy("url_id").agg(F.bool_or(sale).alias("sold"), *more)
 
 
 def brand_seller_report(
@@ -54,11 +40,8 @@ def brand_seller_report(
         "path_cased",
         keep=("seller_id", brand_names(F.col("brand")).alias("brands")),
     ).join(known, "seller_id", "inner")
-    facts = clean_facts(observations, scope, keep_price=False).join(
-        wanted.select("url"), F.col("url_id") == F.col("url"), "left_semi"
-    )
-    histories = listing_histories(facts, scope, listing_slices(observations, scope))
-    listed = wanted.join(histories, F.col("url") == F.col("url_id"))
+    sales = listing_sales(wanted, observations, scope, FINAL_RULES)
+    listed = wanted.join(sales.select("url", "sold"), "url")
     # A seller counts only through a listing that names a brand.
     branded = listed.where(F.size("brands") > 0)
     brand = F.transform(
@@ -98,10 +81,9 @@ def brand_seller_report(
 
 def raw_brand_report(listings: DataFrame, observations: DataFrame, scope: Scope) -> DataFrame:
     """Brand coverage with the raw brand text as the brand, unsold listings included."""
-    facts = clean_facts(observations, scope, fill="zero", keep_price=False)
     wanted = target_listings(listings, scope, "path_cased", keep=("brand",))
-    histories = listing_histories(facts, scope, listing_slices(observations, scope, "zero"))
-    listed = wanted.join(histories, F.col("url") == F.col("url_id"), "left")
+    sales = listing_sales(wanted, observations, scope, ZERO_RULES)
+    listed = wanted.join(sales.select("url", "sold"), "url", "left")
     flagged = any_by(listed, ["category", "brand"], F.col("sold"), "sold")
     return coverage(
         flagged, ["category"], "sold", "total_brands", "brands_with_sales", "pct_brands_with_sales"
@@ -114,16 +96,9 @@ def seller_price_report(listings: DataFrame, observations: DataFrame, scope: Sco
     The lowest price is the lowest latest price of a listing; the other statistics are over
     all observations.
     """
-    facts = clean_facts(observations, scope, fill="zero")
     # Listings are spread over their categories before any join: the lists stay off the facts.
     wanted = categories_of_listings(listings, scope, "seller_id")
-    histories = listing_histories(
-        facts,
-        scope,
-        listing_slices(observations, scope, "zero"),
-        F.max_by("price", F.struct("created", *scope.tiebreak)).alias("last_price"),
-    )
-    listed = wanted.join(histories, F.col("url") == F.col("url_id"), "left")
+    listed = wanted.join(listing_sales(wanted, observations, scope, ZERO_RULES), "url", "left")
     lowest = listed.groupBy("category").agg(F.min("last_price").alias("min_price"))
     sellers = coverage(
         any_by(listed, ["category", "seller_id"], F.col("sold"), "sold"),
@@ -133,8 +108,9 @@ def seller_price_report(listings: DataFrame, observations: DataFrame, scope: Sco
         "sellers_with_sales",
         "pct_sellers_with_sales",
     )
+    facts = clean_facts(observations, scope, fill="keep").select("url_id", "price")
     prices = price_stats(
-        wanted.join(facts.select("url_id", "price"), F.col("url") == F.col("url_id")),
+        wanted.join(facts, F.col("url") == F.col("url_id")),
         ["category"],
         weight="times",
         names=("_lowest", "max_price", "avg_price", "median_price"),

@@ -2,98 +2,22 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from datetime import date
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.operators.expand import per_distinct_element
 from vitrine.operators.filters import drop_missing
-from vitrine.operators.measures import (
-    any_by,
-    coverage,
-    merge_listing_slices,
-    stock_flow_by,
-    stock_steps_per_listing,
-)
+from vitrine.operators.measures import any_by, coverage, stock_flow_by
 from vitrine.operators.panel import change, is_movement, with_previous
-from vitrine.operators.skew import SLICE, join_facts
 from vitrine.plans.config import Scope
-from vitrine.plans.inputs import (
-    categories_of_listings,
-    clean_facts,
-    listing_slices,
-    target_listings,
+from vitrine.plans.histories import (
+    DRAFT_RULES,
+    FINAL_RULES,
+    ZERO_RULES,
+    FlowRules,
+    listing_totals,
 )
-
-
-@dataclass(frozen=True)
-class FlowRules:
-    """How steps are counted.
-
-    first_counts: the first observation of a listing is a movement.
-    unit: "event" counts observations, "product" counts listings.
-    fill: what becomes of a quantity that is no number: None drops the row, "zero" takes 0,
-        "keep" leaves it unknown.
-    unmatched: listings without observations are reported too.
-    strict_quantity: a quantity that is no number stops the job.
-    """
-
-    first_counts: bool = True
-    unit: str = "event"
-    fill: str | None = None
-    unmatched: bool = False
-    strict_quantity: bool = False
-
-
-FINAL_RULES = FlowRules()
-DRAFT_RULES = FlowRules(first_counts=False, fill="keep", unmatched=True)
-ANCESTOR_RULES = FlowRules(first_counts=False, fill="zero")
-
-
-def listing_steps(
-    wanted: DataFrame, observations: DataFrame, scope: Scope, rules: FlowRules
-) -> DataFrame:
-    """Observations of the wanted listings with price and stock change of each step.
-
-    Join and window use the same keys, so the facts are shuffled once for both.
-    """
-    facts = clean_facts(observations, scope, rules.fill, rules.strict_quantity)
-    slices = listing_slices(observations, scope, rules.fill)
-    joined = join_facts(
-        wanted, facts, ("url", "url_id"), "left" if rules.unmatched else "inner", slices
-    )
-    return with_previous(
-        joined,
-        ["url"],
-        "created",
-        scope.tiebreak,
-        {"quantity_before": "quantity", "price_before": "price"},
-        slices=slices.on_key("url"),
-        history=facts.withColumnRenamed("url_id", "url"),
-        null_keys=False,
-    ).withColumn("stock_change", change(F.col("quantity"), F.col("quantity_before")))
-
-
-def listing_totals(
-    wanted: DataFrame,
-    observations: DataFrame,
-    scope: Scope,
-    rules: FlowRules,
-    today: date | None = None,
-) -> DataFrame:
-    """One row per listing with the columns of ``wanted`` and what the listing did.
-
-    today: the day whose stock is added up, the report date unless given.
-    """
-    today = today or scope.as_of
-    steps = listing_steps(wanted.where(F.col("url").isNotNull()), observations, scope, rules)
-    keys = list(wanted.columns)
-    if SLICE not in steps.columns:
-        return stock_steps_per_listing(steps, keys, today, rules.first_counts)
-    parts = stock_steps_per_listing(steps, [*keys, SLICE], today, rules.first_counts)
-    return merge_listing_slices(parts, keys)
+from vitrine.plans.inputs import categories_of_listings, target_listings
 
 
 def stock_flow_report(
@@ -134,7 +58,7 @@ def stock_flow_draft_report(
 
 
 def stock_flow_by_ancestor(
-    listings: DataFrame, observations: DataFrame, scope: Scope, rules: FlowRules = ANCESTOR_RULES
+    listings: DataFrame, observations: DataFrame, scope: Scope, rules: FlowRules = ZERO_RULES
 ) -> DataFrame:
     """Stock flow of every category a listing is under, not only its full path.
 

@@ -15,7 +15,7 @@ from vitrine.operators.panel import change, is_movement, is_sale, last_per_key,
 from vitrine.operators.stats import price_stats
 from vitrine.plans.inputs import target_listings
 from vitrine.plans.price import price_report_by_product
-from vitrine.plans.stock_flow import FINAL_RULES, FlowRules, listing_totals
+from vitrine.plans.histories import FINAL_RULES, FlowRules, listing_totals
 from vitrine.registry.book import query, rounded
 from vitrine.registry.params import AS_OF, EVERYTHING, TIE
 from vitrine.registry.tables import Tables

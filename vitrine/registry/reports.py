@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from vitrine.functions.dates import day_text
 from vitrine.plans.coverage import brand_seller_report, raw_brand_report, seller_price_report
 from vitrine.plans.extracts import filtered_extract, product_history
+from vitrine.plans.histories import FlowRules
 from vitrine.plans.price import price_report, price_report_by_product
 from vitrine.plans.stock_flow import (
-    FlowRules,
     changed_products_report,
     stock_flow_by_ancestor,
     stock_flow_draft_report,
