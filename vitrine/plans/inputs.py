@@ -30,16 +30,21 @@ def category_of(breadcrumbs: Column, level: str) -> Column:
 def target_listings(
     listings: DataFrame, scope: Scope, level: str = "path", keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """url and category of the listings in a target category, plus the columns to keep."""
+    """url and category of the listings in a target category, plus the columns to keep.
+
+    Listings without a readable category are left out.
+    """
     if not scope.one_row_per_listing:
         listings = latest_per_key(listings, "url", "created")
     if scope.targets is not None:
         # Matched on the whole path, whatever level is reported.
         path = breadcrumb_path(F.col("breadcrumbs"), lower=False)
         listings = listings.where(in_any_category(path, scope.targets, scope.match_case))
-    return listings.select(
+    wanted = listings.select(
         "url", category_of(F.col("breadcrumbs"), level).alias("category"), *keep
     )
+    # A match on the path has left out unreadable paths already.
+    return drop_missing(wanted, "category") if scope.targets is None else wanted
 
 
 def categories_of_listings(listings: DataFrame, scope: Scope, *keep: str) -> DataFrame:

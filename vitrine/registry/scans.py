@@ -30,7 +30,7 @@ from vitrine.streaming.sweep import append_new_days
     l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate FROM lineitem""",
 )
 def src_table_scan(t: Tables):
-    return read_table(t.spark, f"{t.folder}/lineitem.parquet")
+    return t.table("lineitem")
 
 
 @query(

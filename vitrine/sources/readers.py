@@ -11,8 +11,12 @@ from pyspark.sql import types as T
 from vitrine.functions.names import literal_list
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_table(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None
+) -> DataFrame:
+    """Parquet table. With a schema, no job has to look into the files first."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(path)
 
 
 def jdbc_options(
