@@ -92,8 +92,10 @@ def test_only_keys_above_the_bar_are_hot(spark, facts):
     slices = plan_slices(facts, ["url_id"], "created", policy)
     hot = slices.hot.collect()
     assert [row["url_id"] for row in hot] == ["hot"]
-    # 300 of 930 rows against a bar of 100: three parts, each split eightfold.
-    assert hot[0]["_count"] == 24
+    # 300 of 900 keyed rows against a bar of 100: three shares, each split eightfold, over 16
+    # intervals of time.
+    assert hot[0]["_parts"] == 2
+    assert len(hot[0]["_bounds"]) == 17
     sizes = slices.label(facts).where("url_id = 'hot'").groupBy(SLICE).count().collect()
     assert len(sizes) > 12 and max(row["count"] for row in sizes) < 60
     assert not plan_slices(facts, ["url_id"], "created").any
@@ -106,12 +108,26 @@ def test_slices_follow_time(spark, facts):
     assert numbers == sorted(numbers)
 
 
+def test_a_burst_in_a_long_time_is_split(spark):
+    burst = spark.range(1000).selectExpr(
+        "'hot' as url_id",
+        "id",
+        """timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, cast(id as decimal(18,6)))
+           + make_dt_interval(case when id = 999 then 3000 else 0 end, 0, 0, 0) as created""",
+    )
+    policy = SkewPolicy(min_rows=100, sample=1.0, oversplit=8)
+    slices = plan_slices(burst, ["url_id"], "created", policy)
+    sizes = [row["count"] for row in slices.label(burst).groupBy(SLICE).count().collect()]
+    # All rows but one are in the first 17 minutes of eight years.
+    assert sum(sizes) == 1000 and max(sizes) <= 70
+
+
 def test_copies_meet_every_slice_and_others_stay_single(spark, facts):
     policy = SkewPolicy(min_rows=100, sample=1.0, oversplit=8)
     slices = plan_slices(facts, ["url_id"], "created", policy)
     listings = spark.createDataFrame([("hot",), ("u1",), ("none",), (None,)], "url string")
     copies = slices.copy_to_slices(listings, ["url"]).groupBy("url").count().collect()
-    assert {r["url"]: r["count"] for r in copies} == {"hot": 24, "u1": 1, "none": 1, None: 1}
+    assert {r["url"]: r["count"] for r in copies} == {"hot": 32, "u1": 1, "none": 1, None: 1}
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "full_outer"])

@@ -12,6 +12,7 @@ from vitrine.operators.filters import in_any_category, on_day
 from vitrine.operators.joins import latest_per_key
 from vitrine.operators.ordering import latest, page, stack, sweep_days
 from vitrine.registry.tables import Tables
+from vitrine.schemas import LISTINGS
 from vitrine.session import work_dir
 from vitrine.sinks.writers import write_by_day, write_csv, write_table
 from vitrine.sources.readers import jdbc_options, name_by_position, read_csv, read_csv_with_lists
@@ -87,6 +88,15 @@ def test_csv_with_list_cells(spark):
     assert got == {"u": ["A", "B, C"], "v": []}
 
 
+def test_domain_tables_as_csv(spark):
+    rows = spark.createDataFrame(
+        [("u", "i", '[{"name":"A, B"}]', None, 7, datetime(2024, 1, 5, 6, 7, 8))], LISTINGS
+    )
+    path = work_dir(spark)
+    write_csv(rows, path)
+    assert rows_of(read_csv(spark, path, LISTINGS)) == rows_of(rows)
+
+
 def test_one_folder_per_day(spark):
     clicks = sweep_days(Tables(spark, DATA).clicks, "created", date(2024, 1, 3), date(2024, 1, 6))
     path = work_dir(spark)

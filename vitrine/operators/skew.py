@@ -24,6 +24,8 @@ from vitrine.functions.dates import seconds_of
 
 SLICE = "_slice"
 _COPY = "_copied"
+# A hot key's time is first cut into this many intervals of about as many rows each.
+_INTERVALS = 16
 
 
 @dataclass(frozen=True)
@@ -34,7 +36,7 @@ class SkewPolicy:
         1/share hot groups. That bounds every table broadcast here.
     min_rows: one task copes with this many rows, so a smaller group is never hot.
     sample: fraction of rows looked at.
-    oversplit: slices made per share of rows, because rows may be uneven in time.
+    oversplit: slices per share of rows, because rows may be uneven in time.
     """
 
     share: float = 1e-4
@@ -71,9 +73,15 @@ class Slices:
 
     def label(self, rows: DataFrame, only_hot: bool = False) -> DataFrame:
         """Add the slice number. Rows of other listings are all in slice 0."""
-        seconds = seconds_of(F.col(self.time), rows.schema[self.time].dataType)
-        place = F.floor((seconds - F.col("_from")) * F.col("_count") / F.col("_span"))
-        number = F.least(F.greatest(place, F.lit(0)), F.col("_count") - 1)
+        at = seconds_of(F.col(self.time), rows.schema[self.time].dataType).cast("double")
+        # The interval of the row's time, then its even share of that interval. Both only grow
+        # with time, so the slices of a key follow each other in time.
+        interval = F.size(F.filter(F.slice("_bounds", 2, _INTERVALS - 1), lambda b: b <= at))
+        start = F.element_at("_bounds", interval + 1)
+        width = F.element_at("_bounds", interval + 2) - start + 1
+        place = F.floor((at - start) * F.col("_parts") / width)
+        part = F.least(F.greatest(place, F.lit(0)), F.col("_parts") - 1)
+        number = F.when(F.col("_parts").isNotNull(), interval * F.col("_parts") + part)
         # Fewer than 1/share rows, see SkewPolicy.
         marked = rows.join(
             F.broadcast(self.hot), list(self.keys), "inner" if only_hot else "left"
@@ -81,7 +89,7 @@ class Slices:
         # Without a time there is no place on the scale: such a row comes first, as in a sort.
         return marked.withColumn(
             SLICE, F.coalesce(number, F.lit(0)).cast("int")
-        ).drop("_from", "_span", "_count")
+        ).drop("_bounds", "_parts")
 
     def only_hot(self, rows: DataFrame) -> DataFrame:
         """Rows of hot keys."""
@@ -91,14 +99,15 @@ class Slices:
         """One copy of a hot key's dimension row per slice, to meet the slices in a join."""
         hot = self.hot.select(
             *[F.col(mine).alias(theirs) for mine, theirs in zip(self.keys, key)],
-            "_count",
+            "_parts",
         )
         marked = dimension.join(F.broadcast(hot), list(key), "left")
-        slices = F.sequence(F.lit(0), F.coalesce(F.col("_count"), F.lit(1)).cast("int") - 1)
+        count = F.coalesce(F.col("_parts") * _INTERVALS, F.lit(1))
+        slices = F.sequence(F.lit(0), count - 1)
         return (
             marked.withColumn(SLICE, F.explode(slices))
-            .withColumn(_COPY, F.col("_count").isNotNull())
-            .drop("_count")
+            .withColumn(_COPY, F.col("_parts").isNotNull())
+            .drop("_parts")
         )
 
 
@@ -111,7 +120,8 @@ def plan_slices(
 ) -> Slices:
     """Look for hot keys in a sample and lay out their slices.
 
-    Runs one job over the key and time columns; at most 1/share rows reach the driver.
+    Runs one job over the key and time columns, and if there are hot keys another one for their
+    spread in time; at most 1/share rows reach the driver.
     thinned: ``facts`` is a sample made with ``policy.thin`` already.
     """
     plain = Slices(tuple(keys), time)
@@ -126,34 +136,43 @@ def plan_slices(
     top = (
         sample.observe(seen, F.count(F.lit(1)).alias("rows"))
         .groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min("_at").alias("_from"),
-            F.max("_at").alias("_to"),
-        )
+        .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") >= enough)
         .orderBy(F.desc("_n"))
         .limit(math.ceil(1 / policy.share))
         .collect()
     )
     bar = max(enough, seen.get["rows"] * policy.share) if top else enough
-    hot = [row for row in top if row["_n"] >= bar and row["_from"] is not None]
+    hot = [row for row in top if row["_n"] >= bar]
     if not hot:
         return plain
-    # An Arrow table of this size becomes part of the plan itself, without tasks of its own.
-    layout = pa.table(
-        {
-            **{key: [row[key] for row in hot] for key in keys},
-            "_from": [float(row["_from"]) for row in hot],
-            "_span": [float(row["_to"] - row["_from"] + 1) for row in hot],
-            "_count": [math.ceil(row["_n"] / bar) * policy.oversplit for row in hot],
-        }
+    parts = [math.ceil(row["_n"] / bar * policy.oversplit / _INTERVALS) for row in hot]
+    found = _small_table(facts, keys, [tuple(row) for row in hot], {"_parts": parts})
+    shares = [n / _INTERVALS for n in range(_INTERVALS + 1)]
+    spread = (
+        sample.join(F.broadcast(found), list(keys))
+        .groupBy(*keys, "_parts")
+        .agg(F.percentile_approx(F.col("_at").cast("double"), shares).alias("_bounds"))
+        .where(F.col("_bounds").isNotNull())
+        .collect()
     )
+    if not spread:
+        return plain
+    more = {name: [row[name] for row in spread] for name in ("_parts", "_bounds")}
+    return Slices(tuple(keys), time, _small_table(facts, keys, [tuple(row) for row in spread], more))
+
+
+def _small_table(
+    facts: DataFrame, keys: Sequence[str], rows: list[tuple], more: dict[str, list]
+) -> DataFrame:
+    """The first values of the rows as key columns of the facts' types, and more columns.
+
+    An Arrow table of this size becomes part of the plan itself, without tasks of its own.
+    """
+    table = pa.table({**{key: [row[i] for row in rows] for i, key in enumerate(keys)}, **more})
     typed = [F.col(key).cast(facts.schema[key].dataType) for key in keys]
-    frame = facts.sparkSession.createDataFrame(layout)
-    return Slices(
-        tuple(keys), time, frame.select(*typed, "_from", "_span", F.col("_count").cast("int"))
-    )
+    frame = facts.sparkSession.createDataFrame(table)
+    return frame.select(*typed, *more).withColumn("_parts", F.col("_parts").cast("int"))
 
 
 def _all_present(keys: Sequence[str]) -> Column:
