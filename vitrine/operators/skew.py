@@ -73,23 +73,27 @@ class Slices:
 
     def label(self, rows: DataFrame, only_hot: bool = False) -> DataFrame:
         """Add the slice number. Rows of other listings are all in slice 0."""
-        at = seconds_of(F.col(self.time), rows.schema[self.time].dataType).cast("double")
+        at, interval, bounds = F.col("_at"), F.col("_interval"), F.col("_bounds")
+        seconds = seconds_of(F.col(self.time), rows.schema[self.time].dataType).cast("double")
+        # Fewer than 1/share rows, see SkewPolicy.
+        marked = rows.withColumn("_at", seconds).join(
+            F.broadcast(self.hot), list(self.keys), "inner" if only_hot else "left"
+        )
         # The interval of the row's time, then its even share of that interval. Both only grow
-        # with time, so the slices of a key follow each other in time.
-        interval = F.size(F.filter(F.slice("_bounds", 2, _INTERVALS - 1), lambda b: b <= at))
-        start = F.element_at("_bounds", interval + 1)
-        width = F.element_at("_bounds", interval + 2) - start + 1
+        # with time, so the slices of a key follow each other in time. A row without a time
+        # comes first, as in a sort.
+        passed = F.size(F.filter(bounds, lambda bound: bound <= at))
+        inside = F.least(F.greatest(passed, F.lit(1)), F.lit(_INTERVALS)) - 1
+        start = F.element_at(bounds, interval + 1)
+        width = F.element_at(bounds, interval + 2) - start + 1
         place = F.floor((at - start) * F.col("_parts") / width)
         part = F.least(F.greatest(place, F.lit(0)), F.col("_parts") - 1)
         number = F.when(F.col("_parts").isNotNull(), interval * F.col("_parts") + part)
-        # Fewer than 1/share rows, see SkewPolicy.
-        marked = rows.join(
-            F.broadcast(self.hot), list(self.keys), "inner" if only_hot else "left"
+        return (
+            marked.withColumn("_interval", inside)
+            .withColumn(SLICE, F.coalesce(number, F.lit(0)).cast("int"))
+            .drop("_at", "_interval", "_bounds", "_parts")
         )
-        # Without a time there is no place on the scale: such a row comes first, as in a sort.
-        return marked.withColumn(
-            SLICE, F.coalesce(number, F.lit(0)).cast("int")
-        ).drop("_bounds", "_parts")
 
     def only_hot(self, rows: DataFrame) -> DataFrame:
         """Rows of hot keys."""
