@@ -11,10 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.blocks import asked, best_of, matrix, meet, nearest, table_of, vectors
+from vitrine.llm.blocks import ROWS, asked, best_of, matrix, meet, nearest, table_of, vectors
 from vitrine.llm.shared import extended, materialize
 
-TREES, LETTERS, AXES, SEED = 20, 6, 16, 71
+TREES, LETTERS, AXES, SEED = 24, 6, 16, 71
 BITS = AXES.bit_length()  # a letter is one of the axes with a sign
 
 
@@ -135,7 +135,8 @@ def neighbours(
     rows: DataFrame,
     every: int = 20,
     k: int = 20,
-    enough: int = 300,
+    enough: int = 8000,
+    enough_in_block: int = 300,
     identity: str = "vec_id",
     vector: str = "embedding",
     seed: int = SEED,
@@ -144,7 +145,8 @@ def neighbours(
 
     Nearness is the largest inner product, in double precision on the vectors as they are. The
     forest is kept in blocks of about 1,024 rows, each with its own sorted arrays, and every query
-    asks every block (see search_block). `enough` is per block and sets recall against cost.
+    asks every block (see search_block). A query goes up until it has met `enough` rows in all blocks
+    together, and `enough_in_block` in each; this sets recall against cost.
 
     Rows without an id, and vectors that are null, zero or hold null or non-finite components take
     no part. Vectors meet those of equal dimension only. A repeated id is one query; its other rows
@@ -153,10 +155,12 @@ def neighbours(
     """
     held = vectors(rows, identity, vector, F.exists(vector, lambda x: x != 0))
     forest = materialize(index(held, seed))
+    blocks = max(1, -(-forest.count() // ROWS))
+    least = max(enough_in_block, -(-enough // blocks))
     found = meet(
         forest.drop("asks"),
         asked(forest, every).drop("strings"),
-        lambda block, wanted: search_block(block, wanted, k, enough),
+        lambda block, wanted: search_block(block, wanted, k, least),
         "query_id long, vec_id long, score double",
     )
     return nearest(found, k)

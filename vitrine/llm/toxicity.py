@@ -20,7 +20,7 @@ SAMPLE, TERMS = 20_000, 2_000
 #: Fewest toxic texts with a term.
 LEAST_HITS = 3
 #: Lengths of stems: terms that may go on in any way.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 #: Terms of this length or more are matched with one edit.
 FUZZY_FROM = 5
 #: Words on each side that make the context of a term, and words a task remembers.
@@ -32,8 +32,8 @@ REPORTS = frozenset(
     "said says say wrote writes called quote quoted quoting term word sagte sagt schrieb nannte zitat "
     "wort dit disait écrit appelé citation mot dijo dice escribió llamó cita palabra".split()
 )
-EXACT, STEM, NEAR, NEAR_STEM = 1, 2, 3, 4
-N_FEATURES = 8
+EXACT, STEM, NEAR = 1, 2, 3
+N_FEATURES = 7
 
 
 def held_out(identity: Column) -> Column:
@@ -44,11 +44,11 @@ def held_out(identity: Column) -> Column:
 class Node:
     """A node of the lexicon trie."""
 
-    __slots__ = ("next", "term", "stem")
+    __slots__ = ("next", "weight")
 
     def __init__(self):
         self.next: dict[str, Node] = {}
-        self.term = self.stem = None
+        self.weight: float | None = None
 
 
 @dataclass
@@ -61,43 +61,43 @@ class Lexicon:
 
     def __post_init__(self):
         self.root = Node()
-        for entries, name in ((self.terms, "term"), (self.stems, "stem")):
-            for text, weight in entries.items():
-                node = self.root
-                for letter in text:
-                    node = node.next.setdefault(letter, Node())
-                setattr(node, name, weight)
-        long = [t for t in (*self.terms, *self.stems) if len(t) >= FUZZY_FROM]
-        self.heads = {t[: len(t) // 2] for t in long}
-        self.tails = {t[len(t) // 2 :] for t in self.terms if len(t) >= FUZZY_FROM}
-        self.tail_sizes = sorted({len(t) for t in self.tails})
-        # a stem may be hit by an edit in its first half: its second half then stands near there
-        self.insides = {t[len(t) // 2 :] for t in self.stems if len(t) >= FUZZY_FROM}
-        self.head_sizes = sorted({len(h) for h in self.heads})
-        self.inside_places = sorted(
-            {(len(t) // 2 + shift, len(t) - len(t) // 2) for t in self.stems if len(t) >= FUZZY_FROM for shift in (-1, 0, 1)}
-        )
+        # halves of terms, with the lengths of words that are one edit away
+        self.heads: set[tuple[str, int]] = set()
+        self.tails: set[tuple[str, int]] = set()
+        for term, weight in self.terms.items():
+            if len(term) < FUZZY_FROM:
+                continue
+            node = self.root
+            for letter in term:
+                node = node.next.setdefault(letter, Node())
+            node.weight = weight
+            half, sizes = len(term) // 2, (len(term) - 1, len(term), len(term) + 1)
+            self.heads |= {(term[:half], size) for size in sizes}
+            self.tails |= {(term[half:], size) for size in sizes}
+        self.head_sizes = sorted({len(head) for head, _ in self.heads})
+        self.tail_sizes = sorted({len(tail) for tail, _ in self.tails})
+        self.stem_sizes = sorted({len(stem) for stem in self.stems}, reverse=True)
 
     def match(self, word: str) -> tuple[int, float] | None:
-        """(kind, weight) of the best entry: exact terms, then stems, then those one edit away."""
+        """(kind, weight) of the best entry: exact terms, then stems, then terms one edit away."""
         if word in self.terms:
             return EXACT, self.terms[word]
-        for size in reversed(STEMS):
+        for size in self.stem_sizes:
             if word[:size] in self.stems and len(word) >= size:
                 return STEM, self.stems[word[:size]]
-        if len(word) < FUZZY_FROM - 1 or not self._may_be_near(word):
+        if not self._may_be_near(word):
             return None
-        return self._near(word)
+        weight = self._near(word)
+        return None if weight is None else (NEAR, weight)
 
     def _may_be_near(self, word: str) -> bool:
-        """One edit leaves one half of an entry as it is: a sure and cheap test before the trie."""
-        if any(word[:n] in self.heads for n in self.head_sizes):
-            return True
-        if any(word[-n:] in self.tails for n in self.tail_sizes):
-            return True
-        return any(word[at : at + n] in self.insides for at, n in self.inside_places)
-
-    def _near(self, word: str) -> tuple[int, float] | None:
+        """One edit leaves one half of a term as it is: a sure and cheap test before the trie."""
+        size = len(word)
+        return any((word[:n], size) in self.heads for n in self.head_sizes) or any(
+            (word[-n:], size) in self.tails for n in self.tail_sizes
+        )
+
+    def _near(self, word: str) -> float | None:
         """Runs the word's Levenshtein automaton for one edit along the trie.
 
         The automaton's states are bits: bit i of `same` (of `off`) says that the path so far and
@@ -109,23 +109,18 @@ class Lexicon:
             places[letter] = places.get(letter, 0) | 1 << i
         whole = (1 << (len(word) + 1)) - 1
         accept = 1 << len(word)
-        best: tuple[int, float] | None = None
-        todo = [(self.root, 1, 3 & whole, 0)]
+        best = None
+        todo = [(self.root, 1, 3 & whole)]
         while todo:
-            node, same, off, depth = todo.pop()
-            states = same | off
-            if node.term is not None and depth >= FUZZY_FROM and states & accept:
-                if best is None or (NEAR, -node.term) < (best[0], -best[1]):
-                    best = (NEAR, node.term)
-            if node.stem is not None and depth >= FUZZY_FROM and states:
-                if best is None or (NEAR_STEM, -node.stem) < (best[0], -best[1]):
-                    best = (NEAR_STEM, node.stem)
+            node, same, off = todo.pop()
+            if node.weight is not None and (same | off) & accept:
+                best = node.weight if best is None else max(best, node.weight)
             for letter, child in node.next.items():
                 hit = places.get(letter, 0)
                 next_same = (same & hit) << 1
                 next_off = ((off & hit) << 1 | same | same << 1 | next_same << 1) & whole
                 if next_same | next_off:
-                    todo.append((child, next_same, next_off, depth + 1))
+                    todo.append((child, next_same, next_off))
         return best
 
 
@@ -173,8 +168,8 @@ class Reader:
             recent = [(i, w) for i, w in recent if at - i <= 2 * WINDOW] + [(at, weight)]
             out[2] = max(out[2], sum(w for _, w in recent))
             out[2 + kind] += 1
-        density = sum(out[3:7]) / len(spans)
-        return [*(math.log1p(x) for x in out[:7]), 100 * density / (1 + 100 * density)]
+        density = sum(out[3:6]) / len(spans)
+        return [*(math.log1p(x) for x in out[:6]), 100 * density / (1 + 100 * density)]
 
     @staticmethod
     def _quoted(text: str, spans: list, at: int) -> bool:
@@ -210,8 +205,15 @@ def _evidence(hit: float, miss: float, toxic: float, clean: float) -> float:
     return out
 
 
+def _entries(word: str) -> list[tuple[str, bool]]:
+    """The word as a term, and its beginnings as stems."""
+    if not 3 <= len(word) <= 40:
+        return []
+    return [(word, False), *((word[:n], True) for n in STEMS if len(word) >= n)]
+
+
 def _counts(texts: DataFrame) -> DataFrame:
-    """(entry, is_stem, hit, miss): the number of toxic and clean texts with each word and stem.
+    """(entry, is_stem, hit, miss): the number of toxic and clean texts with each term and stem.
 
     Counted within each task first, in a table of bounded size.
     """
@@ -233,10 +235,8 @@ def _counts(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                words = {w for w in WORD.findall((text or "").lower()) if 3 <= len(w) <= 40}
-                stems = {w[:n] for w in words for n in STEMS if len(w) >= n}
-                held[bool(toxic)].update((w, False) for w in words)
-                held[bool(toxic)].update((s, True) for s in stems)
+                words = set(WORD.findall((text or "").lower()))
+                held[bool(toxic)].update({e for word in words for e in _entries(word)})
                 if sum(map(len, held.values())) > REMEMBER:
                     yield out()
         yield out()
@@ -247,6 +247,34 @@ def _counts(texts: DataFrame) -> DataFrame:
     )
 
 
+def _in_contexts(texts: DataFrame, entries: set[tuple[str, bool]]) -> DataFrame:
+    """(entry, is_stem, hit, miss): numbers of different pairs of neighbours in toxic and clean texts.
+
+    A text that was copied often says no more than one: its words have the same neighbours again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[tuple[str, bool, bool, str]] = set()
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                words = ["", *WORD.findall((text or "").lower()), ""]
+                for before, word, after in zip(words, words[1:], words[2:]):
+                    for entry in _entries(word):
+                        if entry in entries:
+                            found.add((*entry, bool(toxic), f"{before} {after}"))
+            rows = list(found)
+            kinds = (pa.string(), pa.bool_(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in rows], type=kind) for i, kind in enumerate(kinds)],
+                names=["entry", "is_stem", "toxic", "context"],
+            )
+
+    seen = texts.mapInArrow(run, "entry string, is_stem boolean, toxic boolean, context string")
+    return seen.distinct().groupBy("entry", "is_stem").agg(
+        F.count_if("toxic").alias("hit"), F.count_if(~F.col("toxic")).alias("miss")
+    )
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """(text, toxic) of at most `sample` labelled documents that are not held out.
 
@@ -274,23 +302,32 @@ def learn_lexicon(texts: DataFrame) -> Lexicon:
     bar = 2 * math.log(max(2, counted.count()))
     often = (F.col("hit") >= LEAST_HITS) & (F.col("hit") / toxic >= 10 * F.col("miss") / clean)
     some = counted.filter(often).orderBy(F.col("hit").desc(), "miss", "entry", "is_stem")
-    some = some.limit(20 * TERMS)
-    terms: dict[str, float] = {}
-    stems: dict[str, float] = {}
+    some = {(r["entry"], r["is_stem"]) for r in some.limit(20 * TERMS).collect()}
+    kept: dict[bool, dict[str, tuple[float, float]]] = {True: {}, False: {}}
     found = [
-        (_evidence(row["hit"], row["miss"], toxic, clean), row) for row in some.collect()
+        (_evidence(min(r["hit"], toxic), min(r["miss"], clean), toxic, clean), r)
+        for r in _in_contexts(texts, some).collect()
     ]
-    for evidence, row in sorted(found, key=lambda x: (-x[0], x[1]["entry"])):
-        if evidence < bar:
-            break
-        odds = (row["hit"] + 0.5) / (toxic + 1) / ((row["miss"] + 0.5) / (clean + 1))
-        entries = stems if row["is_stem"] else terms
-        if len(entries) < TERMS:
-            entries[row["entry"]] = min(math.log(odds), 8.0)
-    # a stem says more than a word only if it has several; longer stems of a good one say the same
-    own = {s: w for s, w in stems.items() if not any(s[:n] in stems for n in STEMS if n < len(s))}
-    spread = {s: w for s, w in own.items() if s not in terms}
-    return Lexicon(terms, spread)
+    for evidence, r in sorted(found, key=lambda x: (-x[0], x[1]["entry"])):
+        odds = (r["hit"] + 0.5) / (toxic + 1) / ((r["miss"] + 0.5) / (clean + 1))
+        if evidence >= bar and odds >= 10 and len(kept[r["is_stem"]]) < TERMS:
+            kept[r["is_stem"]][r["entry"]] = (min(math.log(odds), 8.0), r["hit"])
+    terms = {term: weight for term, (weight, _) in kept[False].items()}
+    return Lexicon(terms, _best_stems(kept[True]))
+
+
+def _best_stems(found: dict[str, tuple[float, float]]) -> dict[str, float]:
+    """Of stems that begin one another, the longest with nearly all the matches of the shortest."""
+    out: dict[str, float] = {}
+    for stem in sorted(found, key=lambda s: (len(s), s)):
+        if any(stem.startswith(short) or short.startswith(stem) for short in out):
+            continue
+        best = stem
+        for longer in sorted((s for s in found if s.startswith(stem)), key=len):
+            if longer.startswith(best) and found[longer][1] >= 0.9 * found[stem][1]:
+                best = longer
+        out[best] = found[best][0]
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
