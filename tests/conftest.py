@@ -14,7 +14,7 @@ from vitrine.session import local_session  # noqa: E402
 DATA = "/root/testdata/sf0.001"
 
 # Every key with more than a handful of rows is hot, and all rows are looked at.
-EAGER = SkewPolicy(share=1e-4, min_rows=3, sample=1.0, oversplit=2)
+EAGER = SkewPolicy(min_rows=3, oversplit=2)
 OFF = SkewPolicy(enabled=False)
 
 

@@ -6,12 +6,15 @@ import re
 
 import pytest
 
-from tests.conftest import DATA
+from datetime import date
+
+from tests.conftest import DATA, EAGER, OFF, rows_of
 from vitrine.registry import ORACLES, QUERIES
 from vitrine.registry.tables import Tables
-from vitrine.registry.params import SCOPE
+from vitrine.registry.params import EVERYTHING, SCOPE
 from vitrine.plans.stock_flow import stock_flow_report
-from vitrine.plans.price import price_report
+from vitrine.plans.coverage import seller_price_counts
+from vitrine.plans.price import price_report, price_report_by_product
 
 HEAVY = sorted(name for name in QUERIES if name.startswith(("report_", "agg_", "win_", "join_")))
 
@@ -79,3 +82,36 @@ def test_latest_rows_are_cut_in_every_task(spark):
 def test_one_day_reaches_the_scan(spark):
     plan = plan_text(QUERIES["flt_date_eq"](spark, DATA))
     assert "GreaterThanOrEqual(ts,2024-01-17" in plan and "LessThan(ts,2024-01-18" in plan
+
+
+def test_seller_prices_take_one_pass_over_the_facts(no_broadcast):
+    t = Tables(no_broadcast, DATA)
+    plan = plan_text(seller_price_counts(t.listings, t.observations, EVERYTHING), "simple")
+    assert len(re.findall(r"FileScan parquet \[l_", plan)) == 1
+    assert len(re.findall(r"Exchange hashpartitioning\(url_id#", plan)) == 1
+
+
+def test_looked_up_revenue_reads_the_facts_once_more_for_the_output(no_broadcast):
+    plan = plan_text(QUERIES["map_lookup"](no_broadcast, DATA), "simple")
+    assert len(re.findall(r"FileScan parquet \[l_", plan)) == 2
+
+
+def test_product_prices_shuffle_the_facts_twice(no_broadcast):
+    plan = plan_text(QUERIES["agg_price_by_product"](no_broadcast, DATA), "simple")
+    # Listings and facts by url, then everything by product.
+    assert plan.count("Exchange hashpartitioning") == 3
+    assert len(re.findall(r"FileScan parquet \[l_", plan)) == 1
+
+
+@pytest.mark.parametrize("policy", [EAGER, OFF])
+def test_hot_products_give_the_same(spark, policy):
+    t = Tables(spark, DATA)
+    days = (date(1996, 1, 15), date(1999, 2, 15))
+    got = price_report_by_product(t.listings, t.observations, *days, policy=policy)
+    want = price_report_by_product(t.listings, t.observations, *days)
+    assert rows_of(got) == rows_of(want)
+
+
+def test_a_window_by_key_serves_later_steps(no_broadcast):
+    plan = plan_text(QUERIES["win_any"](no_broadcast, DATA), "simple")
+    assert "_w0" not in plan

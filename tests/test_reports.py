@@ -26,6 +26,7 @@ SCOPE = Scope(
     as_of=date(2024, 1, 3),
     targets=("electrónica", "computación"),
     tiebreak=("id",),
+    one_row_per_listing=True,
     skew=OFF,
 )
 SKEWED = replace(SCOPE, skew=EAGER)

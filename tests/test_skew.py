@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tests.conftest import EAGER, OFF, rows_of
 from vitrine.operators.joins import listings_with_facts
 from vitrine.operators.panel import any_per_key, last_per_key, with_previous
-from vitrine.operators.skew import SLICE, SkewPolicy, plan_slices
+from vitrine.operators.skew import SLICE, SkewPolicy, plan_slices, plan_spread, with_spread
 
 SCHEMA = "url_id string, created timestamp_ntz, id long, quantity double, price double"
 
@@ -45,9 +45,9 @@ def brute_previous(facts):
 POLICIES = [
     OFF,
     EAGER,
-    SkewPolicy(min_rows=100, sample=1.0, oversplit=8),
-    SkewPolicy(min_rows=50, sample=0.5, oversplit=3),
-    SkewPolicy(share=0.2, min_rows=1, sample=1.0, oversplit=50),
+    SkewPolicy(min_rows=100, hits=100, oversplit=8),
+    SkewPolicy(min_rows=50, hits=25, oversplit=3),
+    SkewPolicy(min_rows=1, oversplit=50),
 ]
 
 
@@ -88,14 +88,13 @@ def test_previous_values_by_two_keys(spark, facts):
 
 
 def test_only_keys_above_the_bar_are_hot(spark, facts):
-    policy = SkewPolicy(min_rows=100, sample=1.0, oversplit=8)
+    policy = SkewPolicy(min_rows=100, hits=100, oversplit=8)
     slices = plan_slices(facts, ["url_id"], "created", policy)
     hot = slices.hot.collect()
     assert [row["url_id"] for row in hot] == ["hot"]
-    # 300 of 900 keyed rows against a bar of 100: three shares, each split eightfold, over 16
-    # intervals of time.
-    assert hot[0]["_parts"] == 2
-    assert len(hot[0]["_bounds"]) == 17
+    # 300 rows against a bar of 100: three shares, each split eightfold, over 32 intervals.
+    assert hot[0]["_parts"] == 1
+    assert len(hot[0]["_bounds"]) == 33
     sizes = slices.label(facts).where("url_id = 'hot'").groupBy(SLICE).count().collect()
     assert len(sizes) > 12 and max(row["count"] for row in sizes) < 60
     assert not plan_slices(facts, ["url_id"], "created").any
@@ -115,7 +114,7 @@ def test_a_burst_in_a_long_time_is_split(spark):
         """timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, cast(id as decimal(18,6)))
            + make_dt_interval(case when id = 999 then 3000 else 0 end, 0, 0, 0) as created""",
     )
-    policy = SkewPolicy(min_rows=100, sample=1.0, oversplit=8)
+    policy = SkewPolicy(min_rows=100, hits=100, oversplit=8)
     slices = plan_slices(burst, ["url_id"], "created", policy)
     sizes = [row["count"] for row in slices.label(burst).groupBy(SLICE).count().collect()]
     # All rows but one are in the first 17 minutes of eight years.
@@ -123,13 +122,74 @@ def test_a_burst_in_a_long_time_is_split(spark):
 
 
 def test_copies_meet_every_slice_and_others_stay_single(spark, facts):
-    policy = SkewPolicy(min_rows=100, sample=1.0, oversplit=8)
+    policy = SkewPolicy(min_rows=100, hits=100, oversplit=8)
     slices = plan_slices(facts, ["url_id"], "created", policy)
     listings = spark.createDataFrame([("hot",), ("u1",), ("none",), (None,)], "url string")
     copies = slices.copy_to_slices(listings, ["url"]).groupBy("url").count().collect()
     assert {r["url"]: r["count"] for r in copies} == {"hot": 32, "u1": 1, "none": 1, None: 1}
 
 
+@pytest.mark.parametrize("scale", [1, 10, 100])
+def test_the_bar_does_not_rise_with_the_table(spark, scale):
+    """A key of 500 rows is hot in tables of any size, and its slices stay small."""
+    rows = spark.range(1000 * scale).selectExpr(
+        "case when id < 500 then 'hot' else 'k' || id div 20 end as url_id",
+        "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, cast(id % 500 as int)) as created",
+        "id",
+    )
+    policy = SkewPolicy(min_rows=100, hits=100, oversplit=8)
+    slices = plan_slices(rows, ["url_id"], "created", policy, ["id"])
+    assert [r["url_id"] for r in slices.hot.collect()] == ["hot"]
+    sizes = slices.label(rows).where("url_id = 'hot'").groupBy(SLICE).count().collect()
+    assert max(r["count"] for r in sizes) <= 100
+
+
+def test_rows_of_one_second_are_split(spark):
+    rows = spark.range(5000).selectExpr(
+        "'hot' as url_id", "timestamp_ntz'2024-01-01' as created", "(id * 7919) % 5000 as id"
+    ).withColumn("quantity", F.col("id").cast("double"))
+    policy = SkewPolicy(min_rows=100, hits=100, oversplit=8)
+    slices = plan_slices(rows, ["url_id"], "created", policy, ["id"])
+    sizes = [r["count"] for r in slices.label(rows).groupBy(SLICE).count().collect()]
+    assert sum(sizes) == 5000 and max(sizes) <= 400
+    got = with_previous(rows, ["url_id"], "created", ["id"], {"q0": "quantity"}, policy=policy)
+    before = {r["id"]: r["q0"] for r in got.collect()}
+    assert before == {n: float(n - 1) if n else None for n in range(5000)}
+    spread = plan_spread(rows, "url_id", "created", policy)
+    sizes = [r["count"] for r in spread.label(with_spread(rows)).groupBy(SLICE).count().collect()]
+    assert max(sizes) <= 400
+
+
+@pytest.mark.parametrize("wrong", [{"min_rows": 0}, {"hits": 0}, {"oversplit": 0}])
+def test_a_policy_is_checked(wrong):
+    with pytest.raises(ValueError):
+        SkewPolicy(**wrong)
+
+
+def test_slices_found_once_serve_again(spark, facts):
+    policy = SkewPolicy(min_rows=50, oversplit=3)
+    slices = plan_slices(facts, ["url_id"], "created", policy, ["id"])
+    got = with_previous(facts, ["url_id"], "created", ["id"], {"q0": "quantity"}, slices=slices)
+    want = with_previous(facts, ["url_id"], "created", ["id"], {"q0": "quantity"}, policy=OFF)
+    assert rows_of(got.drop(SLICE)) == rows_of(want)
+
+
+@pytest.mark.parametrize("policy", [OFF, EAGER])
+def test_rows_without_a_key_do_not_meet_in_a_full_join(spark, policy):
+    facts = spark.range(4000).selectExpr(
+        "case when id % 2 = 0 then 'u' || id % 100 end as url_id",
+        "timestamp_ntz'2024-01-01' as created", "id",
+    ).repartition(8)
+    listings = spark.range(60).selectExpr("case when id < 50 then 'u' || id end as url", "id as seller")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = listings_with_facts(listings, facts, "full_outer", policy=policy)
+    want = listings.join(facts, F.col("url") == F.col("url_id"), "full_outer")
+    assert rows_of(got) == rows_of(want)
+    held = got.groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r["count"] for r in held) < 0.4 * sum(r["count"] for r in held)
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "full_outer"])
 @pytest.mark.parametrize("policy", POLICIES[1:])
 def test_joins(spark, facts, how, policy):

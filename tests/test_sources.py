@@ -15,13 +15,21 @@ from vitrine.registry.tables import Tables
 from vitrine.schemas import LISTINGS
 from vitrine.session import work_dir
 from vitrine.sinks.writers import write_by_day, write_csv, write_table
-from vitrine.sources.readers import jdbc_options, name_by_position, read_csv, read_csv_with_lists
+from vitrine.sources.readers import (
+    hash_predicates,
+    jdbc_options,
+    jdbc_parts,
+    name_by_position,
+    range_predicates,
+    read_csv,
+    read_csv_with_lists,
+)
 
 
 def test_jdbc_options_of_a_plain_read():
-    options = jdbc_options({"url": "jdbc:x"}, query="select 1")
+    options = jdbc_options({"url": "jdbc:x"}, query="select 1", one_task=True)
     assert options == {"url": "jdbc:x", "query": "select 1", "fetchsize": "10000"}
-    assert jdbc_options({"url": "jdbc:x"}, table="t")["dbtable"] == "t"
+    assert jdbc_options({"url": "jdbc:x"}, table="t", one_task=True)["dbtable"] == "t"
 
 
 def test_jdbc_options_of_a_split_read():
@@ -47,6 +55,8 @@ def test_jdbc_options_of_a_split_read():
         {"query": "q", "table": "t"},
         {"table": "t", "split_on": "id"},
         {"table": "t", "parts": 4},
+        {"table": "t"},
+        {"table": "t", "one_task": True, "parts": 4},
     ],
 )
 def test_jdbc_options_refuse_half_a_request(wrong):
@@ -56,6 +66,28 @@ def test_jdbc_options_refuse_half_a_request(wrong):
         jdbc_options({}, table="t")
 
 
+def test_jdbc_parts_by_text_keys():
+    parts = jdbc_parts({"url": "jdbc:x", "user": "u"}, hash_predicates("crc32(url)", 3), query="q")
+    assert parts["url"] == "jdbc:x" and parts["table"] == "(q) AS source"
+    assert parts["properties"] == {"user": "u", "fetchsize": "10000"}
+    assert parts["predicates"] == [
+        "MOD(crc32(url), 3) = 0 OR (crc32(url)) IS NULL",
+        "MOD(crc32(url), 3) = 1",
+        "MOD(crc32(url), 3) = 2",
+    ]
+    with pytest.raises(ValueError):
+        jdbc_parts({"url": "jdbc:x"}, [], table="t")
+    with pytest.raises(ValueError):
+        range_predicates("url", ["b", "a"])
+
+
+@pytest.mark.parametrize("predicates", [hash_predicates("length(k)", 3), range_predicates("k", ["b", "d'", "x"])])
+def test_each_row_meets_one_condition(spark, predicates):
+    rows = spark.createDataFrame([(k,) for k in ("", "a", "bb", "c", "d'", "dd", "zzz", None)], "k string")
+    met = [rows.where(p).collect() for p in predicates]
+    assert sorted((r["k"] for part in met for r in part), key=str) == sorted((r["k"] for r in rows.collect()), key=str)
+
+
 def test_csv_keeps_quotes_commas_nulls_and_blanks(spark):
     frame = spark.createDataFrame(
         [('a "b", c', None, "é"), (" ", "x\\y", "[{'a'}]"), ('"', "''", " lead")],
@@ -152,6 +184,16 @@ def test_pages_cover_all_rows_once(spark):
     assert rows_of(stack(pages)) == rows_of(rows)
 
 
+def test_a_deep_page_is_cut_from_few_ranges(spark):
+    rows = spark.range(20_000).withColumn("k", F.col("id") % 7)
+    found = page(rows, [F.desc("k"), "id"], 15_000, 10)
+    want = rows.orderBy(F.desc("k"), "id").offset(15_000).limit(10)
+    assert [tuple(r) for r in found.collect()] == [tuple(r) for r in want.collect()]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "limit=15010" not in plan
+    assert page(rows, ["id"], 50_000, 10).count() == 0
+
+
 def test_latest_rows(spark):
     rows = spark.createDataFrame(
         [(1, datetime(2024, 1, 1)), (2, datetime(2024, 1, 3)), (3, datetime(2024, 1, 3)), (4, None)],

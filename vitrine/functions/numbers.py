@@ -60,10 +60,15 @@ def exact(number: Column) -> Column:
     return number.try_cast(_EXACT)
 
 
-def exact_sum(number: Column) -> Column:
-    """Aggregate: sum that does not depend on the order of the rows.
+def exact_sum(number: Column, times: Column | None = None) -> Column:
+    """Aggregate: sum of numbers, each counted ``times`` times, that keeps every digit.
 
-    Taken at six decimal places; a group with infinite or giant numbers is summed as doubles.
+    What fits into six decimal places is added up in decimal, whatever the order of the rows; what
+    a number has beyond (tiny, giant and infinite ones) is added up as doubles. For money nothing
+    is left over.
     """
-    too_large = F.count_if(number.isNotNull() & exact(number).isNull())
-    return F.when(too_large == 0, F.sum(exact(number)).cast("double")).otherwise(F.sum(number))
+    kept = exact(number)
+    left = number - F.coalesce(kept.cast("double"), F.lit(0.0))
+    if times is not None:
+        kept, left = kept * times, left * times
+    return F.coalesce(F.sum(kept).cast("double"), F.lit(0.0)) + F.sum(left)

@@ -1,7 +1,6 @@
 """Joins of the three catalogue tables.
 
-The only side ever broadcast by hand is one of proven size (see skew.py). Elsewhere Spark
-picks a broadcast itself when the measured size allows it.
+No side is broadcast by hand: Spark picks a broadcast itself when the measured size allows it.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.operators.filters import since
-from vitrine.operators.skew import DEFAULT_POLICY, SLICE, SkewPolicy, join_facts, plan_slices
+from vitrine.operators.skew import DEFAULT_POLICY, SLICE, SkewPolicy, join_facts, plan_spread
 
 
 def listings_with_facts(
@@ -30,7 +29,7 @@ def listings_with_facts(
     """
     if how == "inner":
         return listings.join(facts, F.col(on[0]) == F.col(on[1]), "inner")
-    slices = plan_slices(facts, [on[1]], time, policy)
+    slices = plan_spread(facts, on[1], time, policy)
     return join_facts(listings, facts, on, how, slices).drop(SLICE)
 
 

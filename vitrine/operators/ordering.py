@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.operators.filters import in_days
+from vitrine.session import written
 
 
 def distinct_keys(rows: DataFrame, key: str) -> DataFrame:
@@ -22,8 +23,26 @@ def by_listing_newest_first(rows: DataFrame, key: str, time: str, *tiebreak: str
 
 
 def page(rows: DataFrame, order: Sequence[Column | str], offset: int, size: int) -> DataFrame:
-    """One page of a total order. Meant for looking at a page: reports never read by pages."""
-    return rows.orderBy(*order).offset(offset).limit(size)
+    """One page of a total order. Meant for looking at a page: reports never read by pages.
+
+    The rows are written once, dealt out by ranges of the order; counts of the ranges say which of
+    them the page touches, and only those are put in order. So a task holds a range at most, however
+    deep the page lies. Only one count for each range reaches the driver.
+    """
+    part = "_range"
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(ranges, *order).withColumn(part, F.spark_partition_id())
+    dealt = written(dealt)
+    counts = dict(dealt.groupBy(part).count().collect())
+    needed, before, at = [], 0, 0
+    for number in sorted(counts):
+        first, at = at, at + counts[number]
+        if at <= offset:
+            before = at
+        elif first < offset + size:
+            needed.append(number)
+    found = dealt.where(F.col(part).isin(needed)).orderBy(*order)
+    return found.offset(offset - before).limit(size).drop(part)
 
 
 def latest(rows: DataFrame, n: int, time: str, *tiebreak: str) -> DataFrame:
@@ -33,7 +52,10 @@ def latest(rows: DataFrame, n: int, time: str, *tiebreak: str) -> DataFrame:
 
 
 def stack(frames: Sequence[DataFrame]) -> DataFrame:
-    """All rows of frames with the same columns."""
+    """All rows of frames with the same columns, for frames that come from different sources.
+
+    Slices of one table are better read in one scan: see sweep_days.
+    """
     return reduce(DataFrame.unionByName, frames)
 
 

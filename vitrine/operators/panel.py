@@ -32,29 +32,32 @@ def with_previous(
     slices: the layout of ``rows`` if they carry slice numbers already (see skew.join_facts).
     history: the frame to take the last row of each slice from; it must hold the same
         observations of every key in ``rows``. Default is ``rows`` itself.
-    null_keys: False says that no key is NULL, as after a join on it.
+    null_keys: False says that no key is NULL, as after a join on it; it saves a second scan.
     """
     if slices is None:
-        slices = plan_slices(rows, keys, time, policy)
+        slices = plan_slices(rows, keys, time, policy, tiebreak)
     labelled = SLICE in rows.columns
     if slices.any and not labelled:
         rows = slices.label(rows)
-    groups = [F.col(key) for key in keys]
-    if slices.any:
-        groups.append(F.col(SLICE))
-    known = F.lit(True)
     if null_keys:
+        # Rows without a key belong to no history. Parted off, they don't meet in one group, and
+        # the window's shuffle is by the key alone, so that a later step by key can use it.
+        known = F.lit(True)
         for key in keys:
             known = known & F.col(key).isNotNull()
-        # Rows without a key belong to no history; they must not meet in one group either.
-        groups.append(F.when(~known, F.xxhash64(time, *tiebreak)))
+        found = with_previous(
+            rows.where(known), keys, time, tiebreak, previous, slices, history, policy, False
+        )
+        types = {field.name: field.dataType for field in found.schema}
+        unknown = {new: F.lit(None).cast(types[new]) for new in previous}
+        if SLICE in found.columns and SLICE not in rows.columns:
+            unknown[SLICE] = F.lit(0)
+        return found.unionByName(rows.where(~known).withColumns(unknown))
+    groups = [F.col(key) for key in keys]
+    if slices.any:
+        groups.append(F.col(SLICE))
     window = Window.partitionBy(*groups).orderBy(time, *tiebreak)
-
-    def lag(column: str) -> Column:
-        value = F.lag(column).over(window)
-        return F.when(known, value) if null_keys else value
-
-    lagged = {new: lag(column) for new, column in previous.items()}
+    lagged = {new: F.lag(column).over(window) for new, column in previous.items()}
     if not slices.any:
         return rows.withColumns(lagged)
 
@@ -62,8 +65,8 @@ def with_previous(
     carry = _last_of_slice_before(
         slices, rows if history is None else history, time, tiebreak, previous
     )
-    # At most (1/share) * oversplit * 2 rows, see skew.SkewPolicy.
-    rows = rows.join(F.broadcast(carry), [*slices.keys, SLICE], "left")
+    # A row per slice, joined as its size tells Spark to; the window's shuffle is by the same keys.
+    rows = rows.join(carry, [*slices.keys, SLICE], "left")
     first = F.col(_HAS_PREVIOUS).isNull()
     rows = rows.withColumns(
         {new: F.when(first, F.col(_CARRY)[new]).otherwise(F.col(new)) for new in previous}

@@ -1,4 +1,4 @@
-"""Groups that hold a large share of all rows, and how they are split.
+"""Groups that hold very many rows, and how they are split.
 
 A window over one listing's history needs the rows of that listing in time order.
 When one listing holds, say, a third of all rows, that is one task. So the history
@@ -12,42 +12,51 @@ rows are spread: any choice of hot keys and of slices gives the same result.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitrine.functions.dates import seconds_of
+from vitrine.session import written
 
 SLICE = "_slice"
 _COPY = "_copied"
-# A hot key's time is first cut into this many intervals of about as many rows each.
-_INTERVALS = 16
+_SPREAD = "_spread"
+# A hot key's history is first cut into this many intervals of about as many rows each.
+_INTERVALS = 32
+# Sampled rows of a hot key that its borders are taken from.
+_POINTS = 4096
 
 
 @dataclass(frozen=True)
 class SkewPolicy:
-    """When a group counts as hot.
+    """When a group counts as hot, however many rows the table has.
 
-    share: a hot group holds more than this share of all rows, so there are fewer than
-        1/share hot groups. That bounds every table broadcast here.
-    min_rows: one task copes with this many rows, so a smaller group is never hot.
-    sample: fraction of rows looked at.
-    oversplit: slices per share of rows, because rows may be uneven in time.
+    min_rows: one task copes with this many rows; a group that holds more is hot.
+    hits: rows of such a group the sample is expected to hold. The sample is hits / min_rows of
+        the table, so it stays far smaller than the table and finds every hot group.
+    oversplit: slices per min_rows rows, because rows may be uneven in time.
     """
 
-    share: float = 1e-4
     min_rows: int = 1_000_000
-    sample: float = 0.01
+    hits: float = 50
     oversplit: int = 8
     enabled: bool = True
 
+    def __post_init__(self) -> None:
+        if self.min_rows < 1 or self.hits <= 0 or self.oversplit < 1:
+            raise ValueError("min_rows, hits and oversplit must be positive")
+
+    @property
+    def fraction(self) -> float:
+        return min(1.0, self.hits / self.min_rows)
+
     def thin(self, rows: DataFrame) -> DataFrame:
         """The sample to look for hot keys in. Never a source of results."""
-        return rows.sample(self.sample, seed=7) if self.sample < 1 else rows
+        return rows.sample(self.fraction, seed=7) if self.fraction < 1 else rows
 
 
 DEFAULT_POLICY = SkewPolicy()
@@ -55,10 +64,14 @@ DEFAULT_POLICY = SkewPolicy()
 
 @dataclass(frozen=True)
 class Slices:
-    """The hot keys of one fact table, with the time span and slice count of each."""
+    """The hot keys of one fact table, with the borders and slice count of each.
+
+    tiebreak: columns that order rows of equal time; borders may lie between such rows.
+    """
 
     keys: tuple[str, ...]
     time: str
+    tiebreak: tuple[str, ...] = ()
     hot: DataFrame | None = None
 
     @property
@@ -68,26 +81,29 @@ class Slices:
     def on_key(self, *keys: str) -> Slices:
         """The same layout for a frame whose key columns have other names."""
         if self.hot is None:
-            return Slices(keys, self.time)
-        return Slices(keys, self.time, self.hot.withColumnsRenamed(dict(zip(self.keys, keys))))
+            return Slices(keys, self.time, self.tiebreak)
+        renamed = self.hot.withColumnsRenamed(dict(zip(self.keys, keys)))
+        return Slices(keys, self.time, self.tiebreak, renamed)
 
     def label(self, rows: DataFrame, only_hot: bool = False) -> DataFrame:
-        """Add the slice number. Rows of other listings are all in slice 0."""
+        """Add the slice number. Rows of other listings are all in slice 0.
+
+        The table of hot keys is joined as its size tells Spark to.
+        """
         at, interval, bounds = F.col("_at"), F.col("_interval"), F.col("_bounds")
-        seconds = seconds_of(F.col(self.time), rows.schema[self.time].dataType).cast("double")
-        # Fewer than 1/share rows, see SkewPolicy.
-        marked = rows.withColumn("_at", seconds).join(
-            F.broadcast(self.hot), list(self.keys), "inner" if only_hot else "left"
+        place = _place(rows, self.time, self.tiebreak)
+        marked = rows.withColumn("_at", place).join(
+            self.hot, list(self.keys), "inner" if only_hot else "left"
         )
-        # The interval of the row's time, then its even share of that interval. Both only grow
-        # with time, so the slices of a key follow each other in time. A row without a time
+        # The interval of the row's place, then its even share of the interval's time. Both only
+        # grow along the history, so the slices of a key follow each other. A row without a time
         # comes first, as in a sort.
         passed = F.size(F.filter(bounds, lambda bound: bound <= at))
         inside = F.least(F.greatest(passed, F.lit(1)), F.lit(_INTERVALS)) - 1
-        start = F.element_at(bounds, interval + 1)
-        width = F.element_at(bounds, interval + 2) - start + 1
-        place = F.floor((at - start) * F.col("_parts") / width)
-        part = F.least(F.greatest(place, F.lit(0)), F.col("_parts") - 1)
+        start = F.element_at(bounds, interval + 1)["at"]
+        width = F.element_at(bounds, interval + 2)["at"] - start + 1
+        spot = F.floor((at["at"] - start) * F.col("_parts") / width)
+        part = F.least(F.greatest(spot, F.lit(0)), F.col("_parts") - 1)
         number = F.when(F.col("_parts").isNotNull(), interval * F.col("_parts") + part)
         return (
             marked.withColumn("_interval", inside)
@@ -97,7 +113,7 @@ class Slices:
 
     def only_hot(self, rows: DataFrame) -> DataFrame:
         """Rows of hot keys."""
-        return rows.join(F.broadcast(self.hot.select(*self.keys)), list(self.keys), "left_semi")
+        return rows.join(self.hot.select(*self.keys), list(self.keys), "left_semi")
 
     def copy_to_slices(self, dimension: DataFrame, key: Sequence[str]) -> DataFrame:
         """One copy of a hot key's dimension row per slice, to meet the slices in a join."""
@@ -105,7 +121,7 @@ class Slices:
             *[F.col(mine).alias(theirs) for mine, theirs in zip(self.keys, key)],
             "_parts",
         )
-        marked = dimension.join(F.broadcast(hot), list(key), "left")
+        marked = dimension.join(hot, list(key), "left")
         count = F.coalesce(F.col("_parts") * _INTERVALS, F.lit(1))
         slices = F.sequence(F.lit(0), count - 1)
         return (
@@ -115,68 +131,60 @@ class Slices:
         )
 
 
+def _place(rows: DataFrame, time: str, tiebreak: Sequence[str]) -> Column:
+    """Where a row stands in its key's history, as something that can be compared."""
+    seconds = seconds_of(F.col(time), rows.schema[time].dataType).cast("double")
+    return F.struct(seconds.alias("at"), *tiebreak)
+
+
+def hot_keys(sample: DataFrame, keys: Sequence[str], policy: SkewPolicy) -> DataFrame:
+    """Keys that hold more than ``min_rows`` rows of the table, judged by a sample of it."""
+    bar = policy.min_rows * policy.fraction
+    return sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= bar)
+
+
 def plan_slices(
     facts: DataFrame,
     keys: Sequence[str],
     time: str,
     policy: SkewPolicy = DEFAULT_POLICY,
+    tiebreak: Sequence[str] = (),
     thinned: bool = False,
 ) -> Slices:
     """Look for hot keys in a sample and lay out their slices.
 
-    Runs one job over the key and time columns, and if there are hot keys another one for their
-    spread in time; at most 1/share rows reach the driver.
+    Runs a job over the key, time and tie-break columns, which writes the sample, and small ones
+    over that. Nothing but the answer whether there is a hot key reaches the driver.
     thinned: ``facts`` is a sample made with ``policy.thin`` already.
     """
-    plain = Slices(tuple(keys), time)
+    plain = Slices(tuple(keys), time, tuple(tiebreak))
     if not policy.enabled:
         return plain
-    seen = Observation()
-    seconds = seconds_of(F.col(time), facts.schema[time].dataType)
-    sample = facts.select(*keys, seconds.alias("_at")).where(_all_present(keys))
-    if not thinned:
-        sample = policy.thin(sample)
-    enough = policy.min_rows * min(policy.sample, 1.0)
-    top = (
-        sample.observe(seen, F.count(F.lit(1)).alias("rows"))
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") >= enough)
-        .orderBy(F.desc("_n"))
-        .limit(math.ceil(1 / policy.share))
-        .collect()
-    )
-    bar = max(enough, seen.get["rows"] * policy.share) if top else enough
-    hot = [row for row in top if row["_n"] >= bar]
-    if not hot:
-        return plain
-    parts = [math.ceil(row["_n"] / bar * policy.oversplit / _INTERVALS) for row in hot]
-    found = _small_table(facts, keys, [tuple(row) for row in hot], {"_parts": parts})
-    shares = [n / _INTERVALS for n in range(_INTERVALS + 1)]
-    spread = (
-        sample.join(F.broadcast(found), list(keys))
-        .groupBy(*keys, "_parts")
-        .agg(F.percentile_approx(F.col("_at").cast("double"), shares).alias("_bounds"))
-        .where(F.col("_bounds").isNotNull())
-        .collect()
+    sample = facts.select(*keys, _place(facts, time, tiebreak).alias("_at"))
+    sample = sample.where(_all_present(keys))
+    sample = written(sample if thinned else policy.thin(sample))
+    bar = policy.min_rows * policy.fraction
+    counts = hot_keys(sample, keys, policy)
+    # Some thousand rows of each hot key, whatever its size.
+    points = sample.where(F.col("_at")["at"].isNotNull()).join(counts, list(keys))
+    points = points.where(F.rand(7) < _POINTS / F.col("_n"))
+    shares = F.sequence(F.lit(0), F.lit(_INTERVALS))
+    ordered = F.col("_ordered")
+    hot = written(
+        points.groupBy(*keys)
+        .agg(F.sort_array(F.collect_list("_at")).alias("_ordered"), F.max("_n").alias("_n"))
+        .select(
+            *keys,
+            F.ceil(F.col("_n") / bar * policy.oversplit / _INTERVALS).cast("int").alias("_parts"),
+            F.transform(
+                shares,
+                lambda n: F.element_at(
+                    ordered, F.floor(n * (F.size(ordered) - 1) / _INTERVALS).cast("int") + 1
+                ),
+            ).alias("_bounds"),
+        )
     )
-    if not spread:
-        return plain
-    more = {name: [row[name] for row in spread] for name in ("_parts", "_bounds")}
-    return Slices(tuple(keys), time, _small_table(facts, keys, [tuple(row) for row in spread], more))
-
-
-def _small_table(
-    facts: DataFrame, keys: Sequence[str], rows: list[tuple], more: dict[str, list]
-) -> DataFrame:
-    """The first values of the rows as key columns of the facts' types, and more columns.
-
-    An Arrow table of this size becomes part of the plan itself, without tasks of its own.
-    """
-    table = pa.table({**{key: [row[i] for row in rows] for i, key in enumerate(keys)}, **more})
-    typed = [F.col(key).cast(facts.schema[key].dataType) for key in keys]
-    frame = facts.sparkSession.createDataFrame(table)
-    return frame.select(*typed, *more).withColumn("_parts", F.col("_parts").cast("int"))
+    return plain if hot.isEmpty() else Slices(tuple(keys), time, tuple(tiebreak), hot)
 
 
 def _all_present(keys: Sequence[str]) -> Column:
@@ -186,6 +194,19 @@ def _all_present(keys: Sequence[str]) -> Column:
     return present
 
 
+def plan_spread(facts: DataFrame, key: str, time: str, policy: SkewPolicy) -> Slices:
+    """Slices for a join only: rows of equal time may be told apart in any way."""
+    if not policy.enabled:
+        return Slices((key,), time)
+    return plan_slices(with_spread(facts), [key], time, policy, (_SPREAD,))
+
+
+def with_spread(facts: DataFrame) -> DataFrame:
+    """Add a number that tells rows of equal time apart."""
+    plain = [f.name for f in facts.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return facts.withColumn(_SPREAD, F.xxhash64(*plain))
+
+
 def join_facts(
     dimension: DataFrame,
     facts: DataFrame,
@@ -203,6 +224,34 @@ def join_facts(
     shared = set(dimension.columns) & set(facts.columns)
     if shared:
         raise ValueError(f"rename the columns found on both sides: {sorted(shared)}")
+    how = {"outer": "full", "full_outer": "full", "left_outer": "left", "right_outer": "right"}.get(how, how)
+    columns = [*dimension.columns, *facts.columns]
+    if slices.any and _SPREAD in slices.tiebreak:
+        facts = with_spread(facts)
+    # Rows without a key meet none. In a shuffle they would all meet in one task.
+    lonely = []
+    if how in ("left", "full"):
+        lonely.append(_filled(dimension.where(F.col(left_key).isNull()), facts))
+    if how in ("right", "full"):
+        lonely.append(_filled(facts.where(F.col(right_key).isNull()), dimension))
+    dimension = dimension.where(F.col(left_key).isNotNull())
+    facts = facts.where(F.col(right_key).isNotNull())
+    joined = _join_known(dimension, facts, on, how, slices)
+    for part in lonely:
+        part = part.withColumn(SLICE, F.lit(0)) if slices.any else part
+        joined = joined.unionByName(part)
+    return joined.select(*columns, *([SLICE] if slices.any else []))
+
+
+def _filled(rows: DataFrame, other: DataFrame) -> DataFrame:
+    """The rows with the other side's columns, all NULL."""
+    return rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in other.schema])
+
+
+def _join_known(
+    dimension: DataFrame, facts: DataFrame, on: tuple[str, str], how: str, slices: Slices
+) -> DataFrame:
+    left_key, right_key = on
     same_key = F.col(left_key) == F.col(right_key)
     if not slices.any:
         return dimension.join(facts, same_key, how)
@@ -214,6 +263,6 @@ def join_facts(
         # A hot key has facts by definition, so a copy that met none is only a spare.
         spare = F.coalesce(F.col(_COPY), F.lit(False)) & F.col(right_key).isNull()
         joined = joined.where(~spare)
-    if how in ("full", "full_outer", "outer", "right", "right_outer"):
+    if how in ("full", "right"):
         joined = joined.withColumn(SLICE, F.coalesce(SLICE, "_fact_slice"))
     return joined.drop(_COPY, "_fact_slice")

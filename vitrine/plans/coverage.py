@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.names import brand_names
 from vitrine.functions.numbers import percent
 from vitrine.operators.joins import latest_per_key
 from vitrine.operators.measures import any_by, coverage
-from vitrine.operators.stats import price_stats
+from vitrine.operators.filters import drop_missing
+from vitrine.operators.panel import is_sale
+from vitrine.operators.skew import SLICE
+from vitrine.operators.stats import stats_of_counts
 from vitrine.plans.config import Scope
-from vitrine.plans.histories import FINAL_RULES, ZERO_RULES, FlowRules, listing_totals
-from vitrine.plans.inputs import categories_of_listings, clean_facts, target_listings
+from vitrine.plans.histories import (
+    FINAL_RULES,
+    ZERO_RULES,
+    FlowRules,
+    listing_steps,
+    listing_totals,
+)
+from vitrine.plans.inputs import categories_of_listings, target_listings
+from vitrine.session import written
 
 
 def listing_sales(
@@ -96,27 +106,87 @@ def seller_price_report(listings: DataFrame, observations: DataFrame, scope: Sco
     The lowest price is the lowest latest price of a listing; the other statistics are over
     all observations.
     """
-    # Listings are spread over their categories before any join: the lists stay off the facts.
-    wanted = categories_of_listings(listings, scope, "seller_id")
-    listed = wanted.join(listing_sales(wanted, observations, scope, ZERO_RULES), "url", "left")
-    lowest = listed.groupBy("category").agg(F.min("last_price").alias("min_price"))
-    sellers = coverage(
-        any_by(listed, ["category", "seller_id"], F.col("sold"), "sold"),
+    counts = written(seller_price_counts(listings, observations, scope))
+    is_seller = F.col("is_seller") & F.col("seller_id").isNotNull()
+    return stats_of_counts(
+        counts,
         ["category"],
-        "sold",
+        "price",
+        ("_lowest", "max_price", "avg_price", "median_price"),
+        [
+            F.min("last_price").alias("min_price"),
+            F.count_if(is_seller).alias("total_sellers"),
+            F.count_if(is_seller & F.col("sold")).alias("sellers_with_sales"),
+        ],
+    ).select(
+        "category",
+        "min_price",
         "total_sellers",
         "sellers_with_sales",
-        "pct_sellers_with_sales",
+        percent(F.col("sellers_with_sales"), F.col("total_sellers")).alias("pct_sellers_with_sales"),
+        "max_price",
+        "avg_price",
+        "median_price",
     )
-    facts = clean_facts(observations, scope, fill="keep").select("url_id", "price")
-    prices = price_stats(
-        wanted.join(facts, F.col("url") == F.col("url_id")),
-        ["category"],
-        weight="times",
-        names=("_lowest", "max_price", "avg_price", "median_price"),
-    ).drop("_lowest")
+
+
+def seller_price_counts(listings: DataFrame, observations: DataFrame, scope: Scope) -> DataFrame:
+    """Rows per (category, price), and per (category, seller) whether it sold anything.
+
+    Facts are read and shuffled once, by listing: the window, the counts of each price and what
+    the listing did all follow there. Only then are listings spread over their categories.
+    """
+    urls = target_listings(listings, scope, "raw").select("url").where(F.col("url").isNotNull())
+    steps = listing_steps(urls, observations, scope, ZERO_RULES)
+
+    def merged(rows: DataFrame, keys: list[str], n: Column, sold: Column, at: Column) -> DataFrame:
+        return rows.groupBy(*keys).agg(
+            F.sum(n).alias("n"), F.bool_or(sold).alias("sold"), F.max(at).alias("at")
+        )
+
+    first = [F.lit(1), is_sale(F.col("stock_change")), F.struct("created", *scope.tiebreak)]
+    keys = ["url", "price"]
+    if SLICE in steps.columns:
+        again = [F.col("n"), F.col("sold"), F.col("at")]
+        per_price = merged(merged(steps, [*keys, SLICE], *first), keys, *again)
+    else:
+        per_price = merged(steps, keys, *first)
+    # A bounded group: the different prices of one listing.
+    listing = Window.partitionBy("url")
+    per_price = per_price.select(
+        "url",
+        "price",
+        "n",
+        F.max("sold").over(listing).alias("sold"),
+        F.max(F.struct("at", "price")).over(listing)["price"].alias("last_price"),
+    )
+    wanted = categories_of_listings(listings, scope, "seller_id")
+    spread = wanted.join(per_price, "url", "left")
+    no_seller = F.lit(None).cast(spread.schema["seller_id"].dataType)
+    price = F.struct(
+        F.lit(False).alias("is_seller"),
+        "price",
+        (F.coalesce("n", F.lit(0)) * F.col("times")).alias("n"),
+        no_seller.alias("seller_id"),
+    )
+    seller = F.struct(
+        F.lit(True).alias("is_seller"),
+        F.lit(None).cast("double").alias("price"),
+        F.lit(0).cast("long").alias("n"),
+        "seller_id",
+    )
+    both = spread.select(
+        "category",
+        F.coalesce("sold", F.lit(False)).alias("sold"),
+        "last_price",
+        F.explode(F.array(price, seller)).alias("_row"),
+    ).select("category", "sold", "last_price", "_row.*")
     return (
-        lowest.join(sellers, "category", "left")
-        .join(prices, "category", "left")
-        .na.fill(0, ["total_sellers", "sellers_with_sales"])
+        drop_missing(both, "category")
+        .groupBy("category", "is_seller", "price", "seller_id")
+        .agg(
+            F.sum("n").alias("_n"),
+            F.bool_or("sold").alias("sold"),
+            F.min("last_price").alias("last_price"),
+        )
     )

@@ -35,7 +35,9 @@ def target_listings(
     Listings without a readable category are left out.
     """
     if not scope.one_row_per_listing:
-        listings = latest_per_key(listings, "url", "created")
+        time = "created" if "created" in listings.columns else "url"
+        rest = [name for name in listings.columns if name not in ("url", time)]
+        listings = latest_per_key(listings, "url", time, rest)
     if scope.targets is not None:
         # Matched on the whole path, whatever level is reported.
         path = breadcrumb_path(F.col("breadcrumbs"), lower=False)
@@ -87,9 +89,16 @@ def clean_facts(
 
 
 def listing_slices(observations: DataFrame, scope: Scope, fill: str | None = None) -> Slices:
-    """Slices of listings that are hot among the observations in scope."""
+    """Slices of listings that are hot among the observations in scope.
+
+    Found once, they serve all reports over the same observations: see Scope.slices.
+    """
+    if scope.slices is not None:
+        return scope.slices
     if not scope.skew.enabled:
-        return Slices(("url_id",), "created")
+        return Slices(("url_id",), "created", scope.tiebreak)
     thin = scope.skew.thin(recent(observations, scope))
     facts = clean_facts(thin, scope, fill, keep_price=False)
-    return plan_slices(facts, ["url_id"], "created", scope.skew, thinned=True)
+    return plan_slices(
+        facts, ["url_id"], "created", scope.skew, scope.tiebreak, thinned=True
+    )

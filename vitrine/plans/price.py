@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.numbers import to_number
 from vitrine.operators.filters import between
-from vitrine.operators.stats import price_stats
+from vitrine.operators.skew import DEFAULT_POLICY, SkewPolicy, hot_keys
+from vitrine.operators.stats import price_stats, price_stats_in_place
 from vitrine.plans.config import Scope
 from vitrine.plans.inputs import clean_facts, target_listings
+from vitrine.session import written
 
 
 def price_report(
@@ -32,16 +34,33 @@ def price_report_by_product(
     observations: DataFrame,
     start: date | datetime,
     end: date | datetime,
+    policy: SkewPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
-    """The same per product and raw breadcrumb text, over a closed range of time."""
+    """The same per product and raw breadcrumb text, over a closed range of time.
+
+    Products have few observations each, so rows are shuffled by listing for the join and by
+    product for all the rest. Products with very many are told apart by a sample first, and go the
+    way of categories, which spreads them by price.
+    """
     facts = observations.where(between(F.col("created"), start, end)).select(
         "url_id", to_number(F.col("price")).alias("price")
     )
-    rows = listings.select("url", "product_id", F.col("breadcrumbs").alias("category")).join(
-        facts, F.col("url") == F.col("url_id")
-    )
-    return price_stats(
-        rows,
-        ["product_id", "category"],
-        names=("min_price", "max_price", "mean_price", "median_price"),
+    listed = listings.select("url", "product_id", F.col("breadcrumbs").alias("category"))
+
+    def joined(some: DataFrame) -> DataFrame:
+        return listed.join(some, F.col("url") == F.col("url_id"))
+
+    names = ("min_price", "max_price", "mean_price", "median_price")
+    keys = ["product_id", "category"]
+    rows = joined(facts)
+    if not policy.enabled:
+        return price_stats_in_place(rows, keys, "price", names, by="product_id")
+    sample = joined(policy.thin(facts.select("url_id"))).where(F.col("product_id").isNotNull())
+    hot = written(hot_keys(sample, ["product_id"], policy).select("product_id"))
+    if hot.isEmpty():
+        return price_stats_in_place(rows, keys, "price", names, by="product_id")
+    small = rows.join(hot, "product_id", "left_anti")
+    large = rows.join(hot, "product_id", "left_semi")
+    return price_stats_in_place(small, keys, "price", names, by="product_id").unionByName(
+        price_stats(large, keys, names=names)
     )

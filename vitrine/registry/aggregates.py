@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.names import brand_names, breadcrumb_names, breadcrumb_path
 from vitrine.functions.numbers import exact_sum, to_number
-from vitrine.operators.expand import per_distinct_element
+from vitrine.operators.expand import per_distinct_element, per_element
 from vitrine.operators.filters import drop_missing, on_day
 from vitrine.operators.measures import any_by, count_distinct_by, coverage, stock_flow_by
-from vitrine.operators.panel import change, is_movement, is_sale, last_per_key, with_previous
+from vitrine.operators.panel import change, is_movement, is_sale, with_previous
 from vitrine.operators.stats import price_stats
 from vitrine.plans.inputs import target_listings
 from vitrine.plans.price import price_report_by_product
@@ -97,13 +98,44 @@ def agg_price_by_product(t: Tables):
     FROM x GROUP BY category""",
 )
 def agg_price_last_mixed(t: Tables):
-    rows = _priced(t, breadcrumb_path(F.col("breadcrumbs")).alias("category"))
-    last = last_per_key(rows, "url", "price", "created", TIE, "last_price")
-    lowest = drop_missing(last, "category").groupBy("category").agg(
-        F.min("last_price").alias("min_price")
+    """One pass: prices are counted per listing, which also keeps the listing's last one."""
+    facts = t.observations.where(to_number(F.col("available_quantity")).isNotNull())
+    price = to_number(F.col("price")).alias("price")
+    counted = facts.groupBy("url_id", price).agg(
+        F.count(F.lit(1)).alias("times"), F.max(F.struct("created", *TIE)).alias("at")
+    )
+    listing = Window.partitionBy("url_id")
+    last = F.max(F.struct("at", "price")).over(listing)["price"].alias("last_price")
+    listed = t.listings.select("url", breadcrumb_path(F.col("breadcrumbs")).alias("category"))
+    rows = counted.select("url_id", "price", "times", last).join(
+        listed, F.col("url") == F.col("url_id")
+    )
+    prices = price_stats(
+        rows,
+        ["category"],
+        weight="times",
+        names=("_low", "max_price", "avg_price", "median_price"),
+        more={"min_price": (F.min, "last_price")},
+    ).drop("_low")
+    return rounded(prices, "median_price")
+
+
+@query(
+    "agg_distinct_products_brand",
+    """SELECT category, brand, count(DISTINCT url) AS total_products
+    FROM (SELECT url, path AS category, unnest(brands) AS brand FROM listings
+      WHERE path IS NOT NULL AND url IN (SELECT url_id FROM observations WHERE q IS NOT NULL))
+    GROUP BY ALL""",
+)
+def agg_distinct_products_brand(t: Tables):
+    """Distinct products per category and brand."""
+    path = breadcrumb_path(F.col("breadcrumbs")).alias("category")
+    listed = t.listings.select("url", path, brand_names(F.col("brand")).alias("brand"))
+    seen = t.observations.where(to_number(F.col("available_quantity")).isNotNull())
+    rows = per_element(
+        listed.join(seen.select("url_id"), F.col("url") == F.col("url_id"), "left_semi"), "brand"
     )
-    prices = price_stats(rows, ["category"], names=("_low", "max_price", "avg_price", "median_price")).drop("_low")
-    return rounded(lowest.join(prices, "category"), "median_price")
+    return count_distinct_by(rows, ["category", "brand"], "url", "total_products")
 
 
 @query(

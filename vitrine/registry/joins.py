@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.names import brand_names, breadcrumb_names, breadcrumb_path
 from vitrine.operators.expand import per_element
-from vitrine.operators.filters import between, in_any_category, since
+from vitrine.operators.filters import between, since
 from vitrine.operators.joins import (
     assemble,
     latest_per_key,
@@ -17,7 +17,7 @@ from vitrine.operators.joins import (
     with_dimension,
 )
 from vitrine.registry.book import query
-from vitrine.registry.params import AS_OF, DAYS, SINCE_SQL, TARGET_SQL, TARGETS, TIE
+from vitrine.registry.params import AS_OF, DAYS, SLICED, TIE
 from vitrine.registry.tables import Tables
 
 
@@ -49,6 +49,18 @@ def join_left(t: Tables):
     return listings_with_facts(t.listings.select("url", "product_id"), clicks).drop("url_id")
 
 
+@query(
+    "join_left_sliced",
+    """SELECT l.url, l.product_id, o.price, o.created, o.l_orderkey, o.l_linenumber
+    FROM listings l LEFT JOIN observations o ON l.url = o.url_id""",
+)
+def join_left_sliced(t: Tables):
+    """A left join with every listing cut into slices, as hot ones are."""
+    facts = _facts(t).drop("available_quantity")
+    listings = t.listings.select("url", "product_id")
+    return listings_with_facts(listings, facts, policy=SLICED).drop("url_id")
+
+
 @query(
     "join_inner",
     """SELECT l.product_id, l.path AS category, o.price, o.l_orderkey, o.l_linenumber, o.created
@@ -126,17 +138,20 @@ def join_left_on_right_on(t: Tables):
 
 @query(
     "join_full_outer",
-    f"""SELECT coalesce(l.url, o.url_id) AS url, l.path, o.price, o.created, o.l_orderkey,
-      o.l_linenumber
-    FROM (SELECT * FROM listings WHERE {TARGET_SQL}) l
-    FULL OUTER JOIN (SELECT * FROM observations WHERE {SINCE_SQL}) o ON l.url = o.url_id""",
+    """SELECT coalesce(l.url, c.url_id) AS url, l.path, c.price, c.created
+    FROM listings l
+    FULL OUTER JOIN (SELECT 'P' || user_id * 20 AS url_id, value AS price, ts AS created
+      FROM events) c ON l.url = c.url_id""",
 )
 def join_full_outer(t: Tables):
+    """Most listings have no click, and many clicks have no listing."""
     listings = t.listings.select("url", breadcrumb_path(F.col("breadcrumbs")).alias("path"))
-    facts = _facts(t).where(since(F.col("created"), AS_OF, DAYS)).drop("available_quantity")
-    joined = listings_with_facts(
-        listings.where(in_any_category(F.col("path"), TARGETS)), facts, "full_outer"
+    clicks = t.table("events").select(
+        F.expr("'P' || user_id * 20").alias("url_id"),
+        F.col("value").alias("price"),
+        F.col("ts").alias("created"),
     )
+    joined = listings_with_facts(listings, clicks, "full_outer")
     return joined.withColumn("url", F.coalesce("url", "url_id")).drop("url_id")
 
 

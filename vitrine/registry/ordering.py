@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date
 
 from pyspark.sql import functions as F
 
 from vitrine.functions.dates import day_text
+from vitrine.functions.numbers import to_number
 from vitrine.operators.filters import since
 from vitrine.operators.ordering import (
     by_listing_newest_first,
@@ -80,18 +81,14 @@ def topk_latest(t: Tables):
 @query(
     "union_slices",
     """SELECT url_id, price, created FROM clicks
-    WHERE created >= TIMESTAMP '2024-01-03' AND created < TIMESTAMP '2024-01-10'""",
+    UNION ALL SELECT url_id, TRY_CAST(price AS DOUBLE), created FROM observations""",
 )
 def union_slices(t: Tables):
-    days = [date(2024, 1, 3) + timedelta(days=n) for n in range(7)]
-    return stack(
-        [
-            sweep_days(t.clicks, "created", day, day + timedelta(days=1)).select(
-                "url_id", "price", "created"
-            )
-            for day in days
-        ]
+    """Frames of different sources; days of one table are read by a sweep."""
+    observations = t.observations.select(
+        "url_id", to_number(F.col("price")).alias("price"), "created"
     )
+    return stack([t.clicks.select("url_id", "price", "created"), observations])
 
 
 @query(

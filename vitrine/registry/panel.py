@@ -16,8 +16,9 @@ from vitrine.operators.panel import (
     step_revenue_doubled,
     with_previous,
 )
+from vitrine.operators.skew import DEFAULT_POLICY, SkewPolicy
 from vitrine.registry.book import query, rounded
-from vitrine.registry.params import TIE
+from vitrine.registry.params import SLICED, TIE
 from vitrine.registry.tables import Tables
 
 _WINDOW = "OVER (PARTITION BY url_id ORDER BY created, l_orderkey, l_linenumber)"
@@ -27,8 +28,8 @@ _STEPS_SQL = f"""steps AS (
   FROM observations WHERE q IS NOT NULL)"""
 
 
-def steps(t: Tables):
-    """Readable observations with their stock change."""
+def steps(t: Tables, policy: SkewPolicy = DEFAULT_POLICY):
+    """Readable observations with their stock change. No observation lacks its listing."""
     rows = t.observations.select(
         "url_id",
         "created",
@@ -42,6 +43,8 @@ def steps(t: Tables):
         "created",
         TIE,
         {"quantity_before": "quantity", "price_before": "price"},
+        policy=policy,
+        null_keys=False,
     ).withColumn("stock_change", change(F.col("quantity"), F.col("quantity_before")))
 
 
@@ -56,6 +59,15 @@ def win_stock_change(t: Tables):
     return steps(t).select(*_ID, "stock_change")
 
 
+@query(
+    "win_stock_change_sliced",
+    f"WITH {_STEPS_SQL} SELECT url_id, created, l_orderkey, l_linenumber, stock_change FROM steps",
+)
+def win_stock_change_sliced(t: Tables):
+    """The same with every listing cut into slices, as hot ones are."""
+    return steps(t, SLICED).select(*_ID, "stock_change")
+
+
 @query(
     "win_stock_change_brand",
     """WITH x AS (
@@ -79,7 +91,7 @@ def win_stock_change_brand(t: Tables):
         .drop("url")
     )
     history = with_previous(
-        rows, ["url_id", "brand"], "created", TIE, {"quantity_before": "quantity"}
+        rows, ["url_id", "brand"], "created", TIE, {"quantity_before": "quantity"}, null_keys=False
     )
     moved = change(F.col("quantity"), F.col("quantity_before"))
     return history.select("url_id", "brand", "created", *TIE, moved.alias("stock_change"))
@@ -137,7 +149,9 @@ def win_any(t: Tables):
     rows = t.clicks.select(
         "url_id", "created", to_number(F.col("available_quantity")).alias("quantity")
     )
-    history = with_previous(rows, ["url_id"], "created", [], {"before": "quantity"})
+    history = with_previous(
+        rows, ["url_id"], "created", [], {"before": "quantity"}, null_keys=False
+    )
     moved = is_movement(change(F.col("quantity"), F.col("before")), first_counts=False)
     flagged = history.withColumn("moved", moved)
     return any_per_key(flagged, "url_id", "moved", "changed").select("url_id", "created", "changed")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import functions as F
 
 from vitrine.functions.dates import day_text
+from vitrine.functions.names import breadcrumb_names
+from vitrine.functions.numbers import to_number
 from vitrine.plans.coverage import brand_seller_report, raw_brand_report, seller_price_report
 from vitrine.plans.extracts import filtered_extract, product_history
 from vitrine.plans.histories import FlowRules
@@ -18,7 +21,7 @@ from vitrine.plans.stock_flow import (
     stock_flow_report,
 )
 from vitrine.registry.book import query, rounded
-from vitrine.registry.params import EVERYTHING, SCOPE, SINCE_SQL, TARGET_SQL
+from vitrine.registry.params import EVERYTHING, SCOPE, SINCE_SQL, SLICED, TARGET_SQL, TIE
 from vitrine.registry.scans import csv_listings_and_observations
 from vitrine.registry.tables import Tables
 
@@ -164,6 +167,14 @@ def report_stock_flow(t: Tables):
     return rounded(stock_flow_report(t.listings, t.observations, SCOPE), "revenue")
 
 
+@query("report_stock_flow_sliced", _flow_sql("d IS NULL OR d <> 0", "event"))
+def report_stock_flow_sliced(t: Tables):
+    """The same with every listing cut into slices, as hot ones are."""
+    return rounded(
+        stock_flow_report(t.listings, t.observations, replace(SCOPE, skew=SLICED)), "revenue"
+    )
+
+
 @query("report_stock_flow_products", _flow_sql("d <> 0", "product"))
 def report_stock_flow_products(t: Tables):
     rules = FlowRules(first_counts=False, unit="product")
@@ -222,21 +233,31 @@ def report_stock_flow_ancestors(t: Tables):
     return rounded(stock_flow_by_ancestor(t.listings, t.observations, EVERYTHING), "revenue")
 
 
-@query(
-    "report_changed_products",
-    """WITH steps AS (SELECT url_id, q - lag(q) OVER (PARTITION BY url_id
-        ORDER BY created, l_orderkey, l_linenumber) AS d FROM observations WHERE q IS NOT NULL),
+_CHANGED_SQL = """WITH steps AS (SELECT url_id, q - lag(q) OVER (PARTITION BY url_id
+        ORDER BY created, l_orderkey, l_linenumber) AS d FROM observations),
     c AS (SELECT url_id, coalesce(bool_or(d <> 0), false) AS changed FROM steps GROUP BY url_id)
     SELECT category, count(DISTINCT url) AS count_of_products,
       count(DISTINCT CASE WHEN changed THEN url END) AS changed_products
     FROM (SELECT url, unnest(names) AS category FROM listings) l JOIN c ON l.url = c.url_id
-    GROUP BY category""",
-)
+    GROUP BY category"""
+
+
+@query("report_changed_products", _CHANGED_SQL)
 def report_changed_products(t: Tables):
     listings, observations = csv_listings_and_observations(t)
     return changed_products_report(listings, observations, EVERYTHING)
 
 
+@query("report_changed_products_tables", _CHANGED_SQL)
+def report_changed_products_tables(t: Tables):
+    """The same straight from the tables."""
+    listings = t.listings.select("url", breadcrumb_names(F.col("breadcrumbs")).alias("breadcrumbs"))
+    observations = t.observations.select(
+        "url_id", "created", *TIE, to_number(F.col("available_quantity")).alias("available_quantity")
+    )
+    return changed_products_report(listings, observations, EVERYTHING)
+
+
 @query(
     "extract_filtered",
     f"""SELECT l.url, l.path AS categories, lower(l.last_name) AS last_category,

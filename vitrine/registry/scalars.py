@@ -157,7 +157,9 @@ def num_least_zero(t: Tables):
     rows = t.clicks.select(
         "url_id", "created", to_number(F.col("available_quantity")).alias("quantity")
     )
-    steps = with_previous(rows, ["url_id"], "created", [], {"before": "quantity"})
+    steps = with_previous(
+        rows, ["url_id"], "created", [], {"before": "quantity"}, null_keys=False
+    )
     moved = change(F.col("quantity"), F.col("before"), first=0)
     return steps.select("url_id", "created", at_most_zero(moved).alias("sold"))
 
@@ -204,7 +206,9 @@ def bool_to_int(t: Tables):
     rows = t.clicks.select(
         "url_id", "created", to_number(F.col("available_quantity")).alias("quantity")
     )
-    steps = with_previous(rows, ["url_id"], "created", [], {"before": "quantity"})
+    steps = with_previous(
+        rows, ["url_id"], "created", [], {"before": "quantity"}, null_keys=False
+    )
     sold = is_sale(change(F.col("quantity"), F.col("before")))
     return steps.select("url_id", "created", sold.cast("int").alias("sold"))
 
@@ -221,14 +225,19 @@ def bool_to_int(t: Tables):
       GROUP BY category) r ON r.category = x.category""",
 )
 def map_lookup(t: Tables):
+    """Revenue is found per listing first, and spread over the listing's categories."""
     listed = per_element(
         t.listings.select("url", breadcrumb_names(F.col("breadcrumbs")).alias("category")),
         "category",
+    ).where(F.col("category").isNotNull())
+    price = to_number(F.col("price"))
+    per_listing = t.observations.groupBy("url_id").agg(exact_sum(price).alias("sold_for"))
+    revenue = (
+        listed.join(per_listing, F.col("url") == F.col("url_id"))
+        .groupBy("category")
+        .agg(exact_sum(F.col("sold_for")).alias("revenue"))
     )
-    rows = (
-        listed.where(F.col("category").isNotNull())
-        .join(t.observations, F.col("url") == F.col("url_id"))
-        .select("url_id", "created", *TIE, "category", to_number(F.col("price")).alias("price"))
-    )
-    revenue = rows.groupBy("category").agg(exact_sum(F.col("price")).alias("revenue"))
-    return rounded(rows.drop("price").join(revenue, "category", "left"), "revenue")
+    valued = listed.join(revenue, "category", "left")
+    facts = t.observations.select("url_id", "created", *TIE)
+    rows = valued.join(facts, F.col("url") == F.col("url_id")).drop("url")
+    return rounded(rows, "revenue")

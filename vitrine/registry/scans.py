@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.functions.dates import day_text
 from vitrine.functions.names import breadcrumb_names
-from vitrine.operators.ordering import sweep_days
 from vitrine.registry.book import bigint, query
 from vitrine.registry.tables import Tables
 from vitrine.session import work_dir
@@ -104,9 +101,9 @@ def _csv_listings(t: Tables):
 
 
 def csv_listings_and_observations(t: Tables):
-    """Both CSV files of the changed-products report."""
+    """Both CSV files of the changed-products report. A cell that is no number is read as NULL."""
     path = work_dir(t.spark)
-    rows = t.observations.where(F.col("available_quantity") != "n/a").select(
+    rows = t.observations.select(
         "url_id", "created", "available_quantity", "l_orderkey", "l_linenumber"
     )
     write_csv(rows, path)
@@ -142,24 +139,24 @@ def sink_parquet_roundtrip(t: Tables):
 
 @query(
     "sink_partitioned",
-    """SELECT url_id, price, created, CAST(CAST(created AS DATE) AS VARCHAR) AS snapshot_date FROM clicks
-    WHERE created >= TIMESTAMP '2024-01-05' AND created < TIMESTAMP '2024-01-20'""",
+    """SELECT url_id, price, created, CAST(CAST(created AS DATE) AS VARCHAR) AS snapshot_date
+    FROM clicks""",
 )
 def sink_partitioned(t: Tables):
     path = work_dir(t.spark)
-    days = sweep_days(t.clicks, "created", date(2024, 1, 5), date(2024, 1, 20))
+    days = t.clicks.withColumn("snapshot_date", F.to_date("created"))
     write_by_day(days.select("url_id", "price", "created", "snapshot_date"), path, "snapshot_date")
     return read_table(t.spark, path).withColumn("snapshot_date", day_text(F.col("snapshot_date")))
 
 
 @query(
     "sink_streamed_days",
-    """SELECT event_id, user_id, event_type, value, ts,
+    """SELECT event_id, user_id, event_type, value, ts, props,
       CAST(CAST(ts AS DATE) AS VARCHAR) AS snapshot_date FROM events""",
 )
 def sink_streamed_days(t: Tables):
     path = work_dir(t.spark)
-    schema = t.table("events").select("event_id", "user_id", "event_type", "value", "ts").schema
+    schema = t.table("events").schema
     append_new_days(
         t.spark,
         t.folder,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -35,6 +36,16 @@ def work_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="vitrine-")
+        # Gone when the process ends.
+        kept = tempfile.TemporaryDirectory(prefix="vitrine-", ignore_cleanup_errors=True)
+        atexit.register(kept.cleanup)
+        base = kept.name
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/vitrine-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """The same rows from a table below the shared folder: computed once, of known size."""
+    path = work_dir(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -22,15 +22,19 @@ def append_new_days(
     time: str = "created",
     day: str = "snapshot_date",
     files: str | None = None,
+    files_per_day: int = 4,
 ) -> StreamingQuery:
     """Append the rows of all new parquet files below ``source`` and stop.
 
     files: pattern of the file names to take.
+    files_per_day: tasks, and so files, a day's rows are dealt to in one run.
     """
     reader = spark.readStream.schema(schema)
     if files is not None:
         reader = reader.option("pathGlobFilter", files)
     rows = reader.parquet(source).withColumn(day, F.to_date(time))
+    # Without this, every task writes a file for each day it meets.
+    rows = rows.repartition(day, F.pmod(F.xxhash64(time), F.lit(files_per_day)))
     return (
         rows.writeStream.format("parquet")
         .partitionBy(day)
