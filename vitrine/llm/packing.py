@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -12,62 +12,74 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.shared import extended, fresh, materialize
+from vitrine.llm.shared import byte_letters, extended, fresh, materialize
 
 #: Chunks, and words, that a task remembers the ids of; then it starts anew.
-REMEMBER = 500_000
+CHUNKS, WORDS = 500_000, 800_000
 #: Longer chunks are encoded each time.
 LONG_CHUNK = 48
 #: A chunk that is one word and perhaps one mark: letters that lower-case one by one.
 WORD_AND_MARK = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
 
 
+class Remembered(dict):
+    """Finds what it doesn't hold yet by a function; long keys are not kept."""
+
+    def __init__(self, find: Callable[[str], bytes], most: int):
+        super().__init__({"": b""})
+        self.find, self.most = find, most
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.find(key)
+        if len(key) <= LONG_CHUNK:
+            self[key] = found
+        return found
+
+    def trim(self) -> None:
+        if len(self) > self.most:
+            self.clear()
+            self[""] = b""
+
+
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit numbers.
 
     The tokenizer's pieces never reach over white space, so a text's ids are those of its chunks
     between spaces and line ends, one after the other. It lower-cases and cuts between letters and
-    marks, so a chunk like "Word," has the ids of "word" and of ",". What was met is remembered,
-    up to a bound.
+    marks, so a chunk like "Word," has the ids of "word" and of ",". A word of plain letters goes
+    to the tokenizer's merges as it is; any other chunk goes through the whole tokenizer. What was
+    met is remembered, up to a bound.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {"": b""}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.words) > REMEMBER:
-            self.words = {"": b""}
-        parts = {}
-        for chunk in chunks:
-            match = WORD_AND_MARK.fullmatch(chunk)
-            parts[chunk] = (match[1].lower(), match[2]) if match else (chunk, "")
-        new = list({x for pair in parts.values() for x in pair}.difference(self.words))
-        self.words.update(zip(new, self._encode(new)))
-        self.chunks.update((c, self.words[w] + self.words[m]) for c, (w, m) in parts.items())
-        for word in new:
-            if len(word) > LONG_CHUNK:
-                del self.words[word]
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.words = Remembered(self._word, WORDS)
+        self.others = Remembered(self._any, CHUNKS // 5)
+        self.chunks = Remembered(self._chunk, CHUNKS)
+
+    def _any(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = "".join(self.letters[byte] for byte in word.encode())
+        return array("I", [token.id for token in self.model.tokenize(word)]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        match = WORD_AND_MARK.fullmatch(chunk)
+        if not match:
+            return self.others[chunk]
+        return self.words[match[1].lower()] + self.others[match[2]]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        cut = [(text or "").replace("\n", " ").split(" ") for text in texts]
-        if len(self.chunks) > REMEMBER:
-            self.chunks = {"": b""}
-        new = set().union(*cut).difference(self.chunks)
-        if new:
-            self._learn(new)
-        found = [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in cut]
-        for chunk in new:
-            if len(chunk) > LONG_CHUNK:
-                del self.chunks[chunk]
-        return found
+        for held in (self.words, self.others, self.chunks):
+            held.trim()
+        find = self.chunks.__getitem__
+        return [b"".join(map(find, (t or "").replace("\n", " ").split(" "))) for t in texts]
 
 
 @lru_cache(maxsize=2)

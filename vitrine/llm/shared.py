@@ -37,6 +37,13 @@ def extended(schema: StructType, more: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(more).fields])
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones themselves."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [byte for byte in range(256) if byte not in plain]
+    return {byte: chr(byte) for byte in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 def fresh(rows: DataFrame, *names: str) -> list[str]:
     """Names that no column of the rows has, whatever the case of its letters."""
     taken = {name.lower() for name in rows.columns}
