@@ -174,8 +174,8 @@ class Reader:
     @staticmethod
     def _quoted(text: str, spans: list, at: int) -> bool:
         first, last = max(0, at - WINDOW), min(len(spans) - 1, at + WINDOW)
-        before = text[spans[first].start() : spans[at].start()]
-        after = text[spans[at].end() : spans[last].end()]
+        before = text[spans[first - 1].end() if first else 0 : spans[at].start()]
+        after = text[spans[at].end() : spans[last + 1].start() if last + 1 < len(spans) else None]
         marked = any(mark in before for mark in QUOTES) and any(mark in after for mark in QUOTES)
         return marked or any(s[0] in REPORTS for s in spans[max(0, at - 4) : at])
 
