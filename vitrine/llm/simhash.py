@@ -83,7 +83,48 @@ def _flips(r: int) -> list[list[int]]:
     return out
 
 
-def links(prints: DataFrame, max_bits: int = 3, column: str = "simhash") -> DataFrame:
+def _anchored(rows: DataFrame, word: Column, r: int, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Homes and visits (keys..., anchor, print) for a word of 2^r - 1 bits of each print."""
+    flips = F.array(*[F.array(*[F.lit(f).cast("long") for f in row]) for row in _flips(r)])
+    near = rows.select(*keys, "print", word.alias("word"))
+    near = near.select(*keys, "print", "word", F.get(flips, _syndrome(F.col("word"), r)).alias("flips"))
+    home = F.col("word").bitwiseXOR(F.get("flips", F.lit(0))).alias("anchor")
+    visit = F.col("word").bitwiseXOR(F.col("flip")).alias("anchor")
+    return (
+        near.select(*keys, home, "print"),
+        near.select(*keys, "print", "word", F.explode("flips").alias("flip")).select(*keys, visit, "print"),
+    )
+
+
+def _word(print_: Column, first: int, r: int) -> Column:
+    mask = F.lit((1 << ((1 << r) - 1)) - 1).cast("long")
+    return F.shiftrightunsigned(print_, first).bitwiseAND(mask)
+
+
+def _rotated(print_: Column, by: int) -> Column:
+    """The bits from `by` on come first."""
+    if by % BITS == 0:
+        return print_
+    return F.shiftrightunsigned(print_, by).bitwiseOR(F.shiftleft(print_, BITS - by))
+
+
+def _meet(homes: DataFrame, visits: DataFrame, keys: list[str], max_bits: int) -> DataFrame:
+    homes, visits = homes.withColumnRenamed("print", "a"), visits.withColumnRenamed("print", "b")
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
+    pairs = homes.join(visits, keys).filter((F.col("a") != F.col("b")) & near)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def links(
+    prints: DataFrame, max_bits: int = 3, column: str = "simhash", crowd: int = 2000
+) -> DataFrame:
     """Pairs (a, b), a < b, of different fingerprints that differ in max_bits bits or fewer.
 
     Anchor points: the 64 bits are cut into blocks of which at least one must agree but for one
@@ -91,40 +132,45 @@ def links(prints: DataFrame, max_bits: int = 3, column: str = "simhash") -> Data
     one within distance 1 (the covering radius). A fingerprint is at home at that anchor, and is
     copied to every anchor within distance 2 (radius plus the block's threshold): 2^(r-1), 16 for
     31 bits. Of two prints that agree in a block but for one bit, each therefore visits the
-    other's home. Prints are compared only there, and by all 64 bits. The join splits hot anchors.
+    other's home. Prints are compared only there, and by all 64 bits.
+
+    At an anchor that is home to more than `crowd` prints, those that meet there must agree in one
+    part of the remaining bits as well, but for one bit; so they meet at anchors of those parts
+    instead, and no link is lost. The joins may split what is still hot.
 
     Expects each fingerprint once.
     """
-    homes, visits = [], []
-    for number, (first, r) in enumerate(blocks_for(max_bits)):
-        mask = F.lit((1 << ((1 << r) - 1)) - 1).cast("long")
-        word = F.shiftrightunsigned(F.col(column), first).bitwiseAND(mask)
-        flips = F.array(
-            *[F.array(*[F.lit(f).cast("long") for f in row]) for row in _flips(r)]
-        )
-        near = prints.select(
-            F.col(column).alias("print"), word.alias("word"), _syndrome(word, r).alias("syndrome")
-        ).withColumn("flips", F.get(flips, F.col("syndrome")))
+    blocks = blocks_for(max_bits)
+    rows = prints.select(F.col(column).alias("print"))
+    parts = []
+    for number, (first, r) in enumerate(blocks):
+        home, visit = _anchored(rows, _word(F.col("print"), first, r), r, [])
         block = F.lit(number).alias("block")
-        homes.append(
-            near.select(
-                block, F.col("word").bitwiseXOR(F.get("flips", F.lit(0))).alias("anchor"), "print"
-            )
-        )
-        visits.append(
-            near.select(block, "print", "word", F.explode("flips").alias("flip")).select(
-                "block", F.col("word").bitwiseXOR(F.col("flip")).alias("anchor"), "print"
-            )
-        )
-    home, visit = homes[0], visits[0]
-    for more in homes[1:]:
-        home = home.unionByName(more)
-    for more in visits[1:]:
-        visit = visit.unionByName(more)
-    home, visit = home.withColumnRenamed("print", "a"), visit.withColumnRenamed("print", "b")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    pairs = home.join(visit, ["block", "anchor"]).filter((F.col("a") != F.col("b")) & near)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        parts.append((home.select(block, "*"), visit.select(block, "*")))
+    homes, visits = _union([h for h, _ in parts]), _union([v for _, v in parts])
+    at = ["block", "anchor"]
+    width = BITS // len(blocks)
+    if width == BITS:
+        return _meet(homes, visits, at, max_bits).distinct()
+    crowded = materialize(homes.groupBy(*at).count().filter(F.col("count") > crowd).select(*at))
+    if crowded.isEmpty():
+        return _meet(homes, visits, at, max_bits).distinct()
+    found = [_meet(homes.join(crowded, at, "left_anti"), visits, at, max_bits)]
+    home, visit = homes.join(crowded, at, "left_semi"), visits.join(crowded, at, "left_semi")
+    number_of_parts = max_bits // 2 + 1
+    part_width = (BITS - width) // number_of_parts
+    r = (part_width + 1).bit_length() - 1
+    for number, (first, _) in enumerate(blocks):
+        for part in range(number_of_parts):
+            word = _word(_rotated(F.col("print"), first + width), part * part_width, r)
+            here = F.col("block") == number
+            inner = ["block", "outer"]
+            crowd_home = home.filter(here).withColumnRenamed("anchor", "outer")
+            crowd_visit = visit.filter(here).withColumnRenamed("anchor", "outer")
+            own, _ = _anchored(crowd_home, word, r, inner)
+            _, others = _anchored(crowd_visit, word, r, inner)
+            found.append(_meet(own, others, [*inner, "anchor"], max_bits))
+    return _union(found).distinct()
 
 
 def classes(
