@@ -94,14 +94,15 @@ weighted AS (
   SELECT *, CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3
     WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM sources),
 filled AS (
-  SELECT *,
+  SELECT *, row_number() OVER (ORDER BY 2 * source_size / weight, encode(source) NULLS LAST) AS nth,
     1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER before, 0) AS rest,
     sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS weights
   FROM weighted
   WINDOW before AS (ORDER BY 2 * source_size / weight, encode(source) NULLS LAST
                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 levels AS (
-  SELECT min(rest / weights) FILTER (WHERE weight * (rest / weights) <= 2 * source_size) AS level
+  SELECT arg_min(rest / weights, nth)
+    FILTER (WHERE weight * (rest / weights) <= 2 * source_size) AS level
   FROM filled),
 targets AS (
   SELECT source, source_size,
@@ -175,7 +176,7 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 LINES_SQL = f"""
 WITH pages AS (SELECT row_number() OVER () AS page, doc_id, source, text FROM documents),
 lines AS (
-  SELECT page, source, unnest(list_distinct(list_transform(string_split(text, chr(10)), x -> trim(x)))) AS line
+  SELECT page, source, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x)))) AS line
   FROM pages WHERE text IS NOT NULL),
 totals AS (SELECT source, count(*) AS pages FROM pages WHERE text IS NOT NULL GROUP BY source),
 counted AS (SELECT source, line, count(*) AS n FROM lines WHERE line <> '' GROUP BY source, line),
@@ -187,7 +188,7 @@ common AS (
 joined AS (
   SELECT p.doc_id, p.text, string_split(p.text, chr(10)) AS whole,
     list_filter(string_split(p.text, chr(10)),
-      x -> c.lines IS NULL OR NOT list_contains(c.lines, trim(x))) AS kept
+      lambda x: c.lines IS NULL OR NOT list_contains(c.lines, trim(x))) AS kept
   FROM pages p LEFT JOIN common c ON p.source IS NOT DISTINCT FROM c.source)
 SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(array_to_string(kept, chr(10)), '') END AS text,
   CAST(CASE WHEN text IS NULL THEN 0 ELSE len(whole) END AS BIGINT) AS n_lines,
