@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -13,84 +13,95 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.shared import extended
+from vitrine.llm.shared import byte_letters, extended
 
 #: White space as the tokenizer's pattern has it, and its contractions.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
-#: Chunks, pieces and pairs of tokens that a task remembers; then it starts anew.
-REMEMBER = 400_000
-
-
-def _byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in byte-level vocabularies: printable ones themselves."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+#: Pieces, letters of them, and pairs of tokens that a task remembers; then it starts anew.
+PIECES, LETTERS, PAIRS = 1_000_000, 20_000_000, 400_000
 
 
 class Merges:
-    """Byte pair encoding of one piece of text, with counts for each of its prefixes."""
+    """Byte pair encoding of pieces of text, with counts for each of their prefixes.
+
+    Bytes are held as the letters that stand for them in the vocabulary.
+    """
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        letters = _byte_letters()
-        raw = lambda token: bytes(letters[c] for c in token)
         self.special = [t["content"] for t in spec["added_tokens"] if t["special"]]
-        self.vocabulary = {
-            raw(token) for token in spec["model"]["vocab"] if all(c in letters for c in token)
-        }
-        pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
-        self.rank = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
-        self.longest = max(map(len, self.vocabulary))
-        self.stable: dict[tuple[bytes, bytes], bool] = {}
-
-    def encode(self, piece: bytes) -> list[bytes]:
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            ranks = [self.rank.get(pair, len(self.rank)) for pair in zip(parts, parts[1:])]
-            best = min(ranks)
-            if best == len(self.rank):
-                break
-            at = ranks.index(best)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def fits(self, left: bytes, right: bytes) -> bool:
+        self.model = Tokenizer.from_file(path).model
+        self.letters = str.maketrans({chr(byte): letter for byte, letter in byte_letters().items()})
+        # The vocabulary by last letter, the one before, and so on; "" marks a token's beginning.
+        self.endings: dict = {}
+        for token in spec["model"]["vocab"]:
+            node = self.endings
+            for letter in reversed(token):
+                node = node.setdefault(letter, {})
+            node[""] = True
+        self.stable: dict[tuple[str, str], bool] = {}
+
+    def in_letters(self, piece: str) -> str:
+        return piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+
+    def size(self, letters: str) -> int:
+        return len(self.model.tokenize(letters))
+
+    def fits(self, left: str, right: str) -> bool:
         """Whether the two tokens, side by side, are what their bytes are encoded as."""
-        known = self.stable.get((left, right))
-        if known is None:
-            if len(self.stable) > REMEMBER:
-                self.stable.clear()
-            known = self.stable[left, right] = self.encode(left + right) == [left, right]
+        found = self.model.tokenize(left + right)
+        known = len(found) == 2 and found[0].value == left
+        if len(self.stable) > PAIRS:
+            self.stable.clear()
+        self.stable[left, right] = known
         return known
 
-    def prefix_counts(self, piece: bytes) -> list[int]:
-        """Tokens of piece[:1], piece[:2] and so on, each encoded for itself.
+    def prefix_counts(self, pieces: list[str]) -> Iterator[list[int]]:
+        """For each piece, in letters, the tokens of its first letter, first two letters and so on,
+        each prefix encoded for itself.
 
         A row of tokens is an encoding if and only if all its neighbours fit. So the last token of
         a prefix is the one token that ends there and fits the last token of the prefix before it,
-        and the count is one more than that prefix's.
+        and the count is one more than that prefix's. What holds for a prefix holds for every piece
+        that begins with it: in sorted order each piece goes on from what it shares with the one
+        before.
         """
-        last: list[bytes] = [b""]
-        counts = [0]
-        vocabulary, longest, stable = self.vocabulary, self.longest, self.stable
-        for end in range(1, len(piece) + 1):
-            for start in range(max(0, end - longest), end):
-                token = piece[start:end]
-                if token not in vocabulary:
-                    continue
-                if start:
-                    known = stable.get((last[start], token))
-                    if not (self.fits(last[start], token) if known is None else known):
-                        continue
-                last.append(token)
-                counts.append(counts[start] + 1)
-                break
-            else:
-                raise ValueError("the vocabulary lacks single bytes")
-        return counts[1:]
+        last: list[str] = [""]
+        counts: list[int] = [0]
+        before = ""
+        stable, root = self.stable, self.endings
+        for piece in pieces:
+            shared = 0
+            for a, b in zip(before, piece):
+                if a != b:
+                    break
+                shared += 1
+            del last[shared + 1 :], counts[shared + 1 :]
+            for end in range(shared + 1, len(piece) + 1):
+                node, starts = root, []
+                for start in range(end - 1, -1, -1):
+                    node = node.get(piece[start])
+                    if node is None:
+                        break
+                    if "" in node:
+                        starts.append(start)
+                for start in reversed(starts):
+                    token = piece[start:end]
+                    if start:
+                        known = stable.get((last[start], token))
+                        if not (self.fits(last[start], token) if known is None else known):
+                            continue
+                    last.append(token)
+                    counts.append(counts[start] + 1)
+                    break
+                else:
+                    raise ValueError("the vocabulary lacks single bytes")
+            before = piece
+            yield counts[1:]
 
 
 def _room(held: np.ndarray, size: int) -> np.ndarray:
@@ -107,65 +118,50 @@ class PrefixCounter:
 
     def __init__(self, path: str):
         self.merges = Merges(path)
-        self.chunks = regex.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
         marks = "|".join(map(regex.escape, CONTRACTIONS))
-        self.split = regex.compile(
-            rf"{marks}| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+"
-        )
+        self.cut = regex.compile(
+            rf"{marks}| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+"
+            rf"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+        ).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.merges.special)) + ")")
-        self.pieces: dict[str, list[int]] = {}
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        # the counts of all pieces one after the other, where each begins, and which are blank
         self.flat = np.zeros(1 << 16, dtype=np.int32)
         self.starts = np.zeros(1 << 12, dtype=np.int64)
         self.blank = np.zeros(1 << 12, dtype=bool)
 
-    def piece(self, text: str) -> list[int]:
-        """Counts at each character of one piece the pattern gives."""
-        raw = text.encode("utf-8", "surrogatepass")
-        counts = self.merges.prefix_counts(raw)
-        if len(raw) != len(text):
-            ends = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in text]) - 1
-            counts = [counts[e] for e in ends.tolist()]
-        if text in CONTRACTIONS and len(text) == 3:
-            # cut short, it's no contraction: the mark and the letters are pieces of their own
-            counts[1] = counts[0] + len(self.merges.encode(raw[1:2]))
-        return counts
-
-    def chunk(self, text: str) -> list[int]:
-        out: list[int] = []
-        for piece in self.split.findall(text):
-            counts = self.pieces.get(piece)
-            if counts is None:
-                counts = self.piece(piece)
-                if len(piece) <= 48:
-                    self.pieces[piece] = counts
-            base = out[-1] if out else 0
-            out += [base + n for n in counts] if base else counts
-        return out
-
-    def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.known]
+    def learn(self, pieces: set[str]) -> None:
+        """Add the counts at each character of pieces that are not known."""
+        merges = self.merges
+        new = sorted((merges.in_letters(p), p) for p in pieces.difference(self.known))
         if not new:
             return
-        if len(self.pieces) > REMEMBER:
-            self.pieces.clear()
         at, end = len(self.known), len(self.known) + len(new)
-        found = [self.chunk(c) for c in new]
-        self.known.update(zip(new, range(at, end)))
-        ends = self.starts[at] + np.cumsum([len(x) for x in found])
+        self.known.update((piece, at + i) for i, (_, piece) in enumerate(new))
+        found: list[int] = []
+        sizes = []
+        for (letters, piece), counts in zip(new, merges.prefix_counts([x for x, _ in new])):
+            if len(letters) != len(piece):
+                ends = accumulate(len(c.encode("utf-8", "surrogatepass")) for c in piece)
+                counts = [counts[e - 1] for e in ends]
+            if len(piece) == 3 and piece in CONTRACTIONS:
+                # cut short, it's no contraction: the mark and the letters are pieces of their own
+                counts[1] = counts[0] + merges.size(letters[1:2])
+            found += counts
+            sizes.append(len(counts))
+        ends = self.starts[at] + np.cumsum(sizes)
         self.starts = _room(self.starts, end + 1)
         self.starts[at + 1 : end + 1] = ends
         self.flat = _room(self.flat, int(ends[-1]))
-        self.flat[self.starts[at] : ends[-1]] = list(chain.from_iterable(found))
+        self.flat[self.starts[at] : ends[-1]] = found
         self.blank = _room(self.blank, end)
-        self.blank[at:end] = [not c.strip() for c in new]
+        self.blank[at:end] = [not piece.strip() for _, piece in new]
 
     def counts(self, cut: list[str]) -> np.ndarray:
-        """Counts at each character of a text without special tokens, from its chunks."""
-        self.learn(set(cut))
+        """Counts at each character of a text without special tokens, from its known pieces."""
         if not cut:
             return np.zeros(0, dtype=np.int32)
         ids = np.fromiter(map(self.known.__getitem__, cut), dtype=np.int64, count=len(cut))
@@ -181,19 +177,20 @@ class PrefixCounter:
             here = int(ends[k])
             if cut[k + 1][:1].isspace():
                 run = cut[k] + cut[k + 1][:1]
-                out[here] = base[k] + self.chunk(run)[-1]
+                self.learn({run})
+                out[here] = base[k] + self.flat[self.starts[self.known[run] + 1] - 1]
         return out
 
-    def one(self, text: str) -> np.ndarray:
-        parts = self.special.split(text) if self.merges.special else [text]
-        if len(parts) == 1:
-            return self.counts(self.chunks.findall(text))
+    def with_special(self, text: str) -> np.ndarray:
+        parts = self.special.split(text)
         out, base = [], 0
         for k in range(0, len(parts), 2):
             mark = parts[k + 1] if k + 1 < len(parts) else ""
             # up to its last character the mark is ordinary text that goes on from the part
-            out.append(self.counts(self.chunks.findall(parts[k] + mark[:-1])) + base)
-            counted = self.counts(self.chunks.findall(parts[k]))
+            cut, own = self.cut(parts[k] + mark[:-1]), self.cut(parts[k])
+            self.learn({*cut, *own})
+            out.append(self.counts(cut) + base)
+            counted = self.counts(own)
             base += int(counted[-1]) if len(counted) else 0
             if mark:
                 base += 1
@@ -201,9 +198,12 @@ class PrefixCounter:
         return np.concatenate(out)
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBER:
+        if len(self.known) > PIECES or len(self.flat) > LETTERS:
             self.forget()
-        return [self.one(text or "") for text in texts]
+        special = [bool(self.special.search(text)) if text else False for text in texts]
+        cut = [[] if s else self.cut(t or "") for t, s in zip(texts, special)]
+        self.learn(set().union(*cut))
+        return [self.with_special(t) if s else self.counts(c) for t, s, c in zip(texts, special, cut)]
 
 
 @lru_cache(maxsize=2)
@@ -217,7 +217,7 @@ def prefix_counts(
     tokenizer: str,
     text: str = "text",
     keep: tuple[str, ...] = ("doc_id",),
-    batch: int = 64,
+    batch: int = 128,
 ) -> DataFrame:
     """Rows (keep..., prefix_tokens): element i is the exact token count of the first i characters.
 
