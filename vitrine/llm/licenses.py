@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.llm.shared import fresh
+
 #: What lies between words (all ASCII but letters and digits); the rest of Unicode is in words.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -151,7 +153,7 @@ def rules() -> tuple[Rule, ...]:
             out.append(Rule(dotted, "creative commons", rf"creative commons {long} {version}", 1.0))
             out.append(Rule(dotted, "creativecommons", rf"creativecommons org licenses {short} {version}", 1.0))
     for label, short, long in COMMONS:
-        out.append(Rule(label, f" cc {short} ", rf" cc {short} ", 0.9))
+        out.append(Rule(label, f" cc {short} ", rf"cc {short}", 0.9))
         out.append(Rule(label, "creative commons", rf"creative commons {long}", 0.9))
     for label, key, name, _ in VERSIONED:
         out.append(Rule(label, key, name, 0.9))
@@ -219,17 +221,25 @@ def detections(spaced: Column, given: tuple[Rule, ...] | None = None) -> Column:
     The rules are one constant of the plan; a text is searched only by rules whose keyword it
     holds, which is a plain search for a substring.
     """
-    given = rules() if given is None else given
+    by_keyword: dict[str, list[tuple[int, Rule]]] = {}
+    for rank, rule in enumerate(rules() if given is None else given):
+        by_keyword.setdefault(rule.keyword, []).append((rank, rule))
+
+    def constant(rank: int, rule: Rule) -> Column:
+        return F.struct(
+            F.lit(rank).alias("rank"),
+            F.lit(rule.label).alias("label"),
+            F.lit(_whole_words(rule.pattern)).alias("pattern"),
+            F.lit(rule.trust).alias("trust"),
+        )
+
     table = F.array(
         *[
             F.struct(
-                F.lit(rank).alias("rank"),
-                F.lit(rule.label).alias("label"),
-                F.lit(rule.keyword).alias("keyword"),
-                F.lit(_whole_words(rule.pattern)).alias("pattern"),
-                F.lit(rule.trust).alias("trust"),
+                F.lit(keyword).alias("keyword"),
+                F.array(*[constant(rank, rule) for rank, rule in held]).alias("rules"),
             )
-            for rank, rule in enumerate(given)
+            for keyword, held in by_keyword.items()
         ]
     )
 
@@ -248,10 +258,8 @@ def detections(spaced: Column, given: tuple[Rule, ...] | None = None) -> Column:
             ),
         )
 
-    words = F.array(*[F.lit(word) for word in sorted({rule.keyword for rule in given})])
-    held = F.filter(words, lambda word: F.contains(spaced, word))
-    hit = F.filter(table, lambda rule: F.array_contains(held, rule["keyword"]))
-    return F.when(F.size(held) > 0, F.flatten(F.transform(hit, search)))
+    hit = F.filter(table, lambda entry: F.contains(spaced, entry["keyword"]))
+    return F.flatten(F.transform(F.flatten(F.transform(hit, lambda entry: entry["rules"])), search))
 
 
 def suppress(found: Column) -> Column:
@@ -308,8 +316,9 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     """
     new = ("n_words", "base", "detections")
     kept = [name for name in keep if name.lower() not in new]
-    rows = docs.select(*kept, normal(F.col(text)).alias("spaced"))
-    spaced = F.col("spaced")
+    (name,) = fresh(docs, "spaced")
+    rows = docs.select(*kept, normal(F.col(text)).alias(name))
+    spaced = F.col(name)
     base = F.concat(*[_base_places(spaced, phrase, label) for phrase, label in BASE])
     held = F.lit(False)
     for phrase, _ in BASE:
