@@ -31,22 +31,23 @@ def interleave(
     replaced.
     """
     rows = rows.drop("shard", "slot")
-    mix, rank, phase, share = fresh(rows, "mix", "rank", "phase", "share")
+    mix, rank, phase, share, of, count = fresh(
+        rows, "mix", "rank", "phase", "share", "of", "count"
+    )
     keys = [F.col(name) for name in identity]
     ties = [F.col(name).asc_nulls_first() for name in identity]
     shuffled = materialize(rows.withColumn(mix, seeded(seed, *keys)))
     ranked = with_positions(shuffled, [F.col(mix), *ties], group=source, position=rank)
-    sizes = shuffled.groupBy(F.col(source).alias("of")).agg(F.count(F.lit(1)).alias("rows"))
+    sizes = shuffled.groupBy(F.col(source).alias(of)).agg(F.count(F.lit(1)).alias(count))
     # the first 13 hex digits of a hash, as a fraction of 16^13
     digits = F.substring(seeded(seed, F.lit("phase"), F.col(source)), 1, 13)
     ranked = ranked.withColumn(phase, F.conv(digits, 16, 10).cast("double") / F.lit(16.0**13))
-    placed = ranked.join(sizes, F.col(source).eqNullSafe(sizes["of"])).withColumn(
-        share, (F.col(rank) + F.col(phase)) / F.col("rows")
+    placed = ranked.join(sizes, F.col(source).eqNullSafe(F.col(of))).withColumn(
+        share, (F.col(rank) + F.col(phase)) / F.col(count)
     )
     placed = placed.select(*rows.columns, mix, share)
     total = shuffled.count()
     placed = with_positions(placed, [F.col(share), F.col(mix), *ties], position="slot")
-    shard = F.floor(F.col("slot") * shards / F.lit(max(total, 1)))
     # exact in integers: the shard's first row is the least p with p * shards >= shard * total
     shard = F.expr(f"(slot * {shards}) div {max(total, 1)}")
     first = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")

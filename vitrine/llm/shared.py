@@ -72,8 +72,8 @@ def with_positions(
     shifts the numbers. Equal rows are numbered in any order. Rows may be empty; nulls sort as
     `order` says, and a null group is a group.
     """
-    part, key, added, at, of, rows_before, sum_before = fresh(
-        rows, "part", "key", "added", "at", "of", "rows_before", "sum_before"
+    part, key, counted, added, at, of, rows_before, sum_before = fresh(
+        rows, "part", "key", "counted", "added", "at", "of", "rows_before", "sum_before"
     )
     by_group = [F.col(group).asc_nulls_first()] if group else []
     dealt = materialize(
@@ -94,14 +94,15 @@ def with_positions(
         F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias(sum_before),
     )
     inside = Window.partitionBy(part, key).orderBy(*order)
-    numbered = dealt.withColumn(position, F.row_number().over(inside) - 1)
+    numbered = dealt.withColumn(counted, F.row_number().over(inside) - 1)
     if add:
         so_far = F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0))
         numbered = numbered.withColumn(added, so_far - value)
     same = (F.col(part) == F.col(at)) & F.col(key).eqNullSafe(F.col(of))
     joined = numbered.join(shifts, same)
-    shown = [F.col(name) for name in rows.columns if name not in (position, before)]
-    shown.append((F.col(position) + F.col(rows_before)).cast("long").alias(position))
+    made = (position.lower(), before.lower()) if add else (position.lower(),)
+    shown = [F.col(name) for name in rows.columns if name.lower() not in made]
+    shown.append((F.col(counted) + F.col(rows_before)).cast("long").alias(position))
     if add:
         shown.append((F.col(added) + F.col(sum_before)).cast("long").alias(before))
     return joined.select(*shown)
