@@ -71,32 +71,56 @@ def mix(
     hash, each whole document whose middle lies before that point. So the words taken miss the
     target by half a document at most, and no document is taken more than `epochs` times.
 
-    Running sizes are found by ranges of (source, hash), so a hot source is spread over tasks.
+    The documents taken once more are the first of that order, so a source is described by its
+    last one: only ids, sizes and hashes are put in order, by ranges (a hot source is spread over
+    tasks), and the documents themselves meet one small row for each source, without a shuffle.
 
-    Null sources are one source; null texts have size 0; repeated rows (ids) are rows of their own,
-    in any order among themselves. Sources without words take nothing. An empty table gives an
-    empty result. Columns named as the new ones are replaced.
+    Null sources are one source; null texts have size 0. Rows that agree in source, id and size
+    are taken alike. Sources without words take nothing. An empty table gives an empty result.
+    Columns named as the new ones are replaced.
     """
     new = ["size", "source_size", "target", "repetitions"]
-    rows = docs.withColumn("size", size).drop(*new[1:])
-    key, key_before, nth = fresh(rows, "mix", "mix_before", "nth")
-    rows = materialize(rows.withColumn(key, seeded(seed, F.col(identity))))
-    sizes = materialize(
-        rows.groupBy(F.col(source).alias("of")).agg(F.sum("size").alias("source_size"))
+    kept = [name for name in docs.columns if name.lower() not in new]
+    key = seeded(seed, F.col(identity))
+    slim = materialize(
+        docs.select(
+            F.col(source).alias("source"), key.alias("mix"), F.col(identity).alias("id"), size.alias("size")
+        )
     )
+    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sizes = materialize(sizes.withColumnRenamed("source", "of"))
     targets = fill(cycled_weights(sizes, "of", cycle), share, epochs)
-    order = [F.col(key), F.col(identity).asc_nulls_first(), F.col("size")]
-    placed = with_positions(rows, order, group=source, add="size", position=nth, before=key_before)
-    joined = placed.join(targets, F.col(source).eqNullSafe(F.col("of")))
-    whole = F.when(
-        F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))
-    ).otherwise(0)
-    rest = F.col("target") - whole * F.col("source_size")
-    extra = F.col("source_size") > 0
-    extra &= 2 * F.col(key_before) + F.col("size") <= 2 * rest
-    extra &= whole < epochs
-    return joined.withColumn("repetitions", (whole + extra.cast("int")).cast("int")).select(
-        *[name for name in docs.columns if name.lower() not in new], *new
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
+    targets = targets.withColumn("whole", F.coalesce(whole, F.lit(0)))
+    order = [F.col("mix"), F.col("id").asc_nulls_first(), F.col("size")]
+    placed = with_positions(slim, order, group="source", add="size")
+    rest = F.col("target") - F.col("whole") * F.col("source_size")
+    first = (F.col("source_size") > 0) & (F.col("whole") < epochs)
+    first &= 2 * F.col("before") + F.col("size") <= 2 * rest
+    last = (
+        placed.join(targets, F.col("source").eqNullSafe(F.col("of")))
+        .filter(first)
+        .groupBy("source")
+        .agg(F.max(F.struct("mix", "id", "size")).alias("last"))
+    )
+    plan = materialize(
+        targets.join(last, F.col("of").eqNullSafe(F.col("source")), "left").select(
+            "of", "source_size", "target", "whole", "last"
+        )
+    )
+    of, goal, total, times, until, count = fresh(
+        docs, "of", "goal", "total", "times", "until", "count"
+    )
+    plan = plan.toDF(of, total, goal, times, until)
+    joined = docs.withColumn(count, size).join(plan, F.col(source).eqNullSafe(F.col(of)))
+    place = F.struct(key.alias("mix"), F.col(identity).alias("id"), F.col(count).alias("size"))
+    extra = F.coalesce(place <= F.col(until), F.lit(False)).cast("int")
+    return joined.select(
+        *kept,
+        F.col(count).alias("size"),
+        F.col(total).alias("source_size"),
+        F.col(goal).alias("target"),
+        (F.col(times) + extra).cast("int").alias("repetitions"),
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from vitrine.llm.shared import byte_letters, extended, fresh, materialize
 
 #: Chunks, and words, that a task remembers the ids of; then it starts anew.
-CHUNKS, WORDS = 500_000, 800_000
+CHUNKS, WORDS = 1_000_000, 1_000_000
 #: Longer chunks are encoded each time.
 LONG_CHUNK = 48
 #: A chunk that is one word and perhaps one mark: letters that lower-case one by one.
