@@ -28,10 +28,8 @@ def test_encoder(text):
     assert np.frombuffer(packing.encoder(PATH)([text])[0], dtype="<u4").tolist() == by_library(text)
 
 
-def test_forgetting_changes_nothing(monkeypatch):
-    monkeypatch.setattr(packing, "CHUNKS", 10)
-    monkeypatch.setattr(packing, "WORDS", 10)
-    encode = packing.Encoder(PATH)
+def test_forgetting_changes_nothing():
+    encode = packing.Encoder(PATH, remember=10)
     for i in range(40):
         text = f"Some words{i}, and more{i}! " + "x" * i * 3
         assert np.frombuffer(encode([text, None])[0], dtype="<u4").tolist() == by_library(text)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.shared import byte_letters, extended, fresh, materialize
 
-#: Chunks, and words, that a task remembers the ids of; then it starts anew.
-CHUNKS, WORDS = 1_000_000, 1_000_000
+#: Chunks, and words, that a worker remembers the ids of, if not told otherwise; some 500 bytes for both.
+REMEMBER = 200_000
 #: Longer chunks are encoded each time.
 LONG_CHUNK = 48
 #: A chunk that is one word and perhaps one mark: letters that lower-case one by one.
@@ -51,15 +51,15 @@ class Encoder:
     met is remembered, up to a bound.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = REMEMBER):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.words = Remembered(self._word, WORDS)
-        self.others = Remembered(self._any, CHUNKS // 5)
-        self.chunks = Remembered(self._chunk, CHUNKS)
+        self.words = Remembered(self._word, remember)
+        self.others = Remembered(self._any, remember // 5)
+        self.chunks = Remembered(self._chunk, remember)
 
     def _any(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -83,9 +83,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remember: int = REMEMBER) -> Encoder:
     """One for all tasks of a worker process, so that they share what is remembered."""
-    return Encoder(path)
+    return Encoder(path, remember)
 
 
 def pieces(
@@ -96,12 +96,14 @@ def pieces(
     text: str = "text",
     keep: tuple[str, ...] = ("doc_id",),
     batch: int = 128,
+    remember: int = REMEMBER,
 ) -> DataFrame:
     """Rows (keep..., start, length, ids, doc_tokens): each document's ids, cut at every `length`.
 
     A document is its token ids without special ones, then `end`; ids are little-endian unsigned
     32-bit numbers in a binary. A null text counts as empty: only `end`. Whole texts are encoded,
-    a small batch of documents at a time. Columns named as the new ones are not kept.
+    a small batch of documents at a time. A worker remembers the ids of `remember` words and chunks,
+    then starts anew: more of its memory against less of its time, never other results. Columns named as the new ones are not kept.
     """
     kept = [n for n in keep if n.lower() not in ("start", "length", "ids", "doc_tokens")]
     new = "start long, length long, ids binary, doc_tokens long"
@@ -109,7 +111,7 @@ def pieces(
     tail = np.array([end], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, remember)
         for whole in batches:
             for first in range(0, whole.num_rows, batch):
                 part = whole.slice(first, batch)

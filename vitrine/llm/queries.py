@@ -12,7 +12,6 @@ from vitrine.llm import (
     line_dedup,
     mixing,
     neighbours,
-    packing,
     sharding,
     simhash,
     stages,
@@ -146,7 +145,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_first_fit_decreasing")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    return stages.pack_documents(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return stages.pack_documents(docs, remember=1_000_000)
 
 
 @query("op7_license_signatures")

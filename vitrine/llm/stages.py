@@ -58,8 +58,8 @@ def take_mix(docs: DataFrame) -> DataFrame:
     return mixing.repeat(mixed).select("doc.*")
 
 
-def pack_documents(docs: DataFrame) -> DataFrame:
+def pack_documents(docs: DataFrame, remember: int = packing.REMEMBER) -> DataFrame:
     """A row for each piece of each document: which tokens it holds, and where it lies."""
-    cut = packing.pieces(docs, tokenizer("word_bpe_49k.json"), END, SEQUENCE)
+    cut = packing.pieces(docs, tokenizer("word_bpe_49k.json"), END, SEQUENCE, remember=remember)
     slim = cut.select("doc_id", "start", "length", crc(F.col("ids")).alias("ids_crc32"), "doc_tokens")
     return packing.pack(slim, ("doc_id", "start", "ids_crc32"), "length", SEQUENCE)

@@ -24,7 +24,9 @@ STEMS = (4, 5, 6, 7, 8)
 #: Terms of this length or more are matched with one edit.
 FUZZY_FROM = 5
 #: Words on each side that make the context of a term, and words a task remembers.
-WINDOW, REMEMBER = 10, 400_000
+WINDOW, REMEMBER = 10, 300_000
+#: Entries a task counts before it hands them on.
+COUNTED = 100_000
 WORD = re.compile(r"\w+")
 #: Marks and words of quotation in the languages of the texts.
 QUOTES = "\"'«»“”„‘’‹›"
@@ -237,7 +239,7 @@ def _counts(texts: DataFrame) -> DataFrame:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 words = set(WORD.findall((text or "").lower()))
                 held[bool(toxic)].update({e for word in words for e in _entries(word)})
-                if sum(map(len, held.values())) > REMEMBER:
+                if sum(map(len, held.values())) > COUNTED:
                     yield out()
         yield out()
 
