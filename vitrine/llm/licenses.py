@@ -274,7 +274,12 @@ def suppress(found: Column) -> Column:
         F.transform(
             found,
             lambda d: F.struct(
-                d["start"].alias("start"), (-d["end"]).alias("back"), d["rank"].alias("rank"), d["label"].alias("label"), d["trust"].alias("trust"), d["end"].alias("end")
+                d["start"].alias("start"),
+                (-d["end"]).alias("back"),
+                d["rank"].alias("rank"),
+                d["label"].alias("label"),
+                d["trust"].alias("trust"),
+                d["end"].alias("end"),
             ),
         )
     )
