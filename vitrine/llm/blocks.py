@@ -12,8 +12,9 @@ from pyspark.sql.window import Window
 
 from vitrine.llm.shared import materialize
 
-ROWS, QUERIES = 1024, 4096
-FOUND = "query_id long, vec_id long, score "
+#: Least and most rows of a block, blocks of a table that is neither small nor large, and queries
+#: of a query block.
+LEAST_ROWS, MOST_ROWS, BLOCKS, QUERIES = 1024, 16_384, 16, 4096
 
 
 def finite(vector: Column) -> Column:
@@ -34,16 +35,17 @@ def meet(
     queries: DataFrame,
     compare: Callable[[pa.Table, pa.Table], pa.Table],
     schema: str,
-    per_block: int = ROWS,
     per_query_block: int = QUERIES,
 ) -> DataFrame:
     """compare(block of rows, block of queries) for all pairs of blocks of equal `dim`.
 
-    Both sides have (id, vector, dim, ...) and are dealt into blocks of a fixed size by a hash of
-    the whole row. Rows are copied once for each block of queries, and queries once for each block
-    of rows; a task holds one block of each.
+    Both sides have (id, vector, dim, ...) and are dealt into blocks by a hash of the whole row. A
+    block of rows has 1,024 rows in small tables and 16,384 in large ones, so that each query gets
+    few partial answers. Rows are copied once for each block of queries, and queries once for each
+    block of rows; a task holds one block of each.
     """
-    n_rows = max(1, -(-rows.count() // per_block))
+    n = rows.count()
+    n_rows = max(1, -(-n // min(MOST_ROWS, max(LEAST_ROWS, n // BLOCKS))))
     n_queries = max(1, -(-queries.count() // per_query_block))
 
     def dealt(side: DataFrame, own: str, parts: int, other: str, copies: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.blocks import ROWS, asked, best_of, matrix, meet, nearest, table_of, vectors
+from vitrine.llm.blocks import asked, best_of, matrix, meet, nearest, table_of, vectors
 from vitrine.llm.shared import extended, materialize
 
 TREES, LETTERS, AXES, SEED = 24, 6, 16, 71
@@ -136,7 +137,7 @@ def neighbours(
     every: int = 20,
     k: int = 20,
     enough: int = 8000,
-    enough_in_block: int = 300,
+    share: float = 0.3,
     identity: str = "vec_id",
     vector: str = "embedding",
     seed: int = SEED,
@@ -144,9 +145,9 @@ def neighbours(
     """(query_id, rank, vec_id, score): the k nearest found for rows whose id `every` divides.
 
     Nearness is the largest inner product, in double precision on the vectors as they are. The
-    forest is kept in blocks of about 1,024 rows, each with its own sorted arrays, and every query
-    asks every block (see search_block). A query goes up until it has met `enough` rows in all blocks
-    together, and `enough_in_block` in each; this sets recall against cost.
+    forest is kept in blocks, each with its own sorted arrays, and every query asks every block
+    (see search_block). A query goes up until the rows it met, in all trees together, are `share`
+    of the block's rows, and about `enough` over all blocks; this sets recall against cost.
 
     Rows without an id, and vectors that are null, zero or hold null or non-finite components take
     no part. Vectors meet those of equal dimension only. A repeated id is one query; its other rows
@@ -155,12 +156,11 @@ def neighbours(
     """
     held = vectors(rows, identity, vector, F.exists(vector, lambda x: x != 0))
     forest = materialize(index(held, seed))
-    blocks = max(1, -(-forest.count() // ROWS))
-    least = max(enough_in_block, -(-enough // blocks))
+    part = max(share, enough / max(1, forest.count()))
     found = meet(
         forest.drop("asks"),
         asked(forest, every).drop("strings"),
-        lambda block, wanted: search_block(block, wanted, k, least),
+        lambda block, wanted: search_block(block, wanted, k, math.ceil(part * block.num_rows)),
         "query_id long, vec_id long, score double",
     )
     return nearest(found, k)

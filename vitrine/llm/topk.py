@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from vitrine.llm.blocks import asked, best_of, matrix, meet, nearest, table_of, vectors
 
