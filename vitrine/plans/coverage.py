@@ -153,12 +153,18 @@ def seller_price_counts(listings: DataFrame, observations: DataFrame, scope: Sco
         per_price = merged(steps, keys, *first)
     # A bounded group: the different prices of one listing.
     listing = Window.partitionBy("url")
-    per_price = per_price.select(
-        "url",
-        "price",
-        "n",
-        F.max("sold").over(listing).alias("sold"),
-        F.max(F.struct("at", "price")).over(listing)["price"].alias("last_price"),
+    here = F.struct("at", "price")
+    per_price = (
+        per_price.withColumn("latest", F.max(here).over(listing))
+        .withColumn("sold", F.max("sold").over(listing))
+        .select(
+            "url",
+            "price",
+            "n",
+            "sold",
+            F.col("latest.price").alias("last_price"),
+            here.eqNullSafe(F.col("latest")).alias("is_last"),
+        )
     )
     wanted = categories_of_listings(listings, scope, "seller_id")
     spread = wanted.join(per_price, "url", "left")
@@ -179,7 +185,10 @@ def seller_price_counts(listings: DataFrame, observations: DataFrame, scope: Sco
         "category",
         F.coalesce("sold", F.lit(False)).alias("sold"),
         "last_price",
-        F.explode(F.array(price, seller)).alias("_row"),
+        # The seller is counted with one price of the listing, or with none.
+        F.explode(
+            F.when(F.coalesce("is_last", F.lit(True)), F.array(price, seller)).otherwise(F.array(price))
+        ).alias("_row"),
     ).select("category", "sold", "last_price", "_row.*")
     return (
         drop_missing(both, "category")
