@@ -48,6 +48,18 @@ def test_lines(workers):
     assert got == Counter(plain_lines(rows, 0.1, 3))
 
 
+def test_boilerplate_of_four_languages(workers):
+    """Shares of languages, and of pages with their boilerplate, like those of the given sources."""
+    rows = []
+    for lang, pages, marked in (("en", 640, 60), ("fr", 130, 24), ("de", 130, 20), ("es", 100, 8)):
+        for i in range(pages):
+            lines = [f"{lang} own {i}", f"{lang} chance {i // 4}", f"{lang} menu"][: 3 if i < marked else 2]
+            rows.append((len(rows), "\n".join(lines), "site", lang))
+    frame = workers.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r["doc_id"]: r["text"] for r in stages.clean_lines(frame).collect()}
+    assert got == {i: text.replace(f"\n{lang} menu", "") for i, text, _, lang in rows}
+
+
 def test_lines_of_messy(messy, nothing):
     found = line_dedup.drop_common_lines(messy, least_pages=2)
     assert found.count() == messy.count()

@@ -11,7 +11,9 @@ from vitrine.llm.shared import fresh
 #: Production parameters.
 LIMIT = 1024
 SHINGLE, MAX_BITS = 3, 3
-BOILERPLATE_RATIO, BOILERPLATE_PAGES = 0.05, 5
+#: A source mixes languages: a line on a twentieth of the pages of a language that has a tenth of
+#: its source is boilerplate. Fewer than five pages may be copies of one document, or chance.
+BOILERPLATE_RATIO, BOILERPLATE_PAGES = 0.005, 5
 SEQUENCE, END = 2048, 1
 
 
