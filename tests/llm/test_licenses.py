@@ -66,6 +66,28 @@ def test_query(workers):
         assert 0 <= row["score"] <= 1
 
 
+SPELLINGS = [
+    ("under GPLv3.", ["gpl-3"]),
+    ("under GPLv2+ or so", ["gpl-2"]),
+    ("GNU GPL version 3 or any later version", ["gpl-3"]),
+    ("LGPLv2.1", ["lgpl-2.1"]),
+    ("LGPLv2+", ["lgpl-2"]),
+    ("(AGPLv3)", ["agpl-3"]),
+    ("GPL v2", ["gpl-2"]),
+    ("GPL-3.0-only", ["gpl-3.0"]),
+    ("MPLv2.0", ["mpl-2.0"]),
+    ("You may not use this file except in compliance with the License.", ["apache"]),
+    ("altered source versions must be plainly marked as such, and must not be\n misrepresented as being the original software", ["zlib"]),
+    ("gplus and eclair, mplayer 2", []),
+]
+
+
+def test_spellings(workers):
+    frame = workers.createDataFrame([(text,) for text, _ in SPELLINGS], "text string")
+    found = licenses.scan(frame, keep=("text",)).collect()
+    assert {r["text"]: [d["label"] for d in r["detections"]] for r in found} == dict(SPELLINGS)
+
+
 PARTS = """MIT License|mit-license|Apache License, Version 2.0|the GNU General Public License v3 or later|GPL|
 gnu general public license|cc by|CC-BY-SA 4.0|cc by nc nd|creative commons attribution|mozilla public license|
 apache|license|or any later version|version|2.0|3|BSD 3-Clause License|copyright 2020|all rights reserved|

@@ -64,11 +64,12 @@ VERSIONED = (
     ("cecill", " cecill ", r"cecill (?:free software )?licen[sc]e", ("1 0", "1 1", "2 0", "2 1")),
 )
 
-#: Short identifiers as (label, first word, versions); a suffix may follow.
+#: Short identifiers as (label, first word, versions); a suffix may follow. The
+#: version may be joined to the word ("GPLv3", "LGPLv2.1") or stand behind "v" or "version".
 IDENTIFIERS = (
-    ("gpl", "gpl", ("1 0", "2 0", "3 0", "2", "3")),
-    ("lgpl", "lgpl", ("2 0", "2 1", "3 0", "3")),
-    ("agpl", "agpl", ("1 0", "3 0", "3")),
+    ("gpl", "gpl", ("1 0", "2 0", "3 0", "1", "2", "3")),
+    ("lgpl", "lgpl", ("2 0", "2 1", "3 0", "2", "3")),
+    ("agpl", "agpl", ("1 0", "3 0", "1", "3")),
     ("gfdl", "gfdl", ("1 1", "1 2", "1 3")),
     ("apache", "apache", ("1 0", "1 1", "2 0")),
     ("mpl", "mpl", ("1 0", "1 1", "2 0")),
@@ -100,6 +101,24 @@ COMMONS_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
 #: Sentences and names that stand for one license, as (label, keyword, regex, trust).
 PHRASES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted free of charge to any person obtaining a copy of this software(?: and associated documentation files)?", 1.0),
+    ("mit", "the above copyright notice and this permission notice", "the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the software", 1.0),
+    ("apache", "you may not use this file except in compliance with the license", "you may not use this file except in compliance with the license", 1.0),
+    ("apache", "unless required by applicable law or agreed to in writing", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", 1.0),
+    ("bsd", "redistributions of source code must retain the above copyright notice", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 1.0),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", 1.0),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software", "all advertising materials mentioning features or use of this software must display the following acknowledgement", 1.0),
+    ("gpl", "this program is free software", "this program is free software you can redistribute it and or modify it under the terms of(?= the gnu general public licen[sc]e)", 1.0),
+    ("lgpl", "this library is free software", "this library is free software you can redistribute it and or modify it under the terms of(?= the gnu (?:lesser|library) general public licen[sc]e)", 1.0),
+    ("agpl", "this program is free software", "this program is free software you can redistribute it and or modify it under the terms of(?= the gnu affero general public licen[sc]e)", 1.0),
+    ("mpl", "if a copy of the mpl was not distributed with this file", "if a copy of the mpl was not distributed with this file you can obtain one at", 1.0),
+    ("epl", "this program and the accompanying materials are made available", "this program and the accompanying materials are made available under the terms of(?= the eclipse public licen[sc]e)", 1.0),
+    ("bsl", "permission is hereby granted free of charge to any person or organization", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", 1.0),
+    ("zlib", "the origin of this software must not be misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", 1.0),
+    ("zlib", "altered source versions must be plainly marked as such", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", 1.0),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", "anyone is free to copy modify publish use compile sell or distribute this software", 1.0),
+    ("cc0", "has waived all copyright and related or neighboring rights", "has waived all copyright and related or neighboring rights", 1.0),
+    ("ofl", "the font software may be sold as part of a larger software package", "the font software may be sold as part of a larger software package", 0.9),
+    ("wtfpl", "you just do what the fuck you want to", "you just do what the fuck you want to", 1.0),
     ("mit", "mit licen", "(?:the )?mit(?: x11| expat)? licen[sc]e", 0.9),
     ("mit", "expat licen", "expat licen[sc]e", 0.9),
     ("mit", "x11 licen", "x11 licen[sc]e", 0.8),
@@ -160,7 +179,8 @@ def rules() -> tuple[Rule, ...]:
     for label, first, versions in IDENTIFIERS:
         for version in versions:
             dotted = f"{label}-{version.replace(' ', '.')}"
-            out.append(Rule(dotted, f" {first} ", rf"{first} v?{version}(?: only| or later)?", 0.8))
+            named = rf"{first} ?(?:v|version)? ?{version}"
+            out.append(Rule(dotted, f" {first}", rf"{named}(?: only| or (?:any )?later(?: version)?)?", 0.8))
     out += [Rule(label, key, text, trust) for label, key, text, trust in PHRASES if trust < 1.0]
     return tuple(out)
 
