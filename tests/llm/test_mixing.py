@@ -71,6 +71,30 @@ def test_takes_come_near_targets(workers):
     assert mixing.repeat(mixed).count() == sum(again.values())
 
 
+def test_ties_are_taken_one_by_one(workers):
+    """Null ids of one size, and repeated rows: as many as the target asks for, as in the SQL."""
+    rows = [(i if i % 3 else None, f"{i % 5} y z", f"s{i % 2}") for i in range(600)]
+    rows += [(7, "x y", "s2")] * 300 + [(i, "x", "s3") for i in range(50)]
+    schema = "doc_id long, text string, source string"
+    docs = workers.createDataFrame(rows, schema)
+    mixed = mixing.mix(docs, mixing.words(F.col("text")))
+    found = mixed.collect()
+    assert sorted((r["doc_id"] or 0, r["text"], r["source"]) for r in found) == sorted(
+        (i or 0, text, source) for i, text, source in rows
+    )
+    for source in {r["source"] for r in found}:
+        own = [r for r in found if r["source"] == source]
+        taken = sum(r["size"] * r["repetitions"] for r in own)
+        assert abs(taken - own[0]["target"]) <= max(r["size"] for r in own) / 2
+    other = duckdb.connect()
+    documents = docs.toPandas().astype({"doc_id": "Int64"})  # noqa: F841  (read by name)
+    check = other.sql(queries.MIX_SQL)
+    frame = mixed.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("repetitions")).alias("taken")
+    )
+    assert sorted_table(frame.columns, frame.collect()) == sorted_table(check.columns, check.fetchall())
+
+
 def test_messy(messy, nothing):
     mixed = mixing.mix(messy, mixing.words(F.col("text")))
     rows = mixed.select("text", "size", "source_size", "repetitions").collect()

@@ -75,8 +75,9 @@ def mix(
     last one: only ids, sizes and hashes are put in order, by ranges (a hot source is spread over
     tasks), and the documents themselves meet one small row for each source, without a shuffle.
 
-    Null sources are one source; null texts have size 0. Rows that agree in source, id and size
-    are taken alike. Sources without words take nothing. An empty table gives an empty result.
+    Null sources are one source; null texts have size 0. Of rows that agree in source, id and size
+    with the last one taken, as many are taken as the target asks for, in the order of a hash of
+    their columns: if that is not all of them, those rows alone are written and numbered by ranges. Sources without words take nothing. An empty table gives an empty result.
     Columns named as the new ones are replaced.
     """
     new = ["size", "source_size", "target", "repetitions"]
@@ -101,27 +102,51 @@ def mix(
         placed.join(targets, F.col("source").eqNullSafe(F.col("of")))
         .filter(first)
         .groupBy("source")
-        .agg(F.max(F.struct("mix", "id", "size")).alias("last"))
+        .agg(F.max(F.struct("mix", "id", "size")).alias("last"), F.count(F.lit(1)).alias("n"))
+    )
+    last = materialize(last.withColumnRenamed("source", "at"))
+    here = F.struct("mix", "id", "size")
+    ties = slim.join(last, F.col("source").eqNullSafe(F.col("at")))
+    ties = ties.groupBy(F.col("source").alias("tied_in")).agg(
+        F.count_if(here < F.col("last")).alias("earlier"), F.count_if(here <= F.col("last")).alias("upto")
     )
     plan = materialize(
-        targets.join(last, F.col("of").eqNullSafe(F.col("source")), "left").select(
-            "of", "source_size", "target", "whole", "last"
+        targets.join(last, F.col("of").eqNullSafe(F.col("at")), "left")
+        .join(ties, F.col("of").eqNullSafe(F.col("tied_in")), "left")
+        .select(
+            *("of", "source_size", "target", "whole", "last"),
+            (F.col("n") - F.col("earlier")).alias("some"),
+            (F.col("n") < F.col("upto")).alias("parted"),
         )
     )
-    of, goal, total, times, until, count = fresh(
-        docs, "of", "goal", "total", "times", "until", "count"
+    of, goal, total, times, until, some, parted, count = fresh(
+        docs, "of", "goal", "total", "times", "until", "some", "parted", "count"
     )
-    plan = plan.toDF(of, total, goal, times, until)
+    plan = plan.toDF(of, total, goal, times, until, some, parted)
     joined = docs.withColumn(count, size).join(plan, F.col(source).eqNullSafe(F.col(of)))
     place = F.struct(key.alias("mix"), F.col(identity).alias("id"), F.col(count).alias("size"))
-    extra = F.coalesce(place <= F.col(until), F.lit(False)).cast("int")
-    return joined.select(
-        *kept,
-        F.col(count).alias("size"),
-        F.col(total).alias("source_size"),
-        F.col(goal).alias("target"),
-        (F.col(times) + extra).cast("int").alias("repetitions"),
+
+    def shown(rows: DataFrame, taken: Column) -> DataFrame:
+        extra = F.coalesce(taken, F.lit(False)).cast("int")
+        return rows.select(
+            *kept,
+            F.col(count).alias("size"),
+            F.col(total).alias("source_size"),
+            F.col(goal).alias("target"),
+            (F.col(times) + extra).cast("int").alias("repetitions"),
+        )
+
+    if plan.filter(F.col(parted)).isEmpty():
+        return shown(joined, place <= F.col(until))
+    tie = F.coalesce(F.col(parted) & (place >= F.col(until)) & (place <= F.col(until)), F.lit(False))
+    looks, salt, nth = fresh(joined, "looks", "salt", "nth")
+    tied = joined.filter(tie).withColumn(
+        looks, F.xxhash64(F.lit(seed), F.struct(*docs.columns).cast("string"))
     )
+    tied = tied.withColumn(salt, F.xxhash64(F.monotonically_increasing_id()))
+    tied = with_positions(tied, [F.col(looks), F.col(salt)], group=of, position=nth)
+    rest = shown(joined.filter(~tie), place <= F.col(until))
+    return rest.unionByName(shown(tied, F.col(nth) < F.col(some)))
 
 
 def repeat(mixed: DataFrame) -> DataFrame:
