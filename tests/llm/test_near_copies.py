@@ -60,6 +60,16 @@ def test_boilerplate_of_four_languages(workers):
     assert got == {i: text.replace(f"\n{lang} menu", "") for i, text, _, lang in rows}
 
 
+def test_clean_lines_keeps_columns_of_its_counts(workers):
+    rows = [(i, "own\nmenu", "site", i + 1, f"d{i}") for i in range(6)]
+    frame = workers.createDataFrame(
+        rows, "doc_id long, text string, source string, n_lines int, N_Dropped string"
+    )
+    cleaned = stages.clean_lines(frame)
+    assert cleaned.columns == frame.columns
+    assert {tuple(r) for r in cleaned.collect()} == {(i, "", "site", i + 1, f"d{i}") for i in range(6)}
+
+
 def test_lines_of_messy(messy, nothing):
     found = line_dedup.drop_common_lines(messy, least_pages=2)
     assert found.count() == messy.count()

@@ -59,8 +59,10 @@ def drop_common_lines(
     text: str = "text",
     ratio: float = 0.05,
     least_pages: int = 5,
+    counts: tuple[str, str] = ("n_lines", "n_dropped"),
 ) -> DataFrame:
-    """The rows, their texts without the lines common on their site, with n_lines and n_dropped.
+    """The rows, their texts without the lines common on their site, with n_lines and n_dropped,
+    or what `counts` names them.
 
     Site-relative frequency: see common_lines. The small table of common lines is joined by site;
     the texts themselves are shuffled only if that table is too large for Spark to broadcast, and
@@ -68,9 +70,9 @@ def drop_common_lines(
 
     Every row stays, even if no line of it does (its text is then empty). A null text stays null
     and has 0 lines. Null sites are one site. Repeated rows are pages of their own. An empty table
-    gives an empty result. Columns named n_lines or n_dropped are replaced.
+    gives an empty result. Columns named as the counts are replaced.
     """
-    names = [n for n in docs.columns if n.lower() not in ("n_lines", "n_dropped")]
+    names = [n for n in docs.columns if n.lower() not in [c.lower() for c in counts]]
     site, lines = fresh(docs, "site", "lines")
     common = materialize(common_lines(docs, host, text, ratio, least_pages))
     common = common.select(F.col("site").alias(site), F.col("lines").alias(lines))
@@ -82,6 +84,6 @@ def drop_common_lines(
     left = F.when(F.col(text).isNull(), 0).otherwise(F.size(kept)).cast("long")
     return joined.select(
         *[F.array_join(kept, "\n").alias(n) if n == text else F.col(n) for n in names],
-        count.alias("n_lines"),
-        (count - left).alias("n_dropped"),
+        count.alias(counts[0]),
+        (count - left).alias(counts[1]),
     )

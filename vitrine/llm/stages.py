@@ -38,14 +38,14 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
 
 def clean_lines(docs: DataFrame) -> DataFrame:
     """The documents without boilerplate lines; n_chars is that of the text left."""
+    counts = tuple(fresh(docs, "n_lines", "n_dropped"))
     cleaned = line_dedup.drop_common_lines(
-        docs.drop("n_lines", "n_dropped"), "source", "text", BOILERPLATE_RATIO, BOILERPLATE_PAGES
+        docs, "source", "text", BOILERPLATE_RATIO, BOILERPLATE_PAGES, counts
     )
-    cleaned = cleaned.drop("n_lines", "n_dropped")
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(kind))
-    return cleaned.select(*[n for n in docs.columns if n in cleaned.columns])
+    return cleaned.select(*docs.columns)
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
