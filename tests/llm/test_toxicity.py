@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import zlib
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -85,3 +87,13 @@ def test_copies_teach_nothing(workers):
     texts = workers.createDataFrame([(t, y) for _, t, y in rows], "text string, toxic int")
     lexicon = toxicity.learn_lexicon(texts)
     assert set(lexicon.terms) == {"moron"}
+
+
+def test_repeated_ids_are_learned_from_once(workers):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5][:4]
+    rows = [(ids[0], f"copy {i}") for i in range(200)] + [(i, f"text {i}") for i in ids[1:]]
+    docs = workers.createDataFrame(rows, "doc_id long, text string")
+    labels = workers.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    found = toxicity.training_rows(docs, labels, sample=4).collect()
+    again = toxicity.training_rows(docs.repartition(7), labels, sample=4).collect()
+    assert len(found) == 4 and sorted(found) == sorted(again)

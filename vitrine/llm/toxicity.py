@@ -280,17 +280,18 @@ def _in_contexts(texts: DataFrame, entries: set[tuple[str, bool]]) -> DataFrame:
 def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """(text, toxic) of at most `sample` labelled documents that are not held out.
 
-    The sample is the first rows by a hash of the id, so it is the same at every run. It has a
-    fixed bound, so it is sent to every task and the texts are not shuffled.
+    The sample is the first ids by a hash, so it is the same at every run. It has a fixed bound, so
+    it is sent to every task. Of rows with one id that with the least hash of its text is taken; one
+    for each id and task is shuffled.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     known = known.filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = known.orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id").limit(sample)
     some = some.select(F.col("doc_id").alias("of"), F.col("toxic").cast("int").alias("toxic"))
-    return docs.join(F.broadcast(some), F.col("doc_id") == F.col("of")).select(
-        F.col(text).alias("text"), "toxic"
-    )
+    found = docs.join(F.broadcast(some), F.col("doc_id") == F.col("of"))
+    least = F.min(F.struct(F.xxhash64(F.col(text)), F.col(text).alias("text"))).alias("least")
+    return found.groupBy("of", "toxic").agg(least).select("least.text", "toxic")
 
 
 def learn_lexicon(texts: DataFrame) -> Lexicon:
@@ -345,7 +346,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SA
     featured = _featured(texts, lexicon, "text", ["toxic"])
     held = featured.select("toxic", "features").toPandas()
     x = np.stack(held["features"].to_numpy())
-    return Model(lexicon, logistic(x, held["toxic"].to_numpy().astype(float)))
+    y = held["toxic"].to_numpy().astype(float)
+    order = np.lexsort((y, *x.T))  # rows come in any order, sums of doubles must not
+    return Model(lexicon, logistic(x[order], y[order]))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int = 30) -> list[float]:
