@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vitrine.llm import (
     licenses,
     line_dedup,
+    manifest,
     mixing,
     neighbours,
     sharding,
@@ -211,3 +212,93 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(docs, stages.MAX_BITS, stages.SHINGLE)
     digits = F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint")
     return found.select("doc_id", digits, "component_id")
+
+
+_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def _leaf_sql(text: str) -> str:
+    values = [f"CAST({text if name == 'text' else name} AS VARCHAR)" for name in _FIELDS]
+    parts = [f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values]
+    return f"sha256({' || '.join(parts)})"
+
+
+# DuckDB has no crc32: the polynomial, bit by bit, over the digits of the id.
+_CRC_SQL = """list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+      lambda c: ascii(c)::UBIGINT)), lambda crc, byte: list_reduce(
+        [xor(crc, byte), 1, 1, 1, 1, 1, 1, 1, 1],
+        lambda x, one: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END))"""
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """All nodes of the trees of (tree, place, hash), level by level; runs of three with their hashes."""
+    return f"""{name}(lvl, tree, place, hash, n) AS (
+  SELECT 0, tree, place, hash, count(*) OVER (PARTITION BY tree) FROM {leaves}
+  UNION ALL
+  SELECT lvl + 1, tree, place // 3, sha256(string_agg(hash, '' ORDER BY place)), any_value((n + 2) // 3)
+  FROM {name} WHERE n > 1 GROUP BY lvl, tree, place // 3),
+{name}_runs AS (
+  SELECT lvl, tree, place // 3 AS run, list(hash ORDER BY place) AS hashes FROM {name}
+  WHERE n > 1 GROUP BY lvl, tree, place // 3)"""
+
+
+def _steps_sql(nodes: str, leaves: str) -> str:
+    """(key, lvl, before, after): a leaf's siblings at each level of its tree."""
+    return f"""SELECT key, lvl, array_to_string(list_slice(hashes, 1, spot), '') AS before,
+    array_to_string(list_slice(hashes, spot + 2, 3), '') AS after
+  FROM (SELECT l.key, r.lvl, r.hashes, (l.place // CAST(pow(3, r.lvl) AS BIGINT)) % 3 AS spot
+    FROM {leaves} l JOIN {nodes}_runs r ON l.tree IS NOT DISTINCT FROM r.tree
+      AND l.place // CAST(pow(3, r.lvl + 1) AS BIGINT) = r.run)"""
+
+
+MANIFEST_SQL = f"""
+WITH RECURSIVE base AS (
+  SELECT *, {_leaf_sql('text')} AS leaf,
+    CASE WHEN ({_CRC_SQL}) & 1 = 1 THEN {_leaf_sql("replace(text, chr(10), '')")}
+      ELSE {_leaf_sql('text')} END AS other
+  FROM documents),
+leaves AS (
+  SELECT row_number() OVER () AS key, doc_id, leaf AS hash, other, source AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place
+  FROM base),
+{_tree_sql('nodes', 'leaves')},
+tops AS (
+  SELECT 0 AS tree, tree AS key, hash,
+    row_number() OVER (ORDER BY encode(tree) NULLS FIRST) - 1 AS place FROM nodes WHERE n = 1),
+{_tree_sql('above', 'tops')},
+own_steps AS ({_steps_sql('nodes', 'leaves')}),
+top_steps AS ({_steps_sql('above', 'tops')}),
+steps AS (
+  SELECT key, before, after, row_number() OVER (PARTITION BY key ORDER BY lvl) AS nth FROM (
+    SELECT * FROM own_steps UNION ALL
+    SELECT l.key, 100 + s.lvl, s.before, s.after FROM leaves l
+    JOIN top_steps s ON l.tree IS NOT DISTINCT FROM s.key)),
+folded(key, nth, hash) AS (
+  SELECT key, 0, other FROM leaves UNION ALL
+  SELECT f.key, s.nth, sha256(before || f.hash || after) FROM folded f
+  JOIN steps s ON f.key = s.key AND s.nth = f.nth + 1),
+proofs AS (SELECT key, sha256(string_agg(before || after, '' ORDER BY nth)) AS proof FROM steps GROUP BY key)
+SELECT l.doc_id, l.hash AS leaf, t.hash AS subroot, r.hash AS root,
+  coalesce(p.proof, sha256('')) AS proof_sha256, f.hash AS folded_root, f.hash = r.hash AS verified
+FROM leaves l JOIN tops t ON l.tree IS NOT DISTINCT FROM t.key
+JOIN (SELECT hash FROM above WHERE n = 1) r ON true
+JOIN (SELECT key, arg_max(hash, nth) AS hash FROM folded GROUP BY key) f ON l.key = f.key
+LEFT JOIN proofs p ON l.key = p.key
+"""
+
+
+@query("op12_merkle_manifest", MANIFEST_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(*_FIELDS)
+    odd = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(odd, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    proofs = manifest.manifest(docs, list(_FIELDS), "source", "doc_id", {"text": tampered})
+    folded = manifest.fold(F.col("changed_leaf"), F.col("way"))
+    return proofs.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        manifest.digest(manifest.siblings(F.col("way"))).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))

@@ -69,12 +69,18 @@ def with_positions(
     With `add`, `before` holds the sum of that column over the rows that come earlier.
     The rows are dealt out by ranges of (group, order), so a hot group spreads over many tasks;
     each range is numbered alone, and one small table of totals (a row for each range and group)
-    shifts the numbers. Equal rows are numbered in any order. Rows may be empty; nulls sort as
-    `order` says, and a null group is a group.
+    shifts the numbers. Rows equal in `order` follow the place they are read from, so a large group
+    of equal rows spreads as well; they should come from a scan, which gives a task that runs again
+    the same rows in the same order. Rows may be empty; nulls sort as `order` says, and a null group
+    is a group.
     """
-    part, key, counted, added, at, of, rows_before, sum_before = fresh(
-        rows, "part", "key", "counted", "added", "at", "of", "rows_before", "sum_before"
+    part, key, counted, added, at, of, rows_before, sum_before, read = fresh(
+        rows, "part", "key", "counted", "added", "at", "of", "rows_before", "sum_before", "read"
     )
+    shown = rows.columns
+    rows = rows.withColumn(read, F.monotonically_increasing_id())
+    order = [*order, F.col(read).asc()]
+    group = f"`{group}`" if group else None
     by_group = [F.col(group).asc_nulls_first()] if group else []
     dealt = materialize(
         rows.repartitionByRange(tasks(rows.sparkSession), *by_group, *order).withColumn(
@@ -101,7 +107,7 @@ def with_positions(
     same = (F.col(part) == F.col(at)) & F.col(key).eqNullSafe(F.col(of))
     joined = numbered.join(shifts, same)
     made = (position.lower(), before.lower()) if add else (position.lower(),)
-    shown = [F.col(name) for name in rows.columns if name.lower() not in made]
+    shown = [F.col(f"`{name}`") for name in shown if name.lower() not in made]
     shown.append((F.col(counted) + F.col(rows_before)).cast("long").alias(position))
     if add:
         shown.append((F.col(added) + F.col(sum_before)).cast("long").alias(before))
