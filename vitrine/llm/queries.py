@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm import (
+    alignment,
     licenses,
     line_dedup,
     manifest,
@@ -302,3 +303,12 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
         manifest.digest(manifest.siblings(F.col("way"))).alias("proof_sha256"),
         folded.alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op13_aligned_tokens")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    one, two = stages.tokenizer("byte_bpe_50k.json"), stages.tokenizer("piece_bpe_32k.model")
+    return alignment.alignment(
+        docs, lambda: alignment.byte_level(one), lambda: alignment.sentence_pieces(two)
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -22,6 +23,55 @@ CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 PIECES, LETTERS, PAIRS = 1_000_000, 20_000_000, 400_000
 
 
+#: Ranges of code points that all versions of the Unicode tables class alike; tested.
+SETTLED = "\\x00-\u052f\u1e00-\u1eff\u2000-\u20b0\u2190-\u23cf\u2500-\u27bf\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\ufe0f\U0001f300-\U0001f64f"
+
+
+@lru_cache(maxsize=1)
+def disputed() -> regex.Pattern | None:
+    """Code points that the tokenizer library's tables class otherwise than those of `regex` here."""
+    from tokenizers import Regex, pre_tokenizers
+
+    points = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF]
+    every = "".join(map(chr, points))
+    differ: set[str] = set()
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        theirs = np.ones(len(every), dtype=bool)
+        for _, (start, end) in pre_tokenizers.Split(Regex(f"{kind}+"), "removed").pre_tokenize_str(every):
+            theirs[start:end] = False
+        ours = np.zeros(len(every), dtype=bool)
+        for found in regex.finditer(f"{kind}+", every):
+            ours[found.start() : found.end()] = True
+        differ.update(every[i] for i in np.flatnonzero(theirs != ours))
+    return regex.compile("[" + "".join(map(regex.escape, sorted(differ))) + "]") if differ else None
+
+
+class Cutter:
+    """The pieces of a text within which a byte-level tokenizer merges, as its library cuts them.
+
+    `regex` cuts, which is faster. A text with a code point that its tables class otherwise than the
+    library's goes to the library; the tables are compared once, when a text needs it.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path).pre_tokenizer
+        marks = "|".join(map(regex.escape, CONTRACTIONS))
+        self.fast = regex.compile(
+            rf"{marks}| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+"
+            rf"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+        ).findall
+        self.unsettled = regex.compile(f"[^{SETTLED}]").search
+
+    def __call__(self, text: str) -> list[str]:
+        if not text.isascii() and self.unsettled(text):
+            odd = disputed()
+            if odd is not None and odd.search(text):
+                return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
+        return self.fast(text)
+
+
 class Merges:
     """Byte pair encoding of pieces of text, with counts for each of their prefixes.
 
@@ -118,11 +168,7 @@ class PrefixCounter:
 
     def __init__(self, path: str):
         self.merges = Merges(path)
-        marks = "|".join(map(regex.escape, CONTRACTIONS))
-        self.cut = regex.compile(
-            rf"{marks}| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+"
-            rf"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-        ).findall
+        self.cut = Cutter(path)
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.merges.special)) + ")")
         self.forget()
 
