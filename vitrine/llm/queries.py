@@ -14,6 +14,7 @@ from vitrine.llm import (
     manifest,
     mixing,
     neighbours,
+    repeats,
     sharding,
     simhash,
     stages,
@@ -215,6 +216,13 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", digits, "component_id")
 
 
+@query("op11_sorted_suffixes")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = repeats.removed_passages(docs, 50, kept=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 _FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
