@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tests.conftest import EAGER, OFF, rows_of
 from vitrine.operators.joins import listings_with_facts
 from vitrine.operators.panel import any_per_key, last_per_key, with_previous
-from vitrine.operators.skew import SLICE, SkewPolicy, plan_slices, plan_spread, with_spread
+from vitrine.operators.skew import SLICE, SkewPolicy, plan_slices, plan_spread
 
 SCHEMA = "url_id string, created timestamp_ntz, id long, quantity double, price double"
 
@@ -155,8 +155,8 @@ def test_rows_of_one_second_are_split(spark):
     got = with_previous(rows, ["url_id"], "created", ["id"], {"q0": "quantity"}, policy=policy)
     before = {r["id"]: r["q0"] for r in got.collect()}
     assert before == {n: float(n - 1) if n else None for n in range(5000)}
-    spread = plan_spread(rows, "url_id", "created", policy)
-    sizes = [r["count"] for r in spread.label(with_spread(rows)).groupBy(SLICE).count().collect()]
+    spread = plan_spread(rows, "url_id", policy)
+    sizes = [r["count"] for r in spread.label(rows).groupBy(SLICE).count().collect()]
     assert max(sizes) <= 400
 
 

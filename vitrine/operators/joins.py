@@ -20,16 +20,18 @@ def listings_with_facts(
     facts: DataFrame,
     how: str = "left",
     on: tuple[str, str] = ("url", "url_id"),
-    time: str = "created",
     policy: SkewPolicy = DEFAULT_POLICY,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join listings with observations; a listing with very many observations is spread.
 
     No column may have the same name on both sides.
+    hot: the listings with very many observations (key, _rows), if known (storage.hot_keys); then no
+        job runs while the plan is built.
     """
     if how == "inner":
         return listings.join(facts, F.col(on[0]) == F.col(on[1]), "inner")
-    slices = plan_spread(facts, on[1], time, policy)
+    slices = plan_spread(facts, on[1], policy, hot)
     return join_facts(listings, facts, on, how, slices).drop(SLICE)
 
 
@@ -40,10 +42,11 @@ def listings_with_recent_facts(
     days: int,
     how: str = "left",
     policy: SkewPolicy = DEFAULT_POLICY,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """The same with the date bound as part of the join: listings without recent rows stay."""
     recent = facts.where(since(F.col("created"), as_of, days))
-    return listings_with_facts(listings, recent, how, policy=policy)
+    return listings_with_facts(listings, recent, how, policy=policy, hot=hot)
 
 
 def latest_per_key(

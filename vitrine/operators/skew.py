@@ -6,15 +6,18 @@ of such a listing is cut into slices by time: each slice is a group of its own i
 the shuffle, and what must cross a border (the last row of the slice before) is a
 small table of one row per slice.
 
-Which listings are hot is estimated on a sample of the key column. That only decides how
-rows are spread: any choice of hot keys and of slices gives the same result.
+Which listings are hot is estimated on a sample of the key column, or known from a summary kept
+with the table (storage.hot_keys). That only decides how rows are spread: any choice of hot keys
+and of slices gives the same result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from typing import ClassVar
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,10 +27,9 @@ from vitrine.session import written
 
 SLICE = "_slice"
 _COPY = "_copied"
-_SPREAD = "_spread"
 # A hot key's history is first cut into this many intervals of about as many rows each.
 _INTERVALS = 32
-# Sampled rows of a hot key that its borders are taken from.
+# Rows of a hot key that its borders are taken from.
 _POINTS = 4096
 
 
@@ -69,6 +71,9 @@ class Slices:
     tiebreak: columns that order rows of equal time; borders may lie between such rows.
     """
 
+    #: Slices that one share of `_parts` stands for.
+    intervals: ClassVar[int] = _INTERVALS
+
     keys: tuple[str, ...]
     time: str
     tiebreak: tuple[str, ...] = ()
@@ -81,15 +86,18 @@ class Slices:
     def on_key(self, *keys: str) -> Slices:
         """The same layout for a frame whose key columns have other names."""
         if self.hot is None:
-            return Slices(keys, self.time, self.tiebreak)
+            return replace(self, keys=keys)
         renamed = self.hot.withColumnsRenamed(dict(zip(self.keys, keys)))
-        return Slices(keys, self.time, self.tiebreak, renamed)
+        return replace(self, keys=keys, hot=renamed)
 
     def label(self, rows: DataFrame, only_hot: bool = False) -> DataFrame:
         """Add the slice number. Rows of other listings are all in slice 0.
 
-        The table of hot keys is joined as its size tells Spark to.
+        The table of hot keys is joined as its size tells Spark to. Rows that carry their number,
+        as stored ones do, keep it.
         """
+        if SLICE in rows.columns:
+            return self.only_hot(rows) if only_hot else rows
         at, interval, bounds = F.col("_at"), F.col("_interval"), F.col("_bounds")
         place = _place(rows, self.time, self.tiebreak)
         marked = rows.withColumn("_at", place).join(
@@ -122,7 +130,7 @@ class Slices:
             "_parts",
         )
         marked = dimension.join(hot, list(key), "left")
-        count = F.coalesce(F.col("_parts") * _INTERVALS, F.lit(1))
+        count = F.coalesce(F.col("_parts") * self.intervals, F.lit(1))
         slices = F.sequence(F.lit(0), count - 1)
         return (
             marked.withColumn(SLICE, F.explode(slices))
@@ -131,6 +139,40 @@ class Slices:
         )
 
 
+@dataclass(frozen=True)
+class Spread(Slices):
+    """For a join only: the rows of a hot key are dealt out evenly, in no order."""
+
+    intervals: ClassVar[int] = 1
+
+    def label(self, rows: DataFrame, only_hot: bool = False) -> DataFrame:
+        if SLICE in rows.columns:
+            return self.only_hot(rows) if only_hot else rows
+        address = row_address(rows)
+        if address is not None:
+            rows = rows.withColumn("_at", address)
+        marked = rows.join(self.hot, list(self.keys), "inner" if only_hot else "left")
+        # Without an address the whole row is hashed, that of hot keys only.
+        at = F.col("_at") if address is not None else _row_hash(rows)
+        number = F.when(F.col("_parts").isNotNull(), F.pmod(at, F.col("_parts")))
+        return marked.withColumn(SLICE, F.coalesce(number, F.lit(0)).cast("int")).drop("_at", "_parts")
+
+
+def row_address(rows: DataFrame) -> Column | None:
+    """Where in its file a row lies, if the rows come straight from files that tell."""
+    address = F.col("_metadata.row_index")
+    try:
+        rows.select(address).schema  # noqa: B018  (analysed here)
+    except AnalysisException:
+        return None
+    return address
+
+
+def _row_hash(rows: DataFrame) -> Column:
+    plain = [f.name for f in rows.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.xxhash64(*plain)
+
+
 def _place(rows: DataFrame, time: str, tiebreak: Sequence[str]) -> Column:
     """Where a row stands in its key's history, as something that can be compared."""
     seconds = seconds_of(F.col(time), rows.schema[time].dataType).cast("double")
@@ -138,9 +180,20 @@ def _place(rows: DataFrame, time: str, tiebreak: Sequence[str]) -> Column:
 
 
 def hot_keys(sample: DataFrame, keys: Sequence[str], policy: SkewPolicy) -> DataFrame:
-    """Keys that hold more than ``min_rows`` rows of the table, judged by a sample of it."""
+    """(keys, _rows): keys with more than ``min_rows`` rows of the table, judged by a sample of it."""
     bar = policy.min_rows * policy.fraction
-    return sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= bar)
+    counts = sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= bar)
+    return counts.select(*keys, (F.col("_n") / policy.fraction).alias("_rows"))
+
+
+def find_hot_keys(facts: DataFrame, keys: Sequence[str], policy: SkewPolicy) -> DataFrame | None:
+    """The hot keys in a written table, or None. Reads a sample of the key columns only.
+
+    Nothing but the answer whether there is a hot key reaches the driver.
+    """
+    known = facts.select(*keys).where(_all_present(keys))
+    hot = hot_keys(policy.thin(known), keys, policy)
+    return None if hot.isEmpty() else written(hot)
 
 
 def plan_slices(
@@ -149,33 +202,33 @@ def plan_slices(
     time: str,
     policy: SkewPolicy = DEFAULT_POLICY,
     tiebreak: Sequence[str] = (),
-    thinned: bool = False,
+    hot: DataFrame | None = None,
 ) -> Slices:
-    """Look for hot keys in a sample and lay out their slices.
+    """Look for hot keys and lay out their slices.
 
-    Runs a job over the key, time and tie-break columns, which writes the sample, and small ones
-    over that. Nothing but the answer whether there is a hot key reaches the driver.
-    thinned: ``facts`` is a sample made with ``policy.thin`` already.
+    One job over a sample of the keys tells whether there is any hot key; only then their borders
+    are looked for, in a second job over key, time and tie-break.
+    hot: the hot keys (keys, _rows), if known.
     """
     plain = Slices(tuple(keys), time, tuple(tiebreak))
     if not policy.enabled:
         return plain
-    sample = facts.select(*keys, _place(facts, time, tiebreak).alias("_at"))
-    sample = sample.where(_all_present(keys))
-    sample = written(sample if thinned else policy.thin(sample))
-    bar = policy.min_rows * policy.fraction
-    counts = hot_keys(sample, keys, policy)
+    if hot is None:
+        hot = find_hot_keys(facts, keys, policy)
+    if hot is None:
+        return plain
     # Some thousand rows of each hot key, whatever its size.
-    points = sample.where(F.col("_at")["at"].isNotNull()).join(counts, list(keys))
-    points = points.where(F.rand(7) < _POINTS / F.col("_n"))
+    points = facts.select(*keys, _place(facts, time, tiebreak).alias("_at")).join(hot, list(keys))
+    points = points.where(F.col("_at")["at"].isNotNull() & (F.rand(7) < _POINTS / F.col("_rows")))
     shares = F.sequence(F.lit(0), F.lit(_INTERVALS))
     ordered = F.col("_ordered")
-    hot = written(
+    parts = F.ceil(F.col("_rows") / policy.min_rows * policy.oversplit / _INTERVALS)
+    laid_out = written(
         points.groupBy(*keys)
-        .agg(F.sort_array(F.collect_list("_at")).alias("_ordered"), F.max("_n").alias("_n"))
+        .agg(F.sort_array(F.collect_list("_at")).alias("_ordered"), F.max("_rows").alias("_rows"))
         .select(
             *keys,
-            F.ceil(F.col("_n") / bar * policy.oversplit / _INTERVALS).cast("int").alias("_parts"),
+            parts.cast("int").alias("_parts"),
             F.transform(
                 shares,
                 lambda n: F.element_at(
@@ -184,7 +237,7 @@ def plan_slices(
             ).alias("_bounds"),
         )
     )
-    return plain if hot.isEmpty() else Slices(tuple(keys), time, tuple(tiebreak), hot)
+    return replace(plain, hot=laid_out)
 
 
 def _all_present(keys: Sequence[str]) -> Column:
@@ -194,17 +247,16 @@ def _all_present(keys: Sequence[str]) -> Column:
     return present
 
 
-def plan_spread(facts: DataFrame, key: str, time: str, policy: SkewPolicy) -> Slices:
-    """Slices for a join only: rows of equal time may be told apart in any way."""
-    if not policy.enabled:
-        return Slices((key,), time)
-    return plan_slices(with_spread(facts), [key], time, policy, (_SPREAD,))
-
-
-def with_spread(facts: DataFrame) -> DataFrame:
-    """Add a number that tells rows of equal time apart."""
-    plain = [f.name for f in facts.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    return facts.withColumn(_SPREAD, F.xxhash64(*plain))
+def plan_spread(
+    facts: DataFrame, key: str, policy: SkewPolicy, hot: DataFrame | None = None
+) -> Spread:
+    """Slices for a join only. Reads a sample of the key, and nothing if ``hot`` is known."""
+    if policy.enabled and hot is None:
+        hot = find_hot_keys(facts, [key], policy)
+    if not policy.enabled or hot is None:
+        return Spread((key,), "")
+    parts = F.ceil(F.col("_rows") / policy.min_rows * policy.oversplit)
+    return Spread((key,), "", (), hot.select(key, parts.cast("int").alias("_parts")))
 
 
 def join_facts(
@@ -221,13 +273,13 @@ def join_facts(
     type; the slices stay on the rows, so a later window over them needs no new shuffle.
     """
     left_key, right_key = on
+    if SLICE in facts.columns and not slices.any:
+        facts = facts.drop(SLICE)
     shared = set(dimension.columns) & set(facts.columns)
     if shared:
         raise ValueError(f"rename the columns found on both sides: {sorted(shared)}")
     how = {"outer": "full", "full_outer": "full", "left_outer": "left", "right_outer": "right"}.get(how, how)
-    columns = [*dimension.columns, *facts.columns]
-    if slices.any and _SPREAD in slices.tiebreak:
-        facts = with_spread(facts)
+    columns = [name for name in (*dimension.columns, *facts.columns) if name != SLICE]
     # Rows without a key meet none. In a shuffle they would all meet in one task.
     lonely = []
     if how in ("left", "full"):

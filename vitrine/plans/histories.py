@@ -50,7 +50,7 @@ def listing_steps(
     def clean(rows: DataFrame) -> DataFrame:
         return clean_facts(rows, scope, rules.fill, rules.strict_quantity)
 
-    slices = listing_slices(observations, scope, rules.fill)
+    slices = listing_slices(observations, scope)
     joined = join_facts(
         wanted,
         clean(observations),

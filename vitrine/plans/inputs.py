@@ -88,7 +88,7 @@ def clean_facts(
     return drop_missing(rows, "quantity") if fill is None else rows
 
 
-def listing_slices(observations: DataFrame, scope: Scope, fill: str | None = None) -> Slices:
+def listing_slices(observations: DataFrame, scope: Scope) -> Slices:
     """Slices of listings that are hot among the observations in scope.
 
     Found once, they serve all reports over the same observations: see Scope.slices.
@@ -97,8 +97,5 @@ def listing_slices(observations: DataFrame, scope: Scope, fill: str | None = Non
         return scope.slices
     if not scope.skew.enabled:
         return Slices(("url_id",), "created", scope.tiebreak)
-    thin = scope.skew.thin(recent(observations, scope))
-    facts = clean_facts(thin, scope, fill, keep_price=False)
-    return plan_slices(
-        facts, ["url_id"], "created", scope.skew, scope.tiebreak, thinned=True
-    )
+    facts = recent(observations, scope).select("url_id", "created", *scope.tiebreak)
+    return plan_slices(facts, ["url_id"], "created", scope.skew, scope.tiebreak)
