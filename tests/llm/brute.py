@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import xxhash
@@ -98,3 +100,110 @@ def places(found, phrase):
 
 def dot_rows(vectors, query):
     return np.asarray(vectors, dtype=float) @ np.asarray(query, dtype=float)
+
+
+def number(value):
+    """A null id is greater than all others."""
+    return 2**63 - 1 if value is None else value
+
+
+def removed_passages(rows, length=50):
+    """(id, bytes, removed, spans, digest of what stays) by looking at every string."""
+    first = {}
+    for doc, text in rows:
+        data = (text or "").encode()
+        for i in range(len(data) - length + 1):
+            window = data[i : i + length]
+            first[window] = min(first.get(window, 2**63 - 1), number(doc))
+    out = []
+    for doc, text in rows:
+        data = (text or "").encode()
+        gone = bytearray(len(data))
+        for i in range(len(data) - length + 1):
+            if first[data[i : i + length]] < number(doc):
+                gone[i : i + length] = b"\1" * length
+        spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
+        left = bytes(x for x, g in zip(data, gone) if not g)
+        out.append((doc, len(data), sum(gone), spans, hashlib.sha256(left).hexdigest()))
+    return out
+
+
+def merkle(rows, group, leaf, order, fanout=3):
+    """{index of a row: (subroot, root, siblings level by level as (before, after))}."""
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+
+    def tree(leaves):
+        level, under, ways = list(leaves), [[i] for i in range(len(leaves))], [[] for _ in leaves]
+        while len(level) > 1:
+            up, up_under = [], []
+            for at in range(0, len(level), fanout):
+                run = level[at : at + fanout]
+                for k in range(len(run)):
+                    for i in under[at + k]:
+                        ways[i].append(("".join(run[:k]), "".join(run[k + 1 :])))
+                up.append(digest("".join(run)))
+                up_under.append(sum(under[at : at + fanout], []))
+            level, under = up, up_under
+        return level[0], ways
+
+    groups = defaultdict(list)
+    for i, row in enumerate(rows):
+        groups[group(row)].append(i)
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    subroots, out = [], {}
+    for name in names:
+        members = sorted(groups[name], key=lambda i: order(rows[i]))
+        subroot, ways = tree([leaf(rows[i]) for i in members])
+        subroots.append(subroot)
+        out.update({i: (subroot, way) for i, way in zip(members, ways)})
+    if not names:
+        return {}
+    root, above = tree(subroots)
+    place = {name: k for k, name in enumerate(names)}
+    return {i: (s, root, way + above[place[group(rows[i])]]) for i, (s, way) in out.items()}
+
+
+def aligned(rows, one, two):
+    """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, digest); `one` and `two` give (ids, bytes)."""
+    found, count = [], Counter()
+    for doc, text in rows:
+        groups, n_a, n_b = [], 0, 0
+        if text:
+            a, b = one(text), two(text)
+            if b"".join(x for _, x in a) == b"".join(x for _, x in b) == (" " + text).encode():
+                n_a, n_b = len(a), len(b)
+                ends = []
+                for side in (a, b):
+                    at, here = 0, []
+                    for _, piece in side:
+                        at += len(piece)
+                        here.append(at)
+                    ends.append(here)
+                low = 0
+                for end in sorted(set(ends[0]) & set(ends[1])):
+                    groups.append(
+                        [[i for (i, _), e in zip(side, at) if low < e <= end] for side, at in zip((a, b), ends)]
+                    )
+                    low = end
+        links = Counter((x, y) for left, right in groups for x in left for y in right)
+        count.update(links.keys())
+        found.append((doc, n_a, n_b, groups, links))
+    best = defaultdict(int)
+    for (a, _), n in count.items():
+        best[a] = max(best[a], n)
+    out = []
+    for doc, n_a, n_b, groups, links in found:
+        text = ";".join("|".join(",".join(map(str, side)) for side in group) for group in groups)
+        out.append(
+            (
+                doc,
+                n_a,
+                n_b,
+                len(groups),
+                sum(links.values()),
+                sum(n for pair, n in links.items() if count[pair] == best[pair[0]]),
+                sum(n * count[pair] for pair, n in links.items()),
+                hashlib.sha256(text.encode()).hexdigest() if n_a else "",
+            )
+        )
+    return out

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -15,13 +17,14 @@ from vitrine.llm.components import components
 from vitrine.llm.shared import table
 
 
-def plain_lines(rows, ratio, least):
+def plain_lines(rows, ratio, least, sure=0.0):
     pages, counts = Counter(), Counter()
-    for source, text in rows:
+    for source, text in set(rows):
         if text is not None:
             pages[source] += 1
             counts.update({(source, line.strip(" ")) for line in text.split("\n") if line.strip(" ")})
-    common = {k for k, n in counts.items() if n >= least and n > ratio * pages[k[0]]}
+    bar = {source: ratio * n + sure * math.sqrt(ratio * n) for source, n in pages.items()}
+    common = {k for k, n in counts.items() if n >= least and n > bar[k[0]]}
     out = []
     for source, text in rows:
         if text is None:
@@ -61,13 +64,50 @@ def test_boilerplate_of_four_languages(workers):
 
 
 def test_clean_lines_keeps_columns_of_its_counts(workers):
-    rows = [(i, "own\nmenu", "site", i + 1, f"d{i}") for i in range(6)]
+    rows = [(i, f"own {i}\nmenu", "site", i + 1, f"d{i}") for i in range(6)]
     frame = workers.createDataFrame(
         rows, "doc_id long, text string, source string, n_lines int, N_Dropped string"
     )
     cleaned = stages.clean_lines(frame)
     assert cleaned.columns == frame.columns
-    assert {tuple(r) for r in cleaned.collect()} == {(i, "", "site", i + 1, f"d{i}") for i in range(6)}
+    assert {tuple(r) for r in cleaned.collect()} == {
+        (i, f"own {i}", "site", i + 1, f"d{i}") for i in range(6)
+    }
+
+
+def test_copies_keep_their_lines(workers):
+    """Copies of one text are one page, however many there are."""
+    rows = [(i, f"own {i}\nmenu", "site") for i in range(200)]
+    rows += [(1000 + i, "copied one\ncopied two\nmenu", "site") for i in range(60)]
+    rows += [(2000 + i, "all there is", "other") for i in range(6)]
+    frame = workers.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in stages.clean_lines(frame).collect()}
+    assert got == {i: text.replace("\nmenu", "") for i, text, _ in rows}
+
+
+@pytest.mark.parametrize("pages, common", [(2, 3), (20, 3), (100, 3), (500, 5), (5000, 25)])
+def test_bar_follows_the_site(workers, pages, common):
+    """The least number of pages that makes a line common, at each size of a site."""
+    rows = [
+        (i, "\n".join([f"own {i}", *(f"on {n}" for n in range(1, min(30, pages) + 1) if i < n)]), "site")
+        for i in range(pages)
+    ]
+    frame = workers.createDataFrame(rows, "doc_id long, text string, source string")
+    left = "\n".join(r["text"] for r in stages.clean_lines(frame).collect()).split("\n")
+    assert {x for x in left if x.startswith("on")} == {f"on {n}" for n in range(1, min(common, pages + 1))}
+
+
+def test_page_lines_by_host(workers):
+    rows = duckdb.sql(queries.PAGES_SQL.replace("FROM pages", f"FROM '{DATA}/pages.parquet'"))
+    got = queries.page_lines(workers, DATA).select(*rows.columns).collect()
+    assert Counter(map(tuple, got)) == Counter(rows.fetchall())
+
+
+def test_dotted_names(workers):
+    rows = [(i, f"own {i}\nmenu", "site", i) for i in range(9)]
+    frame = workers.createDataFrame(rows, "doc_id long, text string, source string, `la.ng` int")
+    assert stages.clean_lines(frame).columns == frame.columns
+    assert {r["la.ng"] for r in stages.take_mix(frame).collect()} <= set(range(9))
 
 
 def test_lines_of_messy(messy, nothing):

@@ -14,6 +14,8 @@ from tests.llm.test_near_copies import plain_lines
 from vitrine.llm import queries, stages, toxicity
 from vitrine.llm.shared import materialize, table
 
+BAR = (stages.BOILERPLATE_RATIO, stages.BOILERPLATE_PAGES, stages.BOILERPLATE_SURE)
+
 
 @pytest.fixture(scope="module")
 def steps(workers):
@@ -44,7 +46,7 @@ def test_toxicity(workers, steps):
 def test_line_dedup(steps):
     _, before, after = steps[1]
     rows = [(r["source"], r["text"]) for r in before.collect()]
-    expected = Counter((s, t) for s, t, _, _ in plain_lines(rows, 0.05, 5))
+    expected = Counter((s, t) for s, t, _, _ in plain_lines(rows, *BAR))
     assert Counter((r["source"], r["text"]) for r in after.collect()) == expected
 
 

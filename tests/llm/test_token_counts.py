@@ -13,6 +13,7 @@ from vitrine.llm.shared import table
 PATH = stages.tokenizer("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
 PARTS = ["a", "don", "'re", "'ll", "'s", "'", " ", "  ", "\n", "\t", "é", "ß", "中", "12", "!", "..."]
+PARTS += ["\u088f", "\U0003d000", "\u0558"]
 PARTS += ["<|endoftext|>", "<|endof", "　", "\x85", "\x1c", "\x00", "😀", "\r\n", "́", "İ"]
 
 
@@ -28,6 +29,29 @@ def test_every_prefix(text):
     assert got == [by_library(text[:i]) for i in range(1, len(text) + 1)]
 
 
+def test_cut_of_every_code_point():
+    """Between a letter, a number and a sign, each code point is cut as the library cuts it."""
+    cut = token_counts.Cutter(PATH)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for start in range(0, len(points), 4096):
+        text = "".join(f"a{c}1{c}.{c} {c}'s" for c in points[start : start + 4096])
+        assert cut(text) == [text[a:b] for _, (a, b) in LIBRARY.pre_tokenizer.pre_tokenize_str(text)]
+
+
+def test_settled_ranges_hold_nothing_disputed():
+    odd = token_counts.disputed()
+    settled = token_counts.regex.compile(f"[{token_counts.SETTLED}]")
+    assert odd is None or not any(
+        odd.match(c) and settled.match(c) for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff"
+    )
+
+
+@pytest.mark.parametrize("text", ["\U0003d000're", "\u0558're", "a\u088f", "\u0c5c1", "x\U00011de0 1", "\ua7ce's"])
+def test_newer_letters(text):
+    got = token_counts.counter(PATH)([text])[0].tolist()
+    assert got == [by_library(text[:i]) for i in range(1, len(text) + 1)]
+
+
 def test_forgetting_changes_nothing(monkeypatch):
     texts = [f"word{i} and more, words {i}" for i in range(300)]
     for name in ("PIECES", "PAIRS"):

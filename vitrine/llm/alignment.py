@@ -243,7 +243,12 @@ class _Block:
 
 
 def aligned(
-    docs: DataFrame, one: Callable, two: Callable, text: str, keep: tuple[str, ...]
+    docs: DataFrame,
+    one: Callable,
+    two: Callable,
+    text: str,
+    keep: tuple[str, ...],
+    sizes: tuple[int, int] = (ALIGNED, BLOCK),
 ) -> DataFrame:
     """Two kinds of rows: the documents, with the numbers of their pairs, and one row for each
     block of documents with its different pairs (a, b) and in how many documents each occurs.
@@ -262,16 +267,16 @@ def aligned(
         task = TaskContext.get().partitionId() << 32
         block = _Block(task, arrow)
         for whole in batches:
-            sizes = pc.fill_null(pc.binary_length(whole["text"]), 0).to_numpy()
+            lengths = pc.fill_null(pc.binary_length(whole["text"]), 0).to_numpy()
             start = 0
             while start < whole.num_rows:
-                upto = np.cumsum(sizes[start : start + 512])
-                count = max(1, int(np.searchsorted(upto, ALIGNED, "right")))
+                upto = np.cumsum(lengths[start : start + 512])
+                count = max(1, int(np.searchsorted(upto, sizes[0], "right")))
                 part = whole.slice(start, count)
                 size = int(upto[part.num_rows - 1])
                 block.add(part.select(kept), part["text"].to_pylist(), first, second, size)
                 start += part.num_rows
-                if block.size >= BLOCK:
+                if block.size >= sizes[1]:
                     yield from block.batches()
                     task += 1
                     block = _Block(task, arrow)
@@ -300,6 +305,7 @@ def alignment(
     two: Callable[[], Encoder],
     text: str = "text",
     keep: tuple[str, ...] = ("doc_id",),
+    sizes: tuple[int, int] = (ALIGNED, BLOCK),
 ) -> DataFrame:
     """(keep..., n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row.
 
@@ -319,7 +325,7 @@ def alignment(
     don't give back. Repeated rows are rows of their own. An empty table gives an empty result.
     Very long texts are aligned alone. Other columns are not read.
     """
-    found = materialize(aligned(docs, one, two, text, keep))
+    found = materialize(aligned(docs, one, two, text, keep, sizes))
     counts = pair_counts(found)
     pairs = found.where("docs is not null").select(
         "block", F.posexplode(F.arrays_zip("a", "b")).alias("at", "pair")

@@ -17,39 +17,51 @@ def _line(line: Column) -> Column:
     return F.trim(line)
 
 
+def _name(column: str) -> Column:
+    return F.col(f"`{column}`")
+
+
 def common_lines(
     docs: DataFrame,
     host: str = "source",
     text: str = "text",
     ratio: float = 0.05,
-    least_pages: int = 5,
+    least_pages: int = 3,
+    sure: float = 0.0,
 ) -> DataFrame:
     """(site, lines): the lines of each site that are on more than `ratio` of its pages.
 
-    A page is a row with a text; a line counts once for each page. Lines on fewer than
-    `least_pages` pages are never common, as small sites say nothing on boilerplate. Blank lines
-    don't count. First hashes of lines are counted, in place before the shuffle; only lines whose
-    hash is common are counted again as they are, so a chance match of hashes removes nothing.
-    A site has at most (mean lines of a page) / ratio common lines.
+    A page is a different text: copies of a text are one page, so what is copied is no boilerplate
+    for that. A line counts once for each page. With `sure`, a line must be on so many pages that
+    one of just that ratio would not get there by chance: on more than e + sure * sqrt(e) pages, if e
+    is the ratio's share of the site's pages. So a bar holds at every size of a site, higher in
+    proportion on small ones. Lines on fewer than `least_pages` pages are never common: two pages
+    that share their lines may be two states of one. Blank lines don't count.
+
+    First hashes of lines are counted, in place before the shuffle; only lines whose hash is common
+    are counted again as they are, so a chance match of hashes removes nothing. A site has at most
+    (mean lines of a page) / ratio common lines.
     """
-    pages = docs.select(F.col(host).alias("site"), F.col(text).alias("text")).filter("text is not null")
-    totals = pages.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+    pages = docs.select(_name(host).alias("site"), _name(text).alias("text")).filter("text is not null")
+    pages = pages.withColumn("page", F.xxhash64("text"))
+    totals = pages.groupBy("site").agg(F.count_distinct("page").alias("pages"))
     distinct = F.array_distinct(F.transform(lines_of(F.col("text")), _line))
-    rows = pages.select("site", F.explode(distinct).alias("line")).filter("line != ''")
-    enough = (F.col("n") >= least_pages) & (F.col("n") > F.lit(ratio) * F.col("pages"))
+    rows = pages.select("site", "page", F.explode(distinct).alias("line")).filter("line != ''")
+    expected = F.lit(ratio) * F.col("pages")
+    enough = (F.col("n") >= least_pages) & (F.col("n") > expected + F.lit(sure) * F.sqrt(expected))
 
     def common(counted: DataFrame) -> DataFrame:
         named = totals.withColumnRenamed("site", "of")
         joined = counted.join(named, F.col("site").eqNullSafe(F.col("of")))
         return joined.filter(enough).drop("of", "n", "pages")
 
-    hashed = rows.select("site", F.xxhash64("line").alias("hash"))
-    hashes = materialize(common(hashed.groupBy("site", "hash").agg(F.count(F.lit(1)).alias("n"))))
+    hashed = rows.select("site", "page", F.xxhash64("line").alias("hash"))
+    hashes = materialize(common(hashed.groupBy("site", "hash").agg(F.count_distinct("page").alias("n"))))
     named = hashes.withColumnRenamed("site", "of")
     again = rows.withColumn("key", F.xxhash64("line")).join(
         named, F.col("site").eqNullSafe(F.col("of")) & (F.col("key") == F.col("hash")), "left_semi"
     )
-    found = common(again.groupBy("site", "line").agg(F.count(F.lit(1)).alias("n")))
+    found = common(again.groupBy("site", "line").agg(F.count_distinct("page").alias("n")))
     return found.groupBy("site").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
@@ -58,8 +70,9 @@ def drop_common_lines(
     host: str = "source",
     text: str = "text",
     ratio: float = 0.05,
-    least_pages: int = 5,
+    least_pages: int = 3,
     counts: tuple[str, str] = ("n_lines", "n_dropped"),
+    sure: float = 0.0,
 ) -> DataFrame:
     """The rows, their texts without the lines common on their site, with n_lines and n_dropped,
     or what `counts` names them.
@@ -69,21 +82,21 @@ def drop_common_lines(
     then the join may split a hot site.
 
     Every row stays, even if no line of it does (its text is then empty). A null text stays null
-    and has 0 lines. Null sites are one site. Repeated rows are pages of their own. An empty table
-    gives an empty result. Columns named as the counts are replaced.
+    and has 0 lines. Null sites are one site. Rows with one text are one page; all of them lose the
+    same lines. An empty table gives an empty result. Columns named as the counts are replaced.
     """
     names = [n for n in docs.columns if n.lower() not in [c.lower() for c in counts]]
     site, lines = fresh(docs, "site", "lines")
-    common = materialize(common_lines(docs, host, text, ratio, least_pages))
+    common = materialize(common_lines(docs, host, text, ratio, least_pages, sure))
     common = common.select(F.col("site").alias(site), F.col("lines").alias(lines))
-    joined = docs.join(common, F.col(host).eqNullSafe(F.col(site)), "left")
-    whole = lines_of(F.col(text))
+    joined = docs.join(common, _name(host).eqNullSafe(F.col(site)), "left")
+    whole = lines_of(_name(text))
     kept = F.filter(whole, lambda line: ~F.array_contains(F.col(lines), _line(line)))
     kept = F.when(F.col(lines).isNull(), whole).otherwise(kept)
-    count = F.when(F.col(text).isNull(), 0).otherwise(F.size(whole)).cast("long")
-    left = F.when(F.col(text).isNull(), 0).otherwise(F.size(kept)).cast("long")
+    count = F.when(_name(text).isNull(), 0).otherwise(F.size(whole)).cast("long")
+    left = F.when(_name(text).isNull(), 0).otherwise(F.size(kept)).cast("long")
     return joined.select(
-        *[F.array_join(kept, "\n").alias(n) if n == text else F.col(n) for n in names],
+        *[F.array_join(kept, "\n").alias(n) if n == text else _name(n) for n in names],
         count.alias(counts[0]),
         (count - left).alias(counts[1]),
     )

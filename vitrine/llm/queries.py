@@ -176,36 +176,59 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return topk.exact_top(table(spark, folder, "embeddings").select("vec_id", "embedding"))
 
 
-LINES_SQL = f"""
-WITH pages AS (SELECT row_number() OVER () AS page, doc_id, source, text FROM documents),
+def _lines_sql(source: str, keep: str) -> str:
+    """Rows (keep, site, text) without the lines common on their site."""
+    return f"""
+WITH page AS ({source}),
 lines AS (
-  SELECT page, source, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x)))) AS line
-  FROM pages WHERE text IS NOT NULL),
-totals AS (SELECT source, count(*) AS pages FROM pages WHERE text IS NOT NULL GROUP BY source),
-counted AS (SELECT source, line, count(*) AS n FROM lines WHERE line <> '' GROUP BY source, line),
+  SELECT DISTINCT site, text, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x)))) AS line
+  FROM page WHERE text IS NOT NULL),
+totals AS (
+  SELECT site, {stages.BOILERPLATE_RATIO}::DOUBLE * count(DISTINCT text) AS expected
+  FROM page WHERE text IS NOT NULL GROUP BY site),
+counted AS (SELECT site, line, count(*) AS n FROM lines WHERE line <> '' GROUP BY site, line),
 common AS (
-  SELECT c.source, list(c.line) AS lines FROM counted c
-  JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
-  WHERE n >= {stages.BOILERPLATE_PAGES} AND n > {stages.BOILERPLATE_RATIO}::DOUBLE * t.pages
-  GROUP BY c.source),
+  SELECT c.site, list(c.line) AS lines FROM counted c
+  JOIN totals t ON c.site IS NOT DISTINCT FROM t.site
+  WHERE n >= {stages.BOILERPLATE_PAGES} AND n > expected + {stages.BOILERPLATE_SURE}::DOUBLE * sqrt(expected)
+  GROUP BY c.site),
 joined AS (
-  SELECT p.doc_id, p.text, string_split(p.text, chr(10)) AS whole,
+  SELECT p.*, string_split(p.text, chr(10)) AS whole,
     list_filter(string_split(p.text, chr(10)),
       lambda x: c.lines IS NULL OR NOT list_contains(c.lines, trim(x))) AS kept
-  FROM pages p LEFT JOIN common c ON p.source IS NOT DISTINCT FROM c.source)
-SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(array_to_string(kept, chr(10)), '') END AS text,
+  FROM page p LEFT JOIN common c ON p.site IS NOT DISTINCT FROM c.site)
+SELECT {keep}, CASE WHEN text IS NULL THEN NULL ELSE coalesce(array_to_string(kept, chr(10)), '') END AS text,
   CAST(CASE WHEN text IS NULL THEN 0 ELSE len(whole) END AS BIGINT) AS n_lines,
   CAST(CASE WHEN text IS NULL THEN 0 ELSE len(whole) - len(kept) END AS BIGINT) AS n_dropped
 FROM joined
 """
 
 
+LINES_SQL = _lines_sql("SELECT doc_id, source AS site, text FROM documents", "doc_id")
+_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
+PAGES_SQL = _lines_sql(
+    f"SELECT page_id, lower(regexp_extract(url, '{_HOST}', 1)) AS site, html AS text FROM pages", "page_id, site"
+)
+
+
+def _clean(docs: DataFrame, site: str) -> DataFrame:
+    return line_dedup.drop_common_lines(
+        docs, site, "text", stages.BOILERPLATE_RATIO, stages.BOILERPLATE_PAGES, sure=stages.BOILERPLATE_SURE
+    )
+
+
 @query("op9_site_line_dedup", LINES_SQL)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
-    return line_dedup.drop_common_lines(
-        docs, "source", "text", stages.BOILERPLATE_RATIO, stages.BOILERPLATE_PAGES
-    ).select("doc_id", "text", "n_lines", "n_dropped")
+    return _clean(docs, "source").select("doc_id", "text", "n_lines", "n_dropped")
+
+
+@query("page_lines_by_host", PAGES_SQL)
+def page_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The same on raw pages, whose site is the host of their address."""
+    host = F.lower(F.regexp_extract("url", _HOST, 1)).alias("site")
+    pages = table(spark, folder, "pages").select("page_id", host, F.col("html").alias("text"))
+    return _clean(pages, "site").select("page_id", "site", "text", "n_lines", "n_dropped")
 
 
 @query("op10_simhash_anchors")

@@ -11,9 +11,9 @@ from vitrine.llm.shared import fresh
 #: Production parameters.
 LIMIT = 1024
 SHINGLE, MAX_BITS = 3, 3
-#: A source mixes languages: a line on a twentieth of the pages of a language that has a tenth of
-#: its source is boilerplate. Fewer than five pages may be copies of one document, or chance.
-BOILERPLATE_RATIO, BOILERPLATE_PAGES = 0.005, 5
+#: A source mixes languages: a line on a thirtieth of the pages of a language that has a tenth of
+#: its source is boilerplate, if 99 % sure. Two pages may be two states of one.
+BOILERPLATE_RATIO, BOILERPLATE_PAGES, BOILERPLATE_SURE = 0.003, 3, 2.33
 SEQUENCE, END = 2048, 1
 
 
@@ -40,12 +40,12 @@ def clean_lines(docs: DataFrame) -> DataFrame:
     """The documents without boilerplate lines; n_chars is that of the text left."""
     counts = tuple(fresh(docs, "n_lines", "n_dropped"))
     cleaned = line_dedup.drop_common_lines(
-        docs, "source", "text", BOILERPLATE_RATIO, BOILERPLATE_PAGES, counts
+        docs, "source", "text", BOILERPLATE_RATIO, BOILERPLATE_PAGES, counts, BOILERPLATE_SURE
     )
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(kind))
-    return cleaned.select(*docs.columns)
+    return cleaned.select(*[F.col(f"`{name}`") for name in docs.columns])
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
 def take_mix(docs: DataFrame) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
-    columns = [F.col(n) for n in docs.columns]
+    columns = [F.col(f"`{n}`") for n in docs.columns]
     held = docs.select(F.struct(*columns).alias("doc"), "doc_id", "source", "text")
     mixed = mixing.mix(held, mixing.words(F.col("text")))
     return mixing.repeat(mixed).select("doc.*")
