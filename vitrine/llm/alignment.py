@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -18,40 +19,62 @@ from pyspark.sql import functions as F
 from vitrine.llm.shared import byte_letters, extended, materialize
 from vitrine.llm.token_counts import Cutter
 
-#: Pieces of text that a task remembers the tokens of, and letters of the longest one.
-REMEMBER, LONGEST = 500_000, 200
+#: Pieces, and tokens of them, that a task remembers the encoding of; then it starts anew.
+REMEMBER, TOKENS = 400_000, 4_000_000
 #: Bytes of text aligned at once, and bytes whose pairs are counted together.
-ALIGNED, BLOCK = 1 << 20, 8 << 20
+ALIGNED, BLOCK = 1 << 19, 2 << 20
+#: Bits of an id; a link is (document, first id, second id) in one number.
+ID = 20
+#: Pairs of tokens in a group up to which all are written down and then counted.
+FEW = 64
 SPACE = "▁"
 
 
+class _Known:
+    """The number of each piece seen, and the tokens of the numbers."""
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
+        self.encode = encode
+        self.numbers: dict[str, int] = {}
+        self.tokens, self.starts = array("i"), array("q", [0])
+
+    def learn(self, pieces: list[str]) -> None:
+        new = list(set(pieces).difference(self.numbers))
+        for piece, tokens in zip(new, self.encode(new)):
+            self.numbers[piece] = len(self.numbers)
+            self.tokens.extend(tokens)
+            self.starts.append(len(self.tokens))
+
+
 class Encoder:
     """Tokens of whole texts by way of pieces that no token crosses, each encoded once."""
 
     def __init__(self, cut: Callable[[str], list[str]], encode: Callable, token_bytes: list[bytes]):
+        if len(token_bytes) > 1 << ID:
+            raise ValueError("too many tokens")
         self.cut, self.encode = cut, encode
         self.bytes = pa.array(token_bytes, type=pa.binary())
         self.sizes = pc.cast(pc.binary_length(self.bytes), pa.int64())
-        self.known: dict[str, list[int]] = {}
-
-    def ids(self, piece: str) -> list[int]:
-        found = self.known.get(piece)
-        if found is None:
-            found = self.encode(piece)
-            if len(piece) <= LONGEST:
-                if len(self.known) >= REMEMBER:
-                    self.known.clear()
-                self.known[piece] = found
-        return found
-
-    def __call__(self, texts: list[str]) -> tuple[pa.Array, pa.Array]:
-        """The tokens of all texts, and the text each belongs to."""
-        pieces = pa.array([self.cut(text) for text in texts], type=pa.list_(pa.string()))
-        coded = pieces.flatten().dictionary_encode()
-        lists = pa.array(map(self.ids, coded.dictionary.to_pylist()), type=pa.list_(pa.int32()))
-        tokens = lists.take(coded.indices)
-        parents = pc.list_parent_indices(pieces).take(pc.list_parent_indices(tokens))
-        return tokens.flatten(), parents
+        self.known = _Known(encode)
+
+    def __call__(self, texts: list[str]) -> pa.ListArray:
+        """The tokens of each text."""
+        if len(self.known.numbers) > REMEMBER or len(self.known.tokens) > TOKENS:
+            self.known = _Known(self.encode)
+        pieces: list[str] = []
+        counts = [0]
+        for text in texts:
+            pieces += self.cut(text)
+            counts.append(len(pieces))
+        known = self.known
+        known.learn(pieces)
+        numbers = np.fromiter(map(known.numbers.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        starts, tokens = np.array(known.starts), np.array(known.tokens)
+        first = starts[numbers]
+        sizes = starts[numbers + 1] - first
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        where = np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])
+        return _lists(pa.array(tokens[where], pa.int32()), ends[counts[1:]])
 
 
 @lru_cache(maxsize=2)
@@ -69,8 +92,9 @@ def byte_level(path: str) -> Encoder:
     for token, number in named.items():
         token_bytes[number] = bytes(letters[c] for c in token)
 
-    def encode(piece: str) -> list[int]:
-        return [t.id for t in model.tokenize(piece.encode("utf-8").decode("latin-1").translate(written))]
+    def encode(pieces: list[str]) -> list[list[int]]:
+        letters = (piece.encode("utf-8").decode("latin-1").translate(written) for piece in pieces)
+        return [[token.id for token in model.tokenize(piece)] for piece in letters]
 
     return Encoder(Cutter(path), encode, token_bytes)
 
@@ -97,93 +121,129 @@ def sentence_pieces(path: str) -> Encoder:
     space = model.piece_to_id(SPACE)
     segments = re.compile(f"[ {SPACE}]+[^ {SPACE}]*").findall
 
-    def encode(segment: str) -> list[int]:
-        return model.encode(segment[1:], num_threads=1) if len(segment) > 1 else [space]
+    def encode(pieces: list[str]) -> list[list[int]]:
+        found = model.encode([piece[1:] for piece in pieces], num_threads=1)
+        # of a text that is nothing but the space in front the model makes no token
+        return [tokens or [space] for tokens in found]
 
     return Encoder(segments, encode, token_bytes)
 
 
-def _ends(sizes: pa.Array, parents: pa.Array, n: int) -> tuple[pa.Array, np.ndarray]:
-    """Where each token ends in its text, and the bytes of each text: segmented cumulative sums."""
-    total = pc.cumulative_sum(sizes)
-    per_text = np.bincount(parents, minlength=n)
-    last = np.cumsum(per_text)
-    upto = np.concatenate([[0], total.to_numpy()])
-    base = upto[last - per_text]
-    return pc.subtract(total, pa.array(base).take(parents)), upto[last] - base
-
-
-def _lists(values: pa.Array, ends: np.ndarray) -> pa.Array:
+def _lists(values: pa.Array, ends: np.ndarray) -> pa.ListArray:
     offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
     return pa.ListArray.from_arrays(offsets, values)
 
 
-def align(texts: list[str | None], one: Encoder, two: Encoder) -> tuple[pa.Table, pa.Table]:
-    """(n_a, n_b, n_groups, n_links, groups) of each text, and (doc, a, b, links) of linked ids.
+class _Side:
+    """The tokens of some texts by one encoder: lists flattened, with parents and byte ends."""
+
+    def __init__(self, lists: pa.ListArray, encoder: Encoder):
+        self.ids = lists.flatten()
+        self.doc = pc.list_parent_indices(lists)
+        sizes = encoder.sizes.take(self.ids)
+        # segmented cumulative sums: the running total less that at the beginning of the text
+        total = np.concatenate([[0], pc.cumulative_sum(sizes).to_numpy()])
+        last = lists.offsets.to_numpy()
+        self.sizes = total[last[1:]] - total[last[:-1]]
+        base = pa.array(total[last[:-1]]).take(self.doc)
+        self.ends = pc.subtract(pa.array(total[1:]), base)
+        data = encoder.bytes.take(self.ids).buffers()[2]
+        self.joined = data.to_pybytes()[: int(total[-1])] if data else b""
+
+    def gives(self, expected: list[bytes]) -> np.ndarray:
+        """Which texts the tokens give back."""
+        if self.sizes.tolist() == list(map(len, expected)) and self.joined == b"".join(expected):
+            return np.ones(len(expected), dtype=bool)
+        after = np.cumsum(self.sizes)
+        pieces = (self.joined[end - size : end] for end, size in zip(after, self.sizes))
+        return np.array([piece == text for piece, text in zip(pieces, expected)], dtype=bool)
+
+    def keys(self) -> pa.Table:
+        key = pc.bit_wise_or(pc.shift_left(self.doc.cast(pa.int64()), 32), self.ends)
+        return pa.table({"key": key, "at": np.arange(len(self.ids))})
+
+
+def align(texts: list[str | None], one: Encoder, two: Encoder) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """(n_a, n_b, n_groups, n_links, groups) of each text; its different links, and how often each.
 
     Offsets at which tokens of both encoders end cut the tokens into groups; within a group all are
-    linked. A text that is null, empty, or not given back by the tokens of both has no tokens.
-    Equal ids of a group are counted before they are linked, so a group costs its different ids.
+    linked. A text that is null, empty, or not given back by the tokens of both has no tokens. Links
+    are in order of their text.
     """
     n = len(texts)
     given = [" " + text if text else "" for text in texts]
     expected = [text.encode("utf-8") for text in given]
-    sides, right = [], np.asarray([len(text) > 0 for text in expected])
-    for encoder in (one, two):
-        ids, parents = encoder(given)
-        ends, sizes = _ends(encoder.sizes.take(ids), parents, n)
-        joined = memoryview(encoder.bytes.take(ids).buffers()[2] or b"")[: int(sizes.sum())]
-        after = np.cumsum(sizes)
-        if bytes(joined) != b"".join(expected) or (sizes != list(map(len, expected))).any():
-            right &= [joined[a - s : a] == e for a, s, e in zip(after, sizes, expected)]
-        sides.append((ids, parents, ends))
-    tables, counts = [], []
-    for ids, parents, ends in sides:
-        key = pc.bit_wise_or(pc.shift_left(parents.cast(pa.int64()), 32), ends)
-        side = pa.table({"key": key, "id": ids, "doc": parents})
-        if not right.all():
-            side = side.filter(pa.array(right).take(parents))
-        tables.append(side.combine_chunks())
-        counts.append(np.bincount(side["doc"], minlength=n))
-    shared = tables[0].select(["key"]).join(
-        tables[1].select(["key"]), "key", join_type="left semi", use_threads=False
-    )["key"]
-    shared = shared.take(pc.sort_indices(shared)).combine_chunks()
-    of_group = pc.shift_right(shared, 32)
-    names, groups = [], []
-    for side, name in zip(tables, "ab"):
-        is_end = pc.is_in(side["key"], value_set=shared).cast(pa.int64())
-        group = pc.subtract(pc.cumulative_sum(is_end), is_end)
-        closes = np.flatnonzero(is_end) + 1
-        text_of = side["id"].combine_chunks().cast(pa.string())
-        names.append(pc.binary_join(_lists(text_of, closes), ","))
-        counted = pa.table({"group": group, name: side["id"]}).group_by(["group", name], use_threads=False)
-        groups.append(counted.aggregate([([], "count_all")]).rename_columns(["group", name, f"n_{name}"]))
-    linked = groups[0].join(groups[1], "group", join_type="inner", use_threads=False)
-    linked = pa.table(
-        {
-            "doc": of_group.take(linked["group"]),
-            "a": linked["a"],
-            "b": linked["b"],
-            "links": pc.multiply(linked["n_a"], linked["n_b"]),
-        }
+    lists = one(given), two(given)
+    sides = [_Side(tokens, encoder) for tokens, encoder in zip(lists, (one, two))]
+    right = sides[0].gives(expected) & sides[1].gives(expected)
+    if not right.all():
+        given = [text if good else "" for text, good in zip(given, right)]
+        sides = [_Side(encoder(given), encoder) for encoder in (one, two)]
+    shared = sides[0].keys().join(
+        sides[1].keys(), "key", join_type="inner", right_suffix="_two", use_threads=False
     )
-    pairs = linked.group_by(["doc", "a", "b"], use_threads=False).aggregate([("links", "sum")])
-    pairs = pairs.rename_columns(["doc", "a", "b", "links"])
-    n_groups = np.bincount(of_group, minlength=n)
+    names, starts, sizes = [], [], []
+    for side, at in zip(sides, ("at", "at_two")):
+        closes = np.zeros(len(side.ids), dtype=bool)
+        closes[shared[at].to_numpy()] = True
+        ends = np.flatnonzero(closes) + 1
+        starts.append(np.concatenate([[0], ends[:-1]]) if len(ends) else ends)
+        sizes.append(ends - starts[-1])
+        names.append(pc.binary_join(_lists(side.ids.cast(pa.string()), ends), ","))
+    doc = sides[0].doc.to_numpy()[starts[0]].astype(np.int64)
+    links, times = _links(sides, starts, sizes, doc)
+    n_groups = np.bincount(doc, minlength=n)
     written = _lists(pc.binary_join_element_wise(names[0], names[1], "|"), np.cumsum(n_groups))
-    links = np.zeros(n, dtype=np.int64)
-    np.add.at(links, pairs["doc"].to_numpy(), pairs["links"].to_numpy())
+    n_links = np.zeros(n, dtype=np.int64)
+    np.add.at(n_links, links >> 2 * ID, times)
     documents = pa.table(
         {
-            "n_a": pa.array(counts[0], pa.int64()),
-            "n_b": pa.array(counts[1], pa.int64()),
-            "n_groups": pa.array(n_groups, pa.int64()),
-            "n_links": links,
+            "n_a": np.bincount(sides[0].doc, minlength=n),
+            "n_b": np.bincount(sides[1].doc, minlength=n),
+            "n_groups": n_groups,
+            "n_links": n_links,
             "groups": pc.binary_join(written, ";"),
         }
     )
-    return documents, pairs
+    return documents, links, times
+
+
+def _links(
+    sides: list[_Side], starts: list[np.ndarray], sizes: list[np.ndarray], doc: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """The different links, in order of their document, and how often each occurs."""
+    a, b = (side.ids.to_numpy().astype(np.int64) for side in sides)
+    pairs = sizes[0] * sizes[1]
+    few = np.flatnonzero(pairs <= FEW)
+    n = pairs[few]
+    nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    width = np.repeat(sizes[1][few], n)
+    left = a[np.repeat(starts[0][few], n) + nth // width]
+    right = b[np.repeat(starts[1][few], n) + nth % width]
+    parts = [((np.repeat(doc[few], n) << 2 * ID) | (left << ID) | right, np.ones(len(nth), dtype=np.int64))]
+    many = np.flatnonzero(pairs > FEW)
+    if len(many):
+        # a large group costs its different ids, which are counted before they meet
+        counted = []
+        for ids, start, size, name in zip((a, b), starts, sizes, "ab"):
+            sizes_here = size[many]
+            offset = np.arange(int(sizes_here.sum())) - np.repeat(np.cumsum(sizes_here) - sizes_here, sizes_here)
+            here = ids[np.repeat(start[many], sizes_here) + offset]
+            table = pa.table({"group": np.repeat(many, sizes_here), name: here})
+            counts = table.group_by(["group", name], use_threads=False).aggregate([([], "count_all")])
+            counted.append(counts.rename_columns(["group", name, f"n_{name}"]))
+        met = counted[0].join(counted[1], "group", join_type="inner", use_threads=False)
+        of = doc[met["group"].to_numpy()] << 2 * ID
+        link = of | (met["a"].to_numpy() << ID) | met["b"].to_numpy()
+        parts.append((link, met["n_a"].to_numpy() * met["n_b"].to_numpy()))
+    table = pa.table({"link": np.concatenate([p[0] for p in parts]), "times": np.concatenate([p[1] for p in parts])})
+    summed = table.group_by("link", use_threads=False).aggregate([("times", "sum")])
+    links, times = summed["link"].to_numpy(), summed["times_sum"].to_numpy()
+    of_doc = links >> 2 * ID
+    if (np.diff(of_doc) < 0).any():
+        order = np.argsort(of_doc, kind="stable")
+        links, times = links[order], times[order]
+    return links, times
 
 
 _FACTS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
@@ -197,26 +257,24 @@ class _Block:
         self.number, self.schema = number, schema
         self.parts: list[pa.RecordBatch] = []
         self.facts: list[pa.Table] = []
-        self.pairs: list[pa.Table] = []
+        self.links: list[np.ndarray] = []
+        self.times: list[np.ndarray] = []
         self.size = self.rows = 0
 
     def add(self, part: pa.RecordBatch, texts: list, one: Encoder, two: Encoder, size: int) -> None:
-        facts, pairs = align(texts, one, two)
+        facts, links, times = align(texts, one, two)
         self.parts.append(part)
         self.facts.append(facts)
-        moved = pc.add(pairs["doc"], self.rows)
-        self.pairs.append(pairs.set_column(0, "doc", moved))
+        self.links.append(links + (self.rows << 2 * ID))
+        self.times.append(times)
         self.rows += len(texts)
         self.size += size
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         facts = pa.concat_tables(self.facts).combine_chunks()
-        pairs = pa.concat_tables(self.pairs).sort_by("doc").combine_chunks()
-        both = pc.bit_wise_or(
-            pc.shift_left(pairs["a"].cast(pa.int64()), 32), pairs["b"].cast(pa.int64())
-        ).combine_chunks()
-        coded = both.dictionary_encode()
-        ends = np.cumsum(np.bincount(pairs["doc"], minlength=self.rows))
+        links = np.concatenate(self.links)
+        coded = pa.array(links & ((1 << 2 * ID) - 1)).dictionary_encode()
+        ends = np.cumsum(np.bincount(links >> 2 * ID, minlength=self.rows))
         block = pa.array([self.number] * self.rows, pa.int64())
         none = pa.nulls(self.rows, pa.list_(pa.int32()))
         sha = [
@@ -226,7 +284,7 @@ class _Block:
         kept = pa.Table.from_batches(self.parts).combine_chunks()
         columns = [column.combine_chunks() for column in kept.columns]
         own = [facts[name].combine_chunks() for name in ("n_a", "n_b", "n_groups", "n_links")]
-        used = _lists(coded.indices, ends), _lists(pairs["links"].combine_chunks(), ends)
+        used = _lists(coded.indices, ends), _lists(pa.array(np.concatenate(self.times)), ends)
         table = pa.Table.from_arrays(
             [*columns, *own, pa.array(sha, pa.string()), block, none, none, none, *used],
             schema=self.schema,
@@ -234,11 +292,11 @@ class _Block:
         yield from table.to_batches(max_chunksize=512)
         codes = coded.dictionary.to_numpy()
         docs = np.bincount(coded.indices, minlength=len(codes))
-        one = [[codes >> 32], [codes & 0xFFFFFFFF], [docs]]
         row = [pa.nulls(1, field.type) for field in self.schema]
         at = self.schema.get_field_index("block")
         row[at] = pa.array([self.number], pa.int64())
-        row[at + 1 : at + 4] = [pa.array([v[0].astype(np.int32)], pa.list_(pa.int32())) for v in one]
+        for k, values in enumerate((codes >> ID, codes & ((1 << ID) - 1), docs)):
+            row[at + 1 + k] = pa.array([values.astype(np.int32)], pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays(row, schema=self.schema)
 
 
@@ -315,10 +373,10 @@ def alignment(
     linked; n_best are the links whose count is the highest of their first id, ties included;
     count_sum adds the counts of all links.
 
-    Arrow-native: lists of pieces are flattened with their parent indices, byte ends are segmented
-    cumulative sums, Acero joins find the ends both share, keyed by (document, end), and
-    Table.group_by counts ids before they are linked and pairs before they leave the task. Spark
-    merges the counts of blocks of some 8 MB of text, of which every pair is one row, and hands each
+    Arrow-native: lists of tokens are flattened with their parent indices, byte ends are segmented
+    cumulative sums, an Acero hash join finds the ends both share, keyed by (document, end), and
+    Table.group_by counts the pairs before they leave the task (in large groups the ids as well,
+    before Acero joins them). Spark merges the counts of blocks of some 2 MB of text, of which every pair is one row, and hands each
     block the counts of its own pairs; so the hottest pair is one row for each block.
 
     Null and empty texts have zeros and an empty groups_sha256, and so has a text that the tokens
