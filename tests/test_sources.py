@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from datetime import date, datetime
 from types import SimpleNamespace
 
@@ -10,10 +11,19 @@ from pyspark.sql import types as T
 from tests.conftest import DATA, rows_of
 from vitrine.operators.filters import in_any_category, on_day
 from vitrine.operators.joins import latest_per_key
-from vitrine.operators.ordering import latest, page, stack, sweep_days
+from vitrine.operators import ordering
+from vitrine.operators.ordering import (
+    RangeIndex,
+    latest,
+    ordered_by,
+    page,
+    page_after,
+    stack,
+    sweep_days,
+)
 from vitrine.registry.tables import Tables
 from vitrine.schemas import LISTINGS
-from vitrine.session import work_dir
+from vitrine.session import work_dir, written
 from vitrine.sinks.writers import write_by_day, write_csv, write_table
 from vitrine.sources.readers import (
     hash_predicates,
@@ -186,7 +196,7 @@ def test_pages_cover_all_rows_once(spark):
 
 def test_a_deep_page_is_cut_from_few_ranges(spark):
     rows = spark.range(20_000).withColumn("k", F.col("id") % 7)
-    found = page(rows, [F.desc("k"), "id"], 15_000, 10)
+    found = page(rows, ["k desc", "id"], 15_000, 10)
     want = rows.orderBy(F.desc("k"), "id").offset(15_000).limit(10)
     assert [tuple(r) for r in found.collect()] == [tuple(r) for r in want.collect()]
     plan = found._jdf.queryExecution().executedPlan().toString()
@@ -194,6 +204,39 @@ def test_a_deep_page_is_cut_from_few_ranges(spark):
     assert page(rows, ["id"], 50_000, 10).count() == 0
 
 
+@pytest.mark.parametrize("order", [["k", "t", "id"], ["k desc", "t", "id desc"], ["t desc", "k desc", "id"]])
+def test_pages_of_keys_with_nulls(spark, order):
+    dice = random.Random(4)
+    days = [None, *(datetime(2024, 1, d) for d in range(1, 6))]
+    rows = [(dice.choice([None, "a", "b", "ñ"]), dice.choice(days), n, "wide" * 50) for n in range(400)]
+    frame = spark.createDataFrame(rows, "k string, t timestamp_ntz, id long, rest string")
+    by = ordered_by(*order)
+    index = RangeIndex.of(frame, order, ranges=7)
+    assert sum(index.counts) == 400 and len(index.counts) > 3
+    want = [tuple(r) for r in frame.orderBy(*[b.sort for b in by]).collect()]
+    for offset in (0, 63, 390, 400):
+        got = [tuple(r) for r in index.page(frame, offset, 40).collect()]
+        assert got == want[offset : offset + 40]
+    at = [("k", "t", "id").index(b.name) for b in by]
+    for place in (0, 150, 399):
+        key = [want[place][i] for i in at]
+        got = [tuple(r) for r in page_after(frame, order, key, 25).collect()]
+        assert got == want[place + 1 : place + 26]
+
+
+def test_an_index_holds_keys_only(spark, monkeypatch):
+    """What is written for a page does not grow with the width of the rows."""
+    kept = []
+    monkeypatch.setattr(ordering, "written", lambda rows: kept.append(rows.columns) or written(rows))
+    rows = spark.range(1000).withColumn("wide", F.repeat(F.lit("x"), 500))
+    found = page(rows, ["id"], 500, 10)
+    assert kept == [["id", "_range"]]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "id#" in plan and " >= " in plan
+    with pytest.raises(ValueError):
+        page(rows, ["id upwards"], 0, 1)
+
+
 def test_latest_rows(spark):
     rows = spark.createDataFrame(
         [(1, datetime(2024, 1, 1)), (2, datetime(2024, 1, 3)), (3, datetime(2024, 1, 3)), (4, None)],

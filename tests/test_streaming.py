@@ -1,9 +1,12 @@
 from __future__ import annotations
 
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
-from tests.conftest import rows_of
+from tests.conftest import OFF, rows_of
+from vitrine.operators.panel import with_previous
 from vitrine.session import work_dir
+from vitrine.streaming.steps import append_steps, previous_in_stream
 from vitrine.streaming.sweep import append_new_days
 
 SCHEMA = "url_id string, created timestamp_ntz, price double"
@@ -34,3 +37,35 @@ def test_every_file_is_taken_once(spark):
     assert rows_of(out.drop("snapshot_date")) == rows_of(spark.createDataFrame(whole, SCHEMA))
     days = {str(r["snapshot_date"]): r["count"] for r in out.groupBy("snapshot_date").count().collect()}
     assert days == {"2024-01-04": 1, "2024-01-05": 5, "2024-01-06": 4}
+
+
+STEPS = "url_id string, created timestamp_ntz, id long, quantity double"
+
+
+def test_steps_equal_the_batch_and_survive_restarts(spark):
+    """Files arrive out of order within a day; each run takes new files and goes on from its state."""
+    base = work_dir(spark)
+    dice = random.Random(5)
+    start = datetime(2024, 1, 1)
+    rows = [
+        (f"u{dice.randrange(5)}", start + timedelta(hours=n, minutes=dice.randrange(600)), n, float(dice.randrange(9)))
+        for n in range(240)
+    ]
+    rows += [(None, start, 1000, 1.0), ("u1", None, 1001, 1.0)]
+    schema = spark.createDataFrame([], STEPS).schema
+
+    def run(*some):
+        spark.createDataFrame(some, STEPS).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{base}/in")
+        stepped = previous_in_stream(stream, "url_id", "created", ["id"], {"before": "quantity"}, "1 day")
+        append_steps(stepped, f"{base}/out", f"{base}/check").awaitTermination()
+        return spark.read.schema(stepped.schema).parquet(f"{base}/out")
+
+    for part in (rows[:80], rows[80:160], rows[160:]):
+        out = run(*part)
+    assert 0 < out.count() < 240  # those of the last day still wait
+    late = ("u1", start, 2000, 1.0)
+    out = run(late, ("end", datetime(2100, 1, 1), 0, 0.0))
+    frame = spark.createDataFrame([r for r in rows if r[0] and r[1]], STEPS)
+    want = with_previous(frame, ["url_id"], "created", ["id"], {"before": "quantity"}, policy=OFF)
+    assert rows_of(out) == rows_of(want.select(out.columns))

@@ -130,31 +130,39 @@ def seller_price_report(listings: DataFrame, observations: DataFrame, scope: Sco
     )
 
 
-def seller_price_counts(listings: DataFrame, observations: DataFrame, scope: Scope) -> DataFrame:
-    """Rows per (category, price), and per (category, seller) whether it sold anything.
+def _prices(steps: DataFrame, scope: Scope) -> DataFrame:
+    """(url, price, n, sold, last_price, is_last): a row for each observation.
 
-    Facts are read and shuffled once, by listing: the window, the counts of each price and what
-    the listing did all follow there. Only then are listings spread over their categories.
+    All of it follows from the order the steps were found in, so rows are sorted once.
     """
-    urls = target_listings(listings, scope, "raw").select("url").where(F.col("url").isNotNull())
-    steps = listing_steps(urls, observations, scope, ZERO_RULES)
+    history = Window.partitionBy("url").orderBy("created", *scope.tiebreak)
+    whole = history.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return steps.select(
+        "url",
+        "price",
+        F.lit(1).cast("long").alias("n"),
+        F.max(is_sale(F.col("stock_change"))).over(whole).alias("sold"),
+        F.last("price").over(whole).alias("last_price"),
+        F.lead(F.lit(True)).over(history).isNull().alias("is_last"),
+    )
+
+
+def _sliced_prices(steps: DataFrame, scope: Scope) -> DataFrame:
+    """The same where no task sees a whole history: a row for each different price of a listing."""
 
     def merged(rows: DataFrame, keys: list[str], n: Column, sold: Column, at: Column) -> DataFrame:
         return rows.groupBy(*keys).agg(
             F.sum(n).alias("n"), F.bool_or(sold).alias("sold"), F.max(at).alias("at")
         )
 
-    first = [F.lit(1), is_sale(F.col("stock_change")), F.struct("created", *scope.tiebreak)]
     keys = ["url", "price"]
-    if SLICE in steps.columns:
-        again = [F.col("n"), F.col("sold"), F.col("at")]
-        per_price = merged(merged(steps, [*keys, SLICE], *first), keys, *again)
-    else:
-        per_price = merged(steps, keys, *first)
+    seen = F.struct("created", *scope.tiebreak)
+    parts = merged(steps, [*keys, SLICE], F.lit(1), is_sale(F.col("stock_change")), seen)
+    per_price = merged(parts, keys, F.col("n"), F.col("sold"), F.col("at"))
     # A bounded group: the different prices of one listing.
     listing = Window.partitionBy("url")
     here = F.struct("at", "price")
-    per_price = (
+    return (
         per_price.withColumn("latest", F.max(here).over(listing))
         .withColumn("sold", F.max("sold").over(listing))
         .select(
@@ -166,6 +174,17 @@ def seller_price_counts(listings: DataFrame, observations: DataFrame, scope: Sco
             here.eqNullSafe(F.col("latest")).alias("is_last"),
         )
     )
+
+
+def seller_price_counts(listings: DataFrame, observations: DataFrame, scope: Scope) -> DataFrame:
+    """Rows per (category, price), and per (category, seller) whether it sold anything.
+
+    Facts are read and shuffled once, by listing: the window, the counts of each price and what
+    the listing did all follow there. Only then are listings spread over their categories.
+    """
+    urls = target_listings(listings, scope, "raw").select("url").where(F.col("url").isNotNull())
+    steps = listing_steps(urls, observations, scope, ZERO_RULES)
+    per_price = _sliced_prices(steps, scope) if SLICE in steps.columns else _prices(steps, scope)
     wanted = categories_of_listings(listings, scope, "seller_id")
     spread = wanted.join(per_price, "url", "left")
     no_seller = F.lit(None).cast(spread.schema["seller_id"].dataType)

@@ -10,7 +10,7 @@ from vitrine.functions.numbers import or_zero, to_number, to_number_strict
 from vitrine.operators.expand import per_distinct_element
 from vitrine.operators.filters import drop_missing, in_any_category, since
 from vitrine.operators.joins import latest_per_key
-from vitrine.operators.skew import Slices, plan_slices
+from vitrine.operators.skew import SLICE, Slices, plan_slices
 from vitrine.plans.config import Scope
 
 
@@ -72,7 +72,7 @@ def clean_facts(
     """url_id, quantity, price, created and the tie-break columns of the observations in scope.
 
     fill: None drops rows whose quantity is no number, "zero" takes them as 0, "keep" keeps
-        them as NULL.
+        them as NULL. Stored rows keep the number of their slice.
     """
     number = to_number_strict if strict_quantity else to_number
     quantity = number(F.col("available_quantity"))
@@ -84,6 +84,7 @@ def clean_facts(
         *([to_number(F.col("price")).alias("price")] if keep_price else []),
         "created",
         *scope.tiebreak,
+        *([SLICE] if SLICE in observations.columns else []),
     )
     return drop_missing(rows, "quantity") if fill is None else rows
 

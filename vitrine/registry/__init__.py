@@ -10,6 +10,7 @@ from vitrine.registry import (  # noqa: F401  (importing registers the queries)
     scalars,
     scans,
 )
+from vitrine.registry import stored  # noqa: F401,E402  (needs the queries above)
 from vitrine.registry.book import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.names import brand_names, breadcrumb_names, breadcrumb_path
@@ -228,9 +228,9 @@ def agg_sales_by_product(t: Tables):
     )
 
 
-def _sold(t: Tables):
+def _sold(t: Tables, *keep: Column):
     """Whether a listing ever sold, with its category path and seller."""
-    listings = target_listings(t.listings, EVERYTHING, keep=("seller_id",))
+    listings = target_listings(t.listings, EVERYTHING, keep=("seller_id", *keep))
     totals = listing_totals(
         listings.where(F.col("category") != ""), t.observations, EVERYTHING, FINAL_RULES
     )
@@ -238,9 +238,9 @@ def _sold(t: Tables):
 
 
 def _sold_brands(t: Tables):
-    """The same, one row per brand of the listing."""
-    brands = t.listings.select("url", brand_names(F.col("brand")).alias("brands"))
-    return _sold(t).join(per_distinct_element(brands, "brands", "brand", "_times"), "url")
+    """The same, one row per brand of the listing. Listings are read and parsed once."""
+    sold = _sold(t, brand_names(F.col("brand")).alias("brands"))
+    return per_distinct_element(sold.select("category", "seller_id", "brands", "sold"), "brands", "brand", "_times")
 
 
 @query(

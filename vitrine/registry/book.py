@@ -27,6 +27,17 @@ def query(name: str, sql: str) -> Callable:
     return register
 
 
+def query_like(name: str, other: str) -> Callable:
+    """Register a query that must give what another one gives."""
+
+    def register(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        made = query(name, "")(build)
+        ORACLES[name] = ORACLES[other]
+        return made
+
+    return register
+
+
 def with_tables(sql: str) -> str:
     """Put the catalogue tables a statement names in front of it as common table expressions."""
     named = [text for name, text in TABLES_SQL.items() if re.search(rf"\b{name}\b", sql)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
@@ -14,6 +14,7 @@ from vitrine.operators.ordering import (
     distinct_keys,
     latest,
     page,
+    page_after,
     stack,
     sweep_days,
 )
@@ -64,8 +65,21 @@ def sort_multi_key(t: Tables):
 )
 def page_limit_offset(t: Tables):
     rows = t.observations.select("url_id", "created", *TIE, "price")
-    order = [F.asc("url_id"), F.desc("created"), *TIE]
-    return page(rows, order, offset=2000, size=1000)
+    return page(rows, ["url_id", "created desc", *TIE], offset=2000, size=1000)
+
+
+@query(
+    "page_after_key",
+    """SELECT url_id, created, l_orderkey, l_linenumber, price FROM observations
+    WHERE url_id > 'P150' OR (url_id = 'P150' AND created < TIMESTAMP '1998-01-01')
+    ORDER BY url_id ASC, created DESC, l_orderkey, l_linenumber LIMIT 1000""",
+)
+def page_after_key(t: Tables):
+    """The page that follows a given place in the order."""
+    rows = t.observations.select("url_id", "created", *TIE, "price")
+    # Nothing has a key as large as this within its second.
+    key = ("P150", datetime(1998, 1, 1), 2**62, 2**30)
+    return page_after(rows, ["url_id", "created desc", *TIE], key, 1000)
 
 
 @query(

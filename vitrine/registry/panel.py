@@ -17,9 +17,11 @@ from vitrine.operators.panel import (
     with_previous,
 )
 from vitrine.operators.skew import DEFAULT_POLICY, SkewPolicy
-from vitrine.registry.book import query, rounded
+from vitrine.registry.book import query, query_like, rounded
 from vitrine.registry.params import SLICED, TIE
 from vitrine.registry.tables import Tables
+from vitrine.session import work_dir
+from vitrine.streaming.steps import append_steps, previous_in_stream
 
 _WINDOW = "OVER (PARTITION BY url_id ORDER BY created, l_orderkey, l_linenumber)"
 _STEPS_SQL = f"""steps AS (
@@ -169,3 +171,25 @@ def win_last_value(t: Tables):
         "url_id", "created", *TIE, to_number(F.col("price")).alias("price")
     )
     return last_per_key(rows, "url_id", "price", "created", TIE, "last_price").drop("price")
+
+
+@query_like("win_stock_change_streamed", "win_stock_change")
+def win_stock_change_streamed(t: Tables):
+    """The same from a stream of the file. A last row far in the future lets all others fall due."""
+    base = work_dir(t.spark)
+    given = t.table("lineitem").schema
+    mark = [f"cast({_END.get(f.name, 'null')} as {f.dataType.simpleString()}) as {f.name}" for f in given]
+    t.spark.range(1).selectExpr(*mark).write.parquet(f"{base}/end")
+    reader = t.spark.readStream.schema(given)
+    lines = reader.option("pathGlobFilter", "lineitem.parquet").parquet(t.folder)
+    rows = t.as_observations(lines.unionByName(reader.parquet(f"{base}/end")))
+    readable = rows.select(
+        "url_id", "created", *TIE, to_number(F.col("available_quantity")).alias("quantity")
+    ).where(F.col("quantity").isNotNull())
+    stepped = previous_in_stream(readable, "url_id", "created", TIE, {"quantity_before": "quantity"})
+    append_steps(stepped, f"{base}/steps", f"{base}/checkpoint").awaitTermination()
+    moved = change(F.col("quantity"), F.col("quantity_before")).alias("stock_change")
+    return t.spark.read.schema(stepped.schema).parquet(f"{base}/steps").select(*_ID, moved)
+
+
+_END = {"l_partkey": "-1", "l_orderkey": "1", "l_linenumber": "1", "l_quantity": "1", "l_shipdate": "timestamp_ntz'2100-01-01'"}

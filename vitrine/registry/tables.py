@@ -66,7 +66,11 @@ class Tables:
 
     @cached_property
     def observations(self) -> DataFrame:
-        return self.table("lineitem").select(
+        return self.as_observations(self.table("lineitem"))
+
+    @staticmethod
+    def as_observations(lines: DataFrame) -> DataFrame:
+        return lines.select(
             F.expr("'P' || l_partkey").alias("url_id"),
             F.expr("'I' || l_partkey").alias("product_id"),
             F.expr(
