@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -15,8 +16,9 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vitrine.llm.shared import byte_letters, extended, materialize
+from vitrine.llm.shared import byte_letters, extended, few_at_once, materialize
 from vitrine.llm.token_counts import Cutter
 
 #: Pieces, and tokens of them, that a task remembers the encoding of; then it starts anew.
@@ -247,7 +249,9 @@ def _links(
 
 
 _FACTS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
-_PAIRS = "block long, a array<int>, b array<int>, docs array<int>, pair array<int>, links array<long>"
+_PAIRS = "block long, a array<int>, b array<int>, docs array<int>, ends array<int>, used binary, links binary"
+#: Blocks handed to Python at once.
+AT_ONCE = 8
 
 
 class _Block:
@@ -263,41 +267,45 @@ class _Block:
 
     def add(self, part: pa.RecordBatch, texts: list, one: Encoder, two: Encoder, size: int) -> None:
         facts, links, times = align(texts, one, two)
+        sha = [
+            hashlib.sha256(text.encode()).hexdigest() if n else ""
+            for text, n in zip(facts["groups"].to_pylist(), facts["n_a"].to_pylist())
+        ]
         self.parts.append(part)
-        self.facts.append(facts)
+        self.facts.append(facts.drop_columns(["groups"]).append_column("sha", pa.array(sha, pa.string())))
         self.links.append(links + (self.rows << 2 * ID))
         self.times.append(times)
         self.rows += len(texts)
         self.size += size
 
-    def batches(self) -> Iterator[pa.RecordBatch]:
-        facts = pa.concat_tables(self.facts).combine_chunks()
+    def batch(self) -> pa.RecordBatch:
+        """One row: what is known of the documents as lists, and their pairs."""
         links = np.concatenate(self.links)
         coded = pa.array(links & ((1 << 2 * ID) - 1)).dictionary_encode()
-        ends = np.cumsum(np.bincount(links >> 2 * ID, minlength=self.rows))
-        block = pa.array([self.number] * self.rows, pa.int64())
-        none = pa.nulls(self.rows, pa.list_(pa.int32()))
-        sha = [
-            hashlib.sha256(text.encode()).hexdigest() if n else ""
-            for text, n in zip(facts["groups"].to_pylist(), facts["n_a"].to_pylist())
-        ]
-        kept = pa.Table.from_batches(self.parts).combine_chunks()
-        columns = [column.combine_chunks() for column in kept.columns]
-        own = [facts[name].combine_chunks() for name in ("n_a", "n_b", "n_groups", "n_links")]
-        used = _lists(coded.indices, ends), _lists(pa.array(np.concatenate(self.times)), ends)
-        table = pa.Table.from_arrays(
-            [*columns, *own, pa.array(sha, pa.string()), block, none, none, none, *used],
-            schema=self.schema,
-        )
-        yield from table.to_batches(max_chunksize=512)
         codes = coded.dictionary.to_numpy()
         docs = np.bincount(coded.indices, minlength=len(codes))
-        row = [pa.nulls(1, field.type) for field in self.schema]
-        at = self.schema.get_field_index("block")
-        row[at] = pa.array([self.number], pa.int64())
-        for k, values in enumerate((codes >> ID, codes & ((1 << ID) - 1), docs)):
-            row[at + 1 + k] = pa.array([values.astype(np.int32)], pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays(row, schema=self.schema)
+        ends = np.cumsum(np.bincount(links >> 2 * ID, minlength=self.rows))
+        own = pa.Table.from_batches(self.parts), pa.concat_tables(self.facts)
+        columns = [column.combine_chunks() for table in own for column in table.columns]
+        ints = (codes >> ID, codes & ((1 << ID) - 1), docs, ends)
+        row = [
+            *(_lists(column, np.array([len(column)])) for column in columns),
+            pa.array([self.number], pa.int64()),
+            *(pa.array([values.astype(np.int32)], pa.list_(pa.int32())) for values in ints),
+            pa.array([_packed(coded.indices.to_numpy())]),
+            pa.array([_packed(np.concatenate(self.times))]),
+        ]
+        row = [column.cast(field.type) for column, field in zip(row, self.schema)]
+        return pa.RecordBatch.from_arrays(row, schema=self.schema)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return zlib.compress(values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").reshape(-1)
 
 
 def aligned(
@@ -308,16 +316,17 @@ def aligned(
     keep: tuple[str, ...],
     sizes: tuple[int, int] = (ALIGNED, BLOCK),
 ) -> DataFrame:
-    """Two kinds of rows: the documents, with the numbers of their pairs, and one row for each
-    block of documents with its different pairs (a, b) and in how many documents each occurs.
-    """
+    """A row for each block of documents: lists of what is known of each, the different pairs (a, b)
+    with the number of documents that hold them linked, and which pairs each document has."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kept = [f"k{i}" for i in range(len(keep))]
     slim = docs.select(
         *[F.col(f"`{name}`").alias(k) for k, name in zip(kept, keep)], F.col(f"`{text}`").alias("text")
     )
-    schema = extended(extended(slim.select(*kept).schema, _FACTS), _PAIRS)
+    facts = extended(slim.select(*kept).schema, _FACTS)
+    listed = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in facts])
+    schema = extended(listed, _PAIRS)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,20 +344,18 @@ def aligned(
                 block.add(part.select(kept), part["text"].to_pylist(), first, second, size)
                 start += part.num_rows
                 if block.size >= sizes[1]:
-                    yield from block.batches()
+                    yield block.batch()
                     task += 1
                     block = _Block(task, arrow)
         if block.rows:
-            yield from block.batches()
+            yield block.batch()
 
     return slim.mapInArrow(run, schema)
 
 
-def pair_counts(found: DataFrame) -> DataFrame:
+def pair_counts(blocks: DataFrame) -> DataFrame:
     """(a, b, count, best): the documents that hold a pair linked, and whether no b has more with a."""
-    per_block = found.where("docs is not null").select(
-        F.explode(F.arrays_zip("a", "b", "docs")).alias("pair")
-    )
+    per_block = blocks.select(F.explode(F.arrays_zip("a", "b", "docs")).alias("pair"))
     counts = per_block.groupBy("pair.a", "pair.b").agg(F.sum("pair.docs").alias("count"))
     counts = materialize(counts)
     most = counts.groupBy(F.col("a").alias("of")).agg(F.max("count").alias("most"))
@@ -357,6 +364,26 @@ def pair_counts(found: DataFrame) -> DataFrame:
     )
 
 
+def _summed(row: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    """The documents of a block, with the sums over the counts of their pairs."""
+    n_pairs = len(row["a"][0])
+    told = row["told"][0].values
+    count, best = np.zeros(n_pairs, dtype=np.int64), np.zeros(n_pairs, dtype=np.int64)
+    if told is not None:
+        at = told.field("at").to_numpy()
+        count[at] = told.field("count").to_numpy()
+        best[at] = told.field("best").to_numpy(zero_copy_only=False)
+    used, links = _unpacked(row["used"][0].as_py()), _unpacked(row["links"][0].as_py())
+    ends = np.concatenate([[0], row["ends"][0].values.to_numpy()])
+    upto = lambda values: np.diff(np.concatenate([[0], np.cumsum(values)])[ends])
+    made = {"n_best": upto(links * best[used]), "count_sum": upto(links * count[used])}
+    columns = [
+        pa.array(made[f.name], f.type) if f.name in made else row[f.name][0].values.cast(f.type)
+        for f in schema
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
 def alignment(
     docs: DataFrame,
     one: Callable[[], Encoder],
@@ -376,42 +403,37 @@ def alignment(
     Arrow-native: lists of tokens are flattened with their parent indices, byte ends are segmented
     cumulative sums, an Acero hash join finds the ends both share, keyed by (document, end), and
     Table.group_by counts the pairs before they leave the task (in large groups the ids as well,
-    before Acero joins them). Spark merges the counts of blocks of some 2 MB of text, of which every pair is one row, and hands each
-    block the counts of its own pairs; so the hottest pair is one row for each block.
+    before Acero joins them). Spark merges the counts of blocks of some 2 MB of text, of which every
+    pair is one row, and hands each block the counts of its own pairs; so the hottest pair is one row
+    for each block. A block is one row, read back a few at a time.
 
     Null and empty texts have zeros and an empty groups_sha256, and so has a text that the tokens
     don't give back. Repeated rows are rows of their own. An empty table gives an empty result.
     Very long texts are aligned alone. Other columns are not read.
     """
-    found = materialize(aligned(docs, one, two, text, keep, sizes))
-    counts = pair_counts(found)
-    pairs = found.where("docs is not null").select(
-        "block", F.posexplode(F.arrays_zip("a", "b")).alias("at", "pair")
-    ).select("block", "at", "pair.a", "pair.b")
-    told = pairs.join(counts, ["a", "b"]).select(F.col("block").alias("of"), "at", "count", "best")
-    names = [name for name in found.columns if name.startswith("k")]
-    rows = found.where("docs is null").select(
-        *names, "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "block", "pair", "links"
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    blocks = materialize(aligned(docs, one, two, text, keep, sizes))
+    counts = pair_counts(blocks)
+    pairs = blocks.select("block", F.posexplode(F.arrays_zip("a", "b")).alias("at", "pair"))
+    pairs = pairs.select(F.col("block").alias("of"), "at", "pair.a", "pair.b").join(counts, ["a", "b"])
+    told = materialize(
+        pairs.groupBy("of").agg(F.collect_list(F.struct("at", "count", "best")).alias("told"))
     )
-    schema = extended(rows.drop("block", "pair", "links").schema, "n_best long, count_sum long")
-
-    def total(left: pa.Table, right: pa.Table) -> pa.Table:
-        n = right.num_rows
-        count, best = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-        at = right["at"].to_numpy()
-        count[at], best[at] = right["count"].to_numpy(), right["best"].to_numpy()
-        used, links = left["pair"].combine_chunks(), left["links"].combine_chunks()
-        numbers, times = used.flatten().to_numpy(), links.flatten().to_numpy()
-        after = np.cumsum(pc.list_value_length(used).to_numpy())
-        upto = lambda values: np.diff(
-            np.concatenate([[0], np.cumsum(values)])[np.concatenate([[0], after])]
-        )
-        return left.drop_columns(["block", "pair", "links"]).append_column(
-            "n_best", pa.array(upto(times * best[numbers]), pa.int64())
-        ).append_column("count_sum", pa.array(upto(times * count[numbers]), pa.int64()))
+    kept = [f"k{i}" for i in range(len(keep))]
+    facts = T.StructType([T.StructField(n, blocks.schema[n].dataType.elementType) for n in kept])
+    schema = extended(extended(facts, _FACTS), "n_best long, count_sum long")
+    arrow = to_arrow_schema(schema)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield _summed(batch.slice(i, 1), arrow)
 
-    summed = rows.groupBy("block").cogroup(told.groupBy("of")).applyInArrow(total, schema)
-    back = [F.col(k).alias(name) for k, name in zip(names, keep)]
+    with few_at_once(docs.sparkSession, AT_ONCE):
+        joined = blocks.join(told, F.col("block") == F.col("of"), "left")
+        summed = materialize(joined.mapInArrow(total, schema))
+    back = [F.col(k).alias(name) for k, name in zip(kept, keep)]
     return summed.select(
         *back, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
     )

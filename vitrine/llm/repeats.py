@@ -5,17 +5,16 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.deep_shallow import suffix_array
-from vitrine.llm.shared import materialize, tasks
+from vitrine.llm.shared import few_at_once, materialize, tasks
 
 #: Bytes of an anchor. Windows of `length` bytes are known by the least anchor they hold.
 ANCHOR = 24
@@ -25,18 +24,6 @@ BLOCK, PER_BUCKET, AT_ONCE = 1 << 20, 16, 16
 CROWD = 2000
 _LAST = np.iinfo(np.int64).max
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-@contextmanager
-def _few_at_once(spark: SparkSession) -> Iterator[None]:
-    """Blocks are large rows: only some of them make a batch for Python."""
-    before = spark.conf.get(_ARROW_ROWS)
-    spark.conf.set(_ARROW_ROWS, AT_ONCE)
-    try:
-        yield
-    finally:
-        spark.conf.set(_ARROW_ROWS, before)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -436,9 +423,8 @@ def removed_passages(
     """
     if length < ANCHOR + 1:
         raise ValueError(f"strings must be longer than {ANCHOR} bytes")
-    spark = docs.sparkSession
     blocks = materialize(_blocks(docs, identity, text, block))
-    buckets = max(tasks(spark), blocks.count() // PER_BUCKET)
+    buckets = max(tasks(docs.sparkSession), blocks.count() // PER_BUCKET)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, texts in _texts(batches):
@@ -480,7 +466,7 @@ def removed_passages(
             removed = _spans(texts, found, row["found"][0].as_py() or [], least, buckets)
             yield _results(texts, row["ids"][0].values, removed, kept)
 
-    with _few_at_once(spark):
+    with few_at_once(docs.sparkSession, AT_ONCE):
         said = blocks.mapInArrow(anchors, "block long, bucket long, seen binary, copies binary")
         answered = said.groupBy("bucket").applyInArrow(
             shared, "block long, bucket long, seen binary, copies binary"
