@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,10 +51,28 @@ def _grams(text: np.ndarray, size: int) -> np.ndarray:
 
 
 def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index of one row of each kind, the kind of each row) of a structured array."""
-    plain = np.ascontiguousarray(rows).view(f"V{rows.dtype.itemsize}")
-    _, index, kinds = np.unique(plain, return_index=True, return_inverse=True)
-    return index, kinds.reshape(-1)
+    """(index of one row of each kind, the kind of each row) of a matrix of bytes.
+
+    Rows are brought together by a hash and told apart by their bytes; if a hash were shared by
+    different rows, a kind might come twice, which says the same twice.
+    """
+    n, width = rows.shape
+    if not n:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    padded = np.zeros((n, -(-width // 8) * 8), dtype=np.uint8)
+    padded[:, :width] = rows
+    words = padded.view("<u8")
+    h = np.zeros(n, dtype=np.uint64)
+    for k in range(words.shape[1]):
+        h = (h ^ words[:, k]) * _MIX[k % 3]
+        h ^= h >> np.uint64(31)
+    order = np.argsort(_mixed(h), kind="stable")
+    together = words[order]
+    new = np.ones(n, dtype=bool)
+    new[1:] = (together[1:] != together[:-1]).any(axis=1)
+    kinds = np.empty(n, dtype=np.int64)
+    kinds[order] = np.cumsum(new) - 1
+    return order[new], kinds
 
 
 @dataclass
@@ -187,11 +206,8 @@ class _Anchors:
     def __init__(self, block: _Text, length: int, buckets: int):
         self.block, self.buckets = block, buckets
         self.doc, self.at, self.begin, self.end, self.hash = block.runs(length)
-        self.hashes, first, self.kind = np.unique(self.hash, return_index=True, return_inverse=True)
+        self.hashes, self.kind = np.unique(self.hash, return_inverse=True)
         self.kind = self.kind.reshape(-1)
-        # documents, by id, that hold each
-        pairs = np.unique(np.stack([self.kind, block.ids[self.doc]], axis=1), axis=0) if len(first) else first
-        self.docs = np.bincount(pairs[:, 0], minlength=len(first)) if len(first) else first
         self.places = self._by_bucket(_bucket(self.hashes, buckets))
         _, where = np.unique(block.digests, return_index=True)
         self.copies = where
@@ -204,13 +220,20 @@ class _Anchors:
         changes = np.flatnonzero(np.diff(bucket[order])) + 1
         return {int(bucket[part[0]]): part for part in np.split(order, changes) if len(part)}
 
+    def _documents(self) -> np.ndarray:
+        """How many documents, told apart by their ids, hold each anchor."""
+        ids, number = np.unique(self.block.ids, return_inverse=True)
+        pairs = np.unique(self.kind * len(ids) + number.reshape(-1)[self.doc])
+        return np.bincount(pairs // max(1, len(ids)), minlength=len(self.hashes))
+
     def rows(self) -> Iterator[tuple[int, bytes, bytes]]:
+        docs = self._documents()
         for bucket in sorted({*self.places, *self.copy_places}):
             here = self.places.get(bucket, np.zeros(0, dtype=np.int64))
             seen = np.zeros(len(here), dtype=_SEEN)
             high = (self.hashes[here] >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
             seen["hash"] = np.ascontiguousarray(high).view("V5").reshape(-1)
-            seen["docs"] = np.minimum(self.docs[here], 65535)
+            seen["docs"] = np.minimum(docs[here], 65535)
             where = self.copies[self.copy_places.get(bucket, np.zeros(0, dtype=np.int64))]
             copy = np.zeros(len(where), dtype=_COPY)
             copy["digest"], copy["id"] = self.block.digests[where], self.block.first[where]
@@ -281,59 +304,95 @@ class _Contexts:
         self.doc = np.concatenate([anchors.doc[some], np.repeat(anchors.doc[crowd], counts)]).astype(np.int64)
         l = np.concatenate([at - begin, np.zeros(len(single), dtype=np.int64)])
         r = np.concatenate([end + length - at, np.full(len(single), length)])
+        wide = sliding_window_view(
+            np.concatenate([np.zeros(self.before, np.uint8), block.raw, np.zeros(length, np.uint8)]),
+            self.before + length,
+        )[self.at]
         rows = np.zeros(len(self.at), dtype=entry)
         rows["key"], rows["l"], rows["r"] = keys, l, r
-        padded = np.concatenate([np.zeros(self.before, np.uint8), block.raw, np.zeros(length, np.uint8)])
-        at = self.at + self.before
-        left = padded[at[:, None] - 1 - np.arange(self.before)]
-        right = padded[at[:, None] + np.arange(length)]
-        rows["left"] = np.where(np.arange(self.before) < l[:, None], left, 0)
-        rows["right"] = np.where(np.arange(length) < r[:, None], right, 0)
-        index, self.kind = _distinct(rows)
+        rows["left"] = wide[:, : self.before][:, ::-1] * (np.arange(self.before) < l[:, None])
+        rows["right"] = wide[:, self.before :] * (np.arange(length) < r[:, None])
+        index, self.kind = _distinct(_bytes(rows))
         ids = block.ids[self.doc]
-        entries = rows[index]
-        entries["first"], entries["last"] = _LAST, -(1 << 63)
-        least_id, greatest = entries["first"].copy(), entries["last"].copy()
+        least_id, greatest = np.full(len(index), _LAST), np.full(len(index), -(1 << 63))
         np.minimum.at(least_id, self.kind, ids)
         np.maximum.at(greatest, self.kind, ids)
-        entries["first"], entries["last"] = least_id, greatest
-        self.entries = entries
+        self.entries = rows[index]
+        self.entries["first"], self.entries["last"] = least_id, greatest
 
     def by_bucket(self, buckets: int) -> dict[int, np.ndarray]:
         return _Anchors._by_bucket(_bucket(self.entries["key"], buckets))
 
 
-def _first_holders(rows: pa.Table, length: int) -> pa.Table:
-    """For a bucket: entries some of whose windows an earlier document holds, and from which id on.
+def _bytes(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), rows.dtype.itemsize)
+
+
+def _classes(keys: np.ndarray, letters: np.ndarray, depth: int) -> Callable[[int], np.ndarray]:
+    """For a number of letters: a class for each string, equal where that many letters are.
+
+    Different strings are sorted by deep-shallow sorting; neighbours' common lengths part them.
+    """
+    index, kinds = _distinct(np.concatenate([keys.view(np.uint8).reshape(-1, 8), letters], axis=1))
+    order, common = suffix_array(keys[index], letters[index], depth)
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    of = place[kinds]
+    return lambda size: np.cumsum(common < size)[of]
+
 
-    Suffixes from the anchor on, and prefixes before it read backwards, are sorted by deep-shallow
-    sorting; neighbours' common lengths tell which agree how far. Windows that begin `o` bytes before
-    the anchor are equal if their prefixes agree for o bytes and their suffixes for the rest.
+def _by_window(entries: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
+    """The first holder of each window (by its offset before the anchor) of different entries.
+
+    Where a key has one entry, that entry's first holder is that of all its windows. Of the others,
+    suffixes from the anchor on and prefixes before it, read backwards, are sorted. Windows that begin
+    `o` bytes before the anchor are equal if their prefixes agree for o bytes and their suffixes for
+    the rest.
     """
     before = length - ANCHOR
-    entry = np.dtype([*_ENTRY_FIELDS, ("left", "u1", before), ("right", "u1", length)])
-    parts = [np.frombuffer(x, dtype=entry) for x in rows["entries"].to_pylist()]
-    sizes = np.asarray(list(map(len, parts)))
-    all_ = np.concatenate(parts)
-    n = len(all_)
-    keys = np.ascontiguousarray(all_["key"])
-    by_right, common_right = suffix_array(keys, np.ascontiguousarray(all_["right"]), 0)
-    by_left, common_left = suffix_array(keys, np.ascontiguousarray(all_["left"]), 0)
-    l, r = all_["l"].astype(np.int64), all_["r"].astype(np.int64)
-    first, last = all_["first"], all_["last"]
-    found = np.full((n, before + 1), _LAST)
-    class_left, class_right = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
-    for o in range(before + 1):
-        has = np.flatnonzero((l >= o) & (r >= length - o))
+    l, r = entries["l"].astype(np.int64), entries["r"].astype(np.int64)
+    offsets = np.arange(before + 1)
+    valid = (l[:, None] >= offsets) & (r[:, None] >= length - offsets)
+    found = np.where(valid, first[:, None], _LAST)
+    _, of_key, per_key = np.unique(entries["key"], return_inverse=True, return_counts=True)
+    some = np.flatnonzero(per_key[of_key.reshape(-1)] > 1)
+    if not len(some):
+        return found
+    keys = np.ascontiguousarray(entries["key"][some])
+    right, left = (np.ascontiguousarray(entries[name][some]) for name in ("right", "left"))
+    # all strings of a key begin with the anchor, unless two anchors share a hash
+    by_key = np.argsort(keys, kind="stable")
+    same_key = keys[by_key][1:] == keys[by_key][:-1]
+    anchors = right[by_key][:, :ANCHOR]
+    agree = (anchors[1:] == anchors[:-1]).all(axis=1)
+    suffixes = _classes(keys, right, ANCHOR if agree[same_key].all() else 0)
+    prefixes = _classes(keys, left, 0)
+    for o in offsets.tolist():
+        has = np.flatnonzero(valid[some, o])
         if not len(has):
             continue
-        class_right[by_right] = np.cumsum(common_right < length - o)
-        class_left[by_left] = np.cumsum(common_left < o)
-        both = class_right[has] * (n + 1) + class_left[has]
+        both = suffixes(length - o)[has] * (len(some) + 1) + prefixes(o)[has]
         order = np.argsort(both, kind="stable")
         starts = np.concatenate([[0], np.flatnonzero(np.diff(both[order])) + 1])
-        least = np.minimum.reduceat(first[has][order], starts)
-        found[has[order], o] = np.repeat(least, np.diff(np.concatenate([starts, [len(has)]])))
+        least = np.minimum.reduceat(first[some[has]][order], starts)
+        found[some[has[order]], o] = np.repeat(least, np.diff(np.concatenate([starts, [len(has)]])))
+    return found
+
+
+def _first_holders(rows: pa.Table, length: int) -> pa.Table:
+    """For a bucket: entries some of whose windows an earlier document holds, and from which id on."""
+    before = length - ANCHOR
+    entry = np.dtype([*_ENTRY_FIELDS, ("left", "u1", before), ("right", "u1", length)])
+    parts = [np.frombuffer(x, dtype=entry) for x in rows["entries"].to_pylist()]
+    sizes = np.array(list(map(len, parts)))
+    all_ = np.concatenate(parts)
+    last = all_["last"]
+    plain = all_.copy()
+    plain["first"] = plain["last"] = 0
+    index, kinds = _distinct(_bytes(plain))
+    first = np.full(len(index), _LAST)
+    np.minimum.at(first, kinds, all_["first"])
+    found = _by_window(plain[index], first, length)[kinds]
     earlier = found < last[:, None]
     # neighbouring offsets with the same first holder go on as one
     padded = np.where(earlier, found, _LAST)
@@ -345,7 +404,7 @@ def _first_holders(rows: pa.Table, length: int) -> pa.Table:
     _, hi = np.nonzero(closes & earlier)
     out = np.zeros(len(number), dtype=_FOUND)
     origin = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out["entry"], out["lo"], out["hi"] = number - origin[number] if n else number, lo, hi
+    out["entry"], out["lo"], out["hi"] = number - origin[number], lo, hi
     out["first"] = found[number, lo]
     ends = np.searchsorted(number, np.cumsum(sizes))
     return pa.table(
