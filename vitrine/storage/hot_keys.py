@@ -39,12 +39,12 @@ def frequent_keys(
     sketches, are in too. That error is ERROR / tracked of the rows of the days that are merged.
     """
     wanted = _within(F.col("day"), since, until)
-    merged = summary.where(wanted).agg(
+    # Grouped, as no day at all has no sketch to merge.
+    merged = summary.where(wanted).groupBy(F.lit(0).alias("all")).agg(
         F.sum("rows").alias("rows"),
         F.expr(f"approx_top_k_combine(sketch, {int(tracked)})").alias("sketch"),
     )
-    # No day at all has no sketch to ask.
-    counted = merged.where("rows is not null").select(
+    counted = merged.select(
         "rows", F.explode(F.expr(f"approx_top_k_estimate(sketch, {int(tracked)})")).alias("found")
     )
     most = F.col("found.count") + F.col("rows") * ERROR / tracked

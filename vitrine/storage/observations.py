@@ -171,8 +171,8 @@ def open_observations(spark: SparkSession, path: str) -> Stored:
     name = _name()
     schema = T.StructType.fromJson(json.loads(layout.schema))
     if layout.sliced:
-        schema = schema.add(SLICE, "int")
-    schema = schema.add(_MONTH, "date")
+        schema = schema.add(SLICE, T.IntegerType())
+    schema = schema.add(_MONTH, T.DateType())
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     by = ", ".join(f"`{column}`" for column in layout.by)
     order = ", ".join(f"`{column}`" for column in (*layout.by, layout.time, *layout.tiebreak))
