@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.conftest import DATA
-from vitrine.llm import neighbours, queries, topk
-from vitrine.llm.shared import table
+from vitrine.llm import blocks, neighbours, queries, topk
+from vitrine.llm.shared import materialize, table
 
 
 def held(workers, folder=DATA):
@@ -41,8 +42,6 @@ def test_recall(workers):
 
 def test_forest_alone():
     """Without a bound for small tables: the sorted arrays find most of what is near."""
-    import pyarrow as pa
-
     random = np.random.default_rng(3)
     centres = random.standard_normal((40, 24))
     rows = np.repeat(centres, 25, axis=0) + 0.25 * random.standard_normal((1000, 24))
@@ -113,7 +112,7 @@ def test_odd_vectors(odd):
     found = by_query(neighbours.neighbours(odd, every=100).collect())
     taking_part = {0, 100, 900, 1000, 1001}
     assert set(found) == taking_part - {1001}
-    assert {v for v, _ in found[0]} == taking_part - {0}
+    assert {v for v, _ in found[0]} == taking_part - {0} | {None}
     assert [v for v, _ in found[0]].count(100) == 2
     assert neighbours.neighbours(odd.limit(0)).count() == 0
 
@@ -121,13 +120,41 @@ def test_odd_vectors(odd):
 def test_odd_vectors_exact(odd):
     found = by_query(topk.exact_top(odd, every=100, k=9).collect())
     assert set(found) == {0, 100, 600, 900, 1000}
-    score = lambda a, b: sum(math.floor(256 * x) * math.floor(256 * y) for x, y in zip(a, b))
     clamp = lambda s: min(max(s, -(2**63)), 2**63 - 1)
-    kept = [(i, v) for i, v in VECTORS if i is not None and v and len(v) == 2 and None not in v and all(map(math.isfinite, v))]
+    kept = [(i, v) for i, v in VECTORS if v and len(v) == 2 and None not in v and all(map(math.isfinite, v))]
     exact = lambda v: [int(256 * x) if abs(x) > 1e100 else math.floor(256 * x) for x in v]
     for query in (0, 1000):
         own = exact(dict(kept)[query])
-        best = sorted((-sum(a * b for a, b in zip(own, exact(v))), i) for i, v in kept if i != query)
+        best = sorted(
+            ((-sum(a * b for a, b in zip(own, exact(v))), i) for i, v in kept if i != query),
+            key=lambda found: (found[0], found[1] is None, found[1]),
+        )
         assert found[query] == [(i, clamp(-s)) for s, i in best]
-    assert topk.exact_top(odd.limit(0)).count() == 0
+
+
+def test_a_repeated_id_asks_with_its_least_vector(workers):
+    rows = [(20, [0.0, 1.0]), (20, [1.0, 0.0]), (1, [1.0, 0.5]), (2, [0.5, 1.0])]
+    for order in (rows, rows[::-1]):
+        frame = workers.createDataFrame(order, "vec_id long, embedding array<double>").repartition(3)
+        assert [v for v, _ in by_query(topk.exact_top(frame, every=20).collect())[20]] == [2, 1]
+
+
+def test_equal_rows_spread_over_blocks(workers):
+    """A third of the rows alike: no block holds more than twice its share of them."""
+    rows = workers.range(9000).selectExpr(
+        "if(id % 3 = 0, 0L, id) as id",
+        "if(id % 3 = 0, array(1D, 2D), array(cast(id as double), 1D)) as vector",
+        "2 as dim",
+    )
+    rows = materialize(rows.repartition(5))
+
+    def count(block, asked):
+        return pa.table({"id": [0], "n": [block["id"].to_pylist().count(0)]})
+
+    queries_ = rows.limit(1)
+    held = [r["n"] for r in blocks.meet(rows, queries_, count, "id long, n long").collect()]
+    assert sum(held) == 3000 and max(held) <= 2 * 3000 / len(held)
+
+
+def test_exact_on_nothing(odd):    assert topk.exact_top(odd.limit(0)).count() == 0
     assert score([1.0], [1.0]) == 65536

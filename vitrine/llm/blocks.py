@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 from vitrine.llm.shared import materialize
 
+#: Stands for a null id: greater than all others, and never a query.
+NO_ID = (1 << 63) - 1
 #: Least and most rows of a block, blocks of a table that is neither small nor large, and queries
 #: of a query block.
 LEAST_ROWS, MOST_ROWS, BLOCKS, QUERIES = 1024, 16_384, 16, 4096
@@ -39,8 +41,8 @@ def meet(
 ) -> DataFrame:
     """compare(block of rows, block of queries) for all pairs of blocks of equal `dim`.
 
-    Both sides have (id, vector, dim, ...) and are dealt into blocks by a hash of the whole row. A
-    block of rows has 1,024 rows in small tables and 16,384 in large ones, so that each query gets
+    Both sides have (id, vector, dim, ...) and are dealt into blocks by a hash of the row and the place
+    it is read from, so equal rows spread; they should come from written tables. A block of rows has 1,024 rows in small tables and 16,384 in large ones, so that each query gets
     few partial answers. Rows are copied once for each block of queries, and queries once for each
     block of rows; a task holds one block of each.
     """
@@ -49,7 +51,8 @@ def meet(
     n_queries = max(1, -(-queries.count() // per_query_block))
 
     def dealt(side: DataFrame, own: str, parts: int, other: str, copies: int) -> DataFrame:
-        of = F.pmod(F.xxhash64("id", "vector"), F.lit(parts)).cast("int")
+        place = F.monotonically_increasing_id()
+        of = F.pmod(F.xxhash64("id", "vector", place), F.lit(parts)).cast("int")
         every = F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
         return side.withColumn(own, of).withColumn(other, every)
 
@@ -66,18 +69,19 @@ def meet(
 def nearest(found: DataFrame, k: int) -> DataFrame:
     """Each query's k best (query_id, rank, vec_id, score): best score, then least vec_id."""
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    ranked = found.withColumn("rank", F.row_number().over(best))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    named = F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id")
+    return ranked.select("query_id", "rank", named, "score")
 
 
 def vectors(rows: DataFrame, identity: str, vector: str, more: Column | None = None) -> DataFrame:
-    """(id, vector, dim) of the rows that take part, written once."""
-    taken = finite(F.col(vector)) & F.col(identity).isNotNull()
+    """(id, vector, dim) of the rows that take part, written once. A null id is NO_ID."""
+    taken = finite(F.col(vector))
     if more is not None:
         taken = taken & more
     return materialize(
         rows.filter(taken).select(
-            F.col(identity).cast("long").alias("id"),
+            F.coalesce(F.col(identity).cast("long"), F.lit(NO_ID)).alias("id"),
             F.col(vector).cast("array<double>").alias("vector"),
             F.size(vector).alias("dim"),
         )
@@ -85,8 +89,11 @@ def vectors(rows: DataFrame, identity: str, vector: str, more: Column | None = N
 
 
 def asked(rows: DataFrame, every: int) -> DataFrame:
-    """The queries: rows whose id is divisible by `every`; an id stands for one query."""
-    return rows.filter(F.col("id") % every == 0).dropDuplicates(["id"])
+    """The queries: rows whose id is divisible by `every`. An id is one query, that of its least vector."""
+    rest = [name for name in rows.columns if name != "id"]
+    named = rows.filter((F.col("id") % every == 0) & (F.col("id") != NO_ID))
+    least = named.groupBy("id").agg(F.min_by(F.struct(*rest), F.struct("dim", "vector")).alias("row"))
+    return least.select("id", *[F.col(f"row.{name}") for name in rest])
 
 
 def best_of(

@@ -149,9 +149,10 @@ def neighbours(
     (see search_block). A query goes up until the rows it met, in all trees together, are `share`
     of the block's rows, and about `enough` over all blocks; this sets recall against cost.
 
-    Rows without an id, and vectors that are null, zero or hold null or non-finite components take
-    no part. Vectors meet those of equal dimension only. A repeated id is one query; its other rows
-    are not its candidates, but they are candidates of others, each row for itself. With fewer
+    Vectors that are null, zero or hold null or non-finite components take no part. A row without an
+    id is a candidate, after all others in ties, with a null vec_id, and no query. Vectors meet those
+    of equal dimension only. A repeated id is one query, that of its least vector; its other rows are
+    not its candidates, but they are candidates of others, each row for itself. With fewer
     candidates than k all that are found are returned; an empty table gives an empty result.
     """
     held = vectors(rows, identity, vector, F.exists(vector, lambda x: x != 0))

@@ -180,8 +180,9 @@ def pack(
     numbered as group * 2^32 + bin. No row may be longer than `capacity`.
 
     The rows are shuffled as they are: give lengths and ids of pieces, not their tokens. Null
-    identities and repeated rows are rows like others (equal rows go to the same group). An empty
-    table gives an empty result. Columns named sequence_id or offset are replaced.
+    identities and repeated rows are rows like others: where a row lies in the written table takes
+    part in the hash, so equal rows spread over all groups. An empty table gives an empty result.
+    Columns named sequence_id or offset are replaced.
     """
     rows = rows.drop("sequence_id", "offset")
     (dealt,) = fresh(rows, "dealt")
@@ -196,7 +197,8 @@ def pack(
         held = held.append_column("sequence_id", pa.array(where + (key[0].as_py() << 32)))
         return held.append_column("offset", pa.array(offset))
 
-    of = F.pmod(F.xxhash64(F.lit(seed), *identity), F.lit(groups)).cast("long")
+    place_read = F.monotonically_increasing_id()
+    of = F.pmod(F.xxhash64(F.lit(seed), *identity, place_read), F.lit(groups)).cast("long")
     found = rows.withColumn(dealt, of).groupBy(dealt).applyInArrow(place, schema)
     return found
 

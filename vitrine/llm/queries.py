@@ -40,7 +40,39 @@ def query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
-@query("op1_interleaved_shards")
+# DuckDB has no crc32: byte by byte, by a table made of the polynomial.
+SHARDS_SQL = f"""
+WITH made AS (
+  SELECT list(list_reduce(list_prepend(i::UBIGINT, list_transform(range(8), lambda x: 1::UBIGINT)),
+      lambda c, one: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) ORDER BY i) AS tab
+  FROM range(256) t(i)),
+texts AS (SELECT doc_id, source, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS digits FROM documents),
+held AS (
+  SELECT doc_id, source, CAST(strlen(text) + 1 AS BIGINT) AS size,
+    CAST(xor(4294967295::UBIGINT, list_reduce(
+      list_prepend(4294967295::UBIGINT, list_transform(range(strlen(text)),
+        lambda i: CAST('0x' || substr(digits, CAST(2 * i + 1 AS BIGINT), 2) AS UBIGINT))),
+      lambda crc, byte: xor(crc >> 8, tab[CAST((xor(crc, byte) & 255) + 1 AS BIGINT)]))) AS BIGINT) AS text_crc32
+  FROM texts, made),
+mixed AS (
+  SELECT *, md5(concat_ws(':', '17', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(text_crc32 AS VARCHAR))) AS mix,
+    CAST(CAST('0x' || substr(md5(concat_ws(':', '17', 'phase', coalesce(source, ''))), 1, 13) AS UBIGINT) AS DOUBLE)
+      / pow(16, 13) AS phase
+  FROM held),
+shares AS (
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY mix, doc_id NULLS FIRST, text_crc32) - 1 + phase)
+    / count(*) OVER (PARTITION BY source) AS share FROM mixed),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY share, mix, doc_id NULLS FIRST, text_crc32) - 1 AS place,
+    count(*) OVER () AS total FROM shares)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * {SHARDS} // total AS INTEGER) AS shard,
+  CAST(place - (place * {SHARDS} // total * total + {SHARDS - 1}) // {SHARDS} AS BIGINT) AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard
+FROM placed
+"""
+
+
+@query("op1_interleaved_shards", SHARDS_SQL)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = table(spark, folder, "documents").select(
@@ -171,7 +203,21 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op8_branch_and_bound")
+TOP_SQL = """
+WITH held AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS whole FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.whole, b.whole) AS BIGINT) AS score
+  FROM held a JOIN held b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(nth AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS nth FROM scored)
+WHERE nth <= 5
+"""
+
+
+@query("op8_branch_and_bound", TOP_SQL)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return topk.exact_top(table(spark, folder, "embeddings").select("vec_id", "embedding"))
 

@@ -21,6 +21,8 @@ from vitrine.llm.shared import few_at_once, materialize, tasks
 ANCHOR = 24
 #: Bytes of text in a block, blocks whose anchors make up a bucket, and blocks handed to Python at once.
 BLOCK, PER_BUCKET, AT_ONCE = 1 << 20, 16, 16
+#: Strings written out at once.
+CHUNK = 1 << 16
 #: Documents that hold an anchor from which on its windows are looked up one by one.
 CROWD = 2000
 _LAST = np.iinfo(np.int64).max
@@ -75,6 +77,27 @@ def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], kinds
 
 
+def _distinct_at(
+    raw: np.ndarray, places: np.ndarray, width: int, hashes: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """The same for the strings at some places of a text, given their hashes, without writing them out."""
+    if not len(places):
+        return places, places
+    order = np.argsort(hashes, kind="stable")
+    at, h = places[order], hashes[order]
+    strings = sliding_window_view(raw, width)
+    new = np.ones(len(at), dtype=bool)
+    for start in range(1, len(at), CHUNK):
+        stop = min(start + CHUNK, len(at))
+        same = h[start:stop] == h[start - 1 : stop - 1]
+        new[start:stop] = ~same
+        some = start + np.flatnonzero(same)
+        new[some] = (strings[at[some]] != strings[at[some - 1]]).any(axis=1)
+    kinds = np.empty(len(at), dtype=np.int64)
+    kinds[order] = np.cumsum(new) - 1
+    return order[new], kinds
+
+
 @dataclass
 class _Text:
     """A block of documents, and its runs: places from which windows share their least anchor."""
@@ -279,6 +302,10 @@ def _shared_anchors(rows: pa.Table, crowd: int) -> pa.Table:
     )
 
 
+def _entry(length: int) -> np.dtype:
+    return np.dtype([*_ENTRY_FIELDS, ("left", "u1", length - ANCHOR), ("right", "u1", length)])
+
+
 class _Contexts:
     """The different surroundings of a block's repeated anchors, bucket by bucket.
 
@@ -288,38 +315,47 @@ class _Contexts:
     """
 
     def __init__(self, block: _Text, anchors: _Anchors, level: np.ndarray, least: np.ndarray, length: int):
-        self.length, self.before = length, length - ANCHOR
-        entry = np.dtype([*_ENTRY_FIELDS, ("left", "u1", self.before), ("right", "u1", length)])
+        self.length = length
         of_run = level[anchors.kind] if len(anchors.kind) else np.zeros(0, dtype=np.uint8)
         speaks = block.ids[anchors.doc] == least[anchors.doc]
         some, crowd = np.flatnonzero((of_run == 1) & speaks), np.flatnonzero((of_run == 2) & speaks)
         at, begin, end = anchors.at[some], anchors.begin[some], anchors.end[some]
+        rows = self._rows(block.raw, anchors.hash[some], at, at - begin, end + length - at)
+        index, kinds = _distinct(_bytes(rows))
         counts = anchors.end[crowd] - anchors.begin[crowd] + 1
         first = np.repeat(anchors.begin[crowd] - (np.cumsum(counts) - counts), counts)
         single = first + np.arange(int(counts.sum()))
-        keys = anchors.hash[some]
-        if len(single):
-            keys = np.concatenate([keys, _grams(block.raw, length)[single]])
+        keys = _grams(block.raw, length)[single] if len(single) else single.astype(np.uint64)
+        windows, window_kinds = _distinct_at(block.raw, single, length, keys)
+        none = np.zeros(len(windows), dtype=np.int64)
+        more = self._rows(block.raw, keys[windows], single[windows], none, none + length)
+        self.entries = np.concatenate([rows[index], more])
+        self.kind = np.concatenate([kinds, window_kinds + len(index)])
         self.at = np.concatenate([at, single]).astype(np.int64)
         self.doc = np.concatenate([anchors.doc[some], np.repeat(anchors.doc[crowd], counts)]).astype(np.int64)
-        l = np.concatenate([at - begin, np.zeros(len(single), dtype=np.int64)])
-        r = np.concatenate([end + length - at, np.full(len(single), length)])
-        wide = sliding_window_view(
-            np.concatenate([np.zeros(self.before, np.uint8), block.raw, np.zeros(length, np.uint8)]),
-            self.before + length,
-        )[self.at]
-        rows = np.zeros(len(self.at), dtype=entry)
-        rows["key"], rows["l"], rows["r"] = keys, l, r
-        rows["left"] = wide[:, : self.before][:, ::-1] * (np.arange(self.before) < l[:, None])
-        rows["right"] = wide[:, self.before :] * (np.arange(length) < r[:, None])
-        index, self.kind = _distinct(_bytes(rows))
         ids = block.ids[self.doc]
-        least_id, greatest = np.full(len(index), _LAST), np.full(len(index), -(1 << 63))
+        n = len(self.entries)
+        least_id, greatest = np.full(n, _LAST), np.full(n, -(1 << 63))
         np.minimum.at(least_id, self.kind, ids)
         np.maximum.at(greatest, self.kind, ids)
-        self.entries = rows[index]
         self.entries["first"], self.entries["last"] = least_id, greatest
 
+    def _rows(
+        self, raw: np.ndarray, keys: np.ndarray, at: np.ndarray, l: np.ndarray, r: np.ndarray
+    ) -> np.ndarray:
+        """Entries with l bytes before the places and r from them on."""
+        length, before = self.length, self.length - ANCHOR
+        rows = np.zeros(len(at), dtype=_entry(length))
+        rows["key"], rows["l"], rows["r"] = keys, l, r
+        padded = np.concatenate([np.zeros(before, np.uint8), raw, np.zeros(length, np.uint8)])
+        around = sliding_window_view(padded, before + length)
+        for start in range(0, len(at), CHUNK):
+            part = slice(start, start + CHUNK)
+            wide = around[at[part]]
+            rows["left"][part] = wide[:, :before][:, ::-1] * (np.arange(before) < l[part, None])
+            rows["right"][part] = wide[:, before:] * (np.arange(length) < r[part, None])
+        return rows
+
     def by_bucket(self, buckets: int) -> dict[int, np.ndarray]:
         return _Anchors._by_bucket(_bucket(self.entries["key"], buckets))
 
@@ -381,9 +417,7 @@ def _by_window(entries: np.ndarray, first: np.ndarray, length: int) -> np.ndarra
 
 def _first_holders(rows: pa.Table, length: int) -> pa.Table:
     """For a bucket: entries some of whose windows an earlier document holds, and from which id on."""
-    before = length - ANCHOR
-    entry = np.dtype([*_ENTRY_FIELDS, ("left", "u1", before), ("right", "u1", length)])
-    parts = [np.frombuffer(x, dtype=entry) for x in rows["entries"].to_pylist()]
+    parts = [np.frombuffer(x, dtype=_entry(length)) for x in rows["entries"].to_pylist()]
     sizes = np.array(list(map(len, parts)))
     all_ = np.concatenate(parts)
     last = all_["last"]

@@ -101,10 +101,10 @@ def exact_top(
     """(query_id, rank, vec_id, score): the k greatest integer inner products, exactly.
 
     Components become floor(scale * x). All rows are searched for each row whose id `every`
-    divides, in blocks of about 1,024 rows held by dimension (see top).
+    divides, in blocks of 1,024 to 16,384 rows held by dimension (see top).
 
-    Rows without an id, and vectors that are null or hold null or non-finite components take no
-    part. Vectors meet those of equal dimension only; empty ones meet with score 0. A repeated id is
+    Vectors that are null or hold null or non-finite components take no part. A row without an id is
+    a candidate, after all others in ties, with a null vec_id, and no query. Vectors meet those of equal dimension only; empty ones meet with score 0. A repeated id is
     one query; rows of its id are not its candidates. Numbers too large for doubles are added as
     integers of any size, without bounds; a score beyond 64 bits is given as the nearest long. An
     empty table gives an empty result.
