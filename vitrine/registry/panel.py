@@ -180,9 +180,9 @@ def win_stock_change_streamed(t: Tables):
     given = t.table("lineitem").schema
     mark = [f"cast({_END.get(f.name, 'null')} as {f.dataType.simpleString()}) as {f.name}" for f in given]
     t.spark.range(1).selectExpr(*mark).write.parquet(f"{base}/end")
-    reader = t.spark.readStream.schema(given)
-    lines = reader.option("pathGlobFilter", "lineitem.parquet").parquet(t.folder)
-    rows = t.as_observations(lines.unionByName(reader.parquet(f"{base}/end")))
+    lines = t.spark.readStream.schema(given).option("pathGlobFilter", "lineitem.parquet").parquet(t.folder)
+    end = t.spark.readStream.schema(given).parquet(f"{base}/end")
+    rows = t.as_observations(lines.unionByName(end))
     readable = rows.select(
         "url_id", "created", *TIE, to_number(F.col("available_quantity")).alias("quantity")
     ).where(F.col("quantity").isNotNull())
