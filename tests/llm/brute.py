@@ -179,12 +179,16 @@ def aligned(rows, one, two):
                         at += len(piece)
                         here.append(at)
                     ends.append(here)
-                low = 0
-                for end in sorted(set(ends[0]) & set(ends[1])):
-                    groups.append(
-                        [[i for (i, _), e in zip(side, at) if low < e <= end] for side, at in zip((a, b), ends)]
-                    )
-                    low = end
+                shared = set(ends[0]) & set(ends[1])
+                cut = []
+                for side, at in zip((a, b), ends):
+                    runs = [[]]
+                    for (i, _), end in zip(side, at):
+                        runs[-1].append(i)
+                        if end in shared:
+                            runs.append([])
+                    cut.append(runs[:-1])
+                groups = [list(pair) for pair in zip(*cut)]
         links = Counter((x, y) for left, right in groups for x in left for y in right)
         count.update(links.keys())
         found.append((doc, n_a, n_b, groups, links))

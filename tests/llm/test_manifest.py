@@ -49,7 +49,7 @@ def test_trees(workers, fanout, depth):
 
 
 def test_no_joins_in_a_block(workers):
-    nodes = workers.range(100).selectExpr("0 as tree", "id as place", "struct('x' as hash, id as item) as node")
+    nodes = workers.range(100).selectExpr("id % 2 as tree", "id as place", "struct('x' as hash, id as item) as node")
     plan = manifest._nested(nodes, 3, 3)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
 

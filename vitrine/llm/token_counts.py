@@ -24,7 +24,7 @@ PIECES, LETTERS, PAIRS = 1_000_000, 20_000_000, 400_000
 
 
 #: Ranges of code points that all versions of the Unicode tables class alike; tested.
-SETTLED = "\\x00-\u052f\u1e00-\u1eff\u2000-\u20b0\u2190-\u23cf\u2500-\u27bf\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\ufe0f\U0001f300-\U0001f64f"
+SETTLED = "\\x00-\u052f\u1e00-\u1eff\u2000-\u206f\u20a0-\u20b0\u2190-\u23cf\u2500-\u27bf\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\ufe0f\U0001f300-\U0001f64f"
 
 
 @lru_cache(maxsize=1)
