@@ -207,3 +207,26 @@ def test_components(workers, kind):
     frame = workers.createDataFrame(linked, "a long, b long")
     got = {r["node"]: r["component"] for r in components(frame).collect()}
     assert got == brute.components({n for pair in linked for n in pair}, linked)
+
+
+def test_whole_rows_are_shuffled_once(workers, tmp_path):
+    """Survivors are right where ids and rows repeat; the plan deals rows with their text once."""
+    words = "one two three four five six seven eight nine ten eleven twelve"
+    other = " ".join(reversed(words.split()))
+    rows = [(5, words, "a"), (2, words, "b"), (2, words, "b"), (None, words, "c"), (9, other, "d")]
+    rows += [(None, "alone among all the rest of them here", "e")] * 3 + [(7, None, "f"), (8, "", "g")]
+    path = str(tmp_path / "docs")
+    workers.createDataFrame(rows, "doc_id long, text string, place string").write.parquet(path)
+    kept = simhash.drop_near_duplicates(workers.read.parquet(path))
+    assert kept.columns == ["doc_id", "text", "place"]
+    assert Counter(r["place"] for r in kept.collect()) == Counter("bdef")
+    with_join = workers.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    workers.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = simhash.drop_near_duplicates(workers.read.parquet(path))
+        text = plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        workers.conf.set("spark.sql.autoBroadcastJoinThreshold", with_join)
+    assert text.count("text#") and "LeftSemi" in text
+    above = text[: text.index("LeftSemi")]
+    assert "Exchange" not in above

@@ -40,23 +40,64 @@ def test_recall(workers):
     assert sum(recalls) / len(recalls) >= 0.9
 
 
+def sphere(rows, dims, seed):
+    points = np.random.default_rng(seed).standard_normal((rows, dims))
+    return points / np.linalg.norm(points, axis=1, keepdims=True)
+
+
 def test_forest_alone():
-    """Without a bound for small tables: the sorted arrays find most of what is near."""
-    random = np.random.default_rng(3)
-    centres = random.standard_normal((40, 24))
-    rows = np.repeat(centres, 25, axis=0) + 0.25 * random.standard_normal((1000, 24))
-    strings = neighbours.hash_strings(neighbours._on_sphere(rows, float(np.linalg.norm(rows, axis=1).max())))
-    asks = neighbours.hash_strings(np.hstack([rows, np.zeros((1000, 1))]))
-    block = pa.table({"id": np.arange(1000), "vector": list(rows), "strings": list(strings)})
-    wanted = pa.table({"id": np.arange(0, 1000, 50), "vector": list(rows[::50]), "asks": list(asks[::50])})
-    found = neighbours.search_block(block, wanted, 10, 200).to_pylist()
-    hits = 0
-    for query in range(0, 1000, 50):
+    """No bound for small tables, nothing near but by chance: recall, and the share of rows scored."""
+    rows = sphere(16_384, 64, 3)
+    rows[1::40] = rows[::40][: len(rows[1::40])] + 0.002  # near copies
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    strings = neighbours.hash_strings(neighbours._on_sphere(rows, 1.0))
+    own = np.arange(0, 16_384, 160)
+    asks = neighbours.hash_strings(np.hstack([rows[own], np.zeros((len(own), 1))]))
+    recalls, shares = [], []
+    for query, met in zip(own.tolist(), neighbours.candidates(strings, asks, 1639)):
         scores = rows @ rows[query]
         scores[query] = -np.inf
-        best = set(np.argsort(-scores)[:10].tolist())
-        hits += len(best & {r["vec_id"] for r in found if r["query_id"] == query})
-    assert hits >= 0.85 * 200
+        best = np.argsort(-scores)[:20]
+        recalls.append(np.isin(best, met).mean())
+        shares.append(len(met) / len(rows))
+    assert np.mean(recalls) >= 0.9
+    assert np.mean(shares) < 0.2
+
+
+def test_longest_prefixes_first():
+    """Whatever letters a query ends at, it meets the rows of that prefix in every tree, and no others."""
+    random = np.random.default_rng(5)
+    strings = random.integers(0, 4, (300, neighbours.TREES, neighbours.LETTERS))
+    word = lambda letters: (letters << neighbours.BITS * np.arange(neighbours.LETTERS)[::-1]).sum(-1)
+    for enough in (1, 60, 150, 280, 10**6):
+        found = neighbours.candidates(word(strings).astype(np.int32), word(strings[:20]).astype(np.int32), enough)
+        for query, met in zip(strings[:20], found):
+            for letters in range(neighbours.LETTERS, -1, -1):
+                same = (strings[:, :, :letters] == query[:, :letters]).all(-1)
+                if same.any(1).sum() >= enough or not letters:
+                    break
+            assert met.tolist() == np.flatnonzero(same.any(1)).tolist()
+
+
+def test_copies_do_not_crowd_out(workers):
+    """A third of the rows hold one vector: it counts once, with as many ids as can be wanted."""
+    n = 16_500
+    points = sphere(n, 64, 7)
+    rows = [(i, (points[0] if i % 3 == 0 else points[i]).tolist()) for i in range(n)]
+    frame = workers.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    kept = neighbours.few_copies(blocks.vectors(frame, "vec_id", "embedding"), 20)
+    assert kept.filter("id % 3 = 0").count() == 21
+    assert kept.count() == 21 + 2 * n // 3
+    found = by_query(neighbours.neighbours(frame, every=100, enough=1).collect())
+    vectors = np.array([v for _, v in rows])
+    recalls = []
+    for query, ranked in found.items():
+        scores = np.round(vectors @ vectors[query], 12)
+        best = sorted((i for i in range(n) if i != query), key=lambda i: (-scores[i], i))[:20]
+        recalls.append(len({v for v, _ in ranked} & set(best)) / 20)
+        if query % 3 == 0:
+            assert [v for v, _ in ranked] == best
+    assert len(found) == n // 100 and np.mean(recalls) >= 0.9
 
 
 def test_exact_query(workers):

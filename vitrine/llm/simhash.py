@@ -231,11 +231,20 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """The rows of which one for each component stays: that of the least id (see near_duplicates).
 
-    Of rows that repeat an id with the same text, one stays. Rows without an id come last.
+    Of rows that repeat an id with the same text, one stays. Rows without an id come last. Null and
+    empty texts are copies of each other (fingerprint 0). All columns are kept; an empty table stays
+    empty. Whole rows are shuffled once: the join's key is a hash of id and text, and rows that it
+    has brought together need no second shuffle to leave one of each.
     """
     _, known = classes(docs, max_bits, size, seed, text, identity)
     kept = known.select("first.id", "first.mark").distinct()
-    (mark,) = fresh(docs, "mark")
-    marked = docs.withColumn(mark, F.xxhash64(text))
-    same = marked[identity].eqNullSafe(kept["id"]) & (marked[mark] == kept["mark"])
-    return marked.join(kept, same, "left_semi").dropDuplicates([identity, mark]).drop(mark)
+    kept = kept.withColumn("place", F.xxhash64("id", "mark"))
+    mark, place = fresh(docs, "mark", "place")
+    marked = docs.withColumn(mark, F.xxhash64(F.col(f"`{text}`")))
+    marked = marked.withColumn(place, F.xxhash64(F.col(f"`{identity}`"), F.col(mark)))
+    own = marked[f"`{identity}`"]
+    # Not a key of the join: it would take part in the partitioning.
+    alike = F.coalesce(own == kept["id"], own.isNull() & kept["id"].isNull())
+    same = (marked[place] == kept["place"]) & (marked[mark] == kept["mark"]) & alike
+    survivors = marked.join(kept, same, "left_semi")
+    return survivors.dropDuplicates([place, mark, identity]).drop(mark, place)

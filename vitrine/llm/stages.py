@@ -49,6 +49,7 @@ def clean_lines(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
+    """One document of each group of near copies, that of the least id (see drop_near_duplicates)."""
     return simhash.drop_near_duplicates(docs, max_bits=MAX_BITS, size=SHINGLE)
 
 
