@@ -54,6 +54,29 @@ def test_rules():
         assert not rule.pattern.startswith(" ") and not rule.pattern.endswith(" ")
 
 
+def test_every_sentence_is_found():
+    """A sentence holds its keyword, in normal form, and its own text has its label."""
+    for label, keyword, pattern in licenses.SENTENCES:
+        assert keyword == " ".join(brute.license_words(keyword))
+        # Texts as written, with and without optional parts; lookaheads spelled out, names of one word.
+        spelled = re.sub(r"\(\?=([^()]*)\)", r"\1", pattern)
+        spelled = re.sub(r"\(\?: \[\^ \]\+\)\{0,8\}\?", "", spelled)
+        spelled = re.sub(r"\.\{1,\d\d\}\?|\[\^ \]\+", "someone", spelled)
+        spelled = re.sub(r"\[(.)[^]]*\]", r"\1", spelled)
+        bare = spelled
+        while "(?:" in bare:  # inner groups first
+            bare = re.sub(r"\(\?:[^()]*\)\?", "", bare)
+            bare = re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)(?!\?)", r"\1", bare)
+        while "(?:" in spelled:
+            spelled = re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)\??", r"\1", spelled)
+        for text in {bare, spelled}:
+            text = text.replace("?", "").strip()
+            assert keyword in text, (keyword, text)
+            assert re.search(rf"(?<= ){pattern}(?= )", f" {text} "), text
+    written = len(licenses.PHRASES) + len(licenses.SENTENCES) + len(licenses.SPDX)
+    assert written >= 200
+
+
 def test_query(workers):
     docs = {r["doc_id"]: r["text"] for r in table(workers, DATA, "documents").collect()}
     rows = queries.QUERIES["op7_license_signatures"](workers, DATA).collect()
@@ -79,6 +102,19 @@ SPELLINGS = [
     ("You may not use this file except in compliance with the License.", ["apache"]),
     ("altered source versions must be plainly marked as such, and must not be\n misrepresented as being the original software", ["zlib"]),
     ("gplus and eclair, mplayer 2", []),
+    ("// SPDX-License-Identifier: MIT", ["mit"]),
+    ("# SPDX-License-Identifier: GPL-2.0-or-later", ["gpl-2.0"]),
+    ("SPDX-License-Identifier: BSD-3-Clause", ["bsd-3-clause"]),
+    ("SPDX-License-Identifier: ISC */", ["isc"]),
+    ("SPDX-License-Identifier: LGPL-2.1-only", ["lgpl-2.1"]),
+    ("SPDX-License-Identifier: Nothing-1.0", []),
+    ("Licensed under the Apache License, Version 2.0 (the \"License\");", ["apache-2.0"]),
+    ("This work is licensed under a Creative Commons Attribution 4.0 licence", ["creative-commons", "cc-by-4.0"]),
+    ("under the Apache License v2.0 with LLVM Exceptions.", ["apache-2.0", "llvm-exception"]),
+    ("under the terms of the GNU Free Documentation License, Version 1.3", ["gfdl-1.3"]),
+    ("This software is based in part on the work of the Independent JPEG Group.", ["ijg"]),
+    ("The Software shall be used for Good, not Evil.", ["json"]),
+    ("If you create a document which uses this font", []),
 ]
 
 

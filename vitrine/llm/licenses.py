@@ -151,11 +151,211 @@ PHRASES = (
     ("agpl", " agpl ", "(?:gnu )?agpl", 0.6),
 )
 
+#: Sentences of licenses and of exceptions to them, as (label, keyword, regex).
+SENTENCES = (
+    ("mit", "the software is provided as is without warranty of any kind", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
+    ("mit", "to deal in the software without restriction", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "in an action of contract tort or otherwise arising from", "whether in an action of contract tort or otherwise arising from out of or in connection with the software"),
+    ("mit-0", "to permit persons to whom the software is furnished to do so the software is provided", "to permit persons to whom the software is furnished to do so the software is provided as is"),
+    ("x11", "shall not be used in advertising or otherwise to promote the sale", "the name of .{1,80}? shall not be used in advertising or otherwise to promote the sale use or other dealings in this software"),
+    ("isc", "the author disclaims all warranties with regard to this software", "the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("isc", "the software is provided as is and", "the software is provided as is and .{1,60}? disclaims all warranties with regard to this software"),
+    ("0bsd", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("bsd", "this software is provided by the copyright holders and contributors", "this software is provided by the copyright holders and contributors as is and any express or implied warranties"),
+    ("bsd", "this software is provided by the regents and contributors", "this software is provided by the regents and contributors as is and any express or implied warranties"),
+    ("bsd", "in no event shall the copyright", "in no event shall the copyright (?:holder|owner)s? or contributors be liable for any direct indirect incidental special exemplary or consequential damages"),
+    ("bsd-3-clause-clear", "no express or implied licenses to any party s patent rights", "no express or implied licenses to any party s patent rights are granted by this license"),
+    ("bsd-4-clause", "this product includes software developed by", "this product includes software developed by(?: the)? [^ ]+(?: [^ ]+){0,8}?(?= and its contributors)"),
+    ("bsd-2-clause-views", "the views and conclusions contained in the software", "the views and conclusions contained in the software and documentation are those of the authors and should not be interpreted as representing official policies"),
+    ("apache-2.0", "licensed under the apache license", "licensed under the apache license version 2 0 the license"),
+    ("apache", "see the license for the specific language governing permissions", "see the license for the specific language governing permissions and limitations under the license"),
+    ("apache", "you may obtain a copy of the license at", "you may obtain a copy of the license at (?:https? )?www apache org licenses license 2 0"),
+    ("apache", "terms and conditions for use reproduction and distribution", "terms and conditions for use reproduction and distribution 1 definitions license shall mean"),
+    ("apache", "licensed to the apache software foundation", "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-1.1", "this product includes software developed by the apache software foundation", "this product includes software developed by the apache software foundation"),
+    ("apache-1.1", "products derived from this software may not be called apache", "products derived from this software may not be called apache nor may apache appear in their name"),
+    ("llvm-exception", "llvm exceptions to the apache", "llvm exceptions to the apache 2 0 license"),
+    ("llvm-exception", "with llvm exceptions", "with llvm exceptions"),
+    ("gpl", "this program is distributed in the hope that it will be useful", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of"),
+    ("gpl", "you should have received a copy of the gnu general public license", "you should have received a copy of the gnu general public license along with this program"),
+    ("gpl", "the licenses for most software", "the licenses for most software (?:and other practical works )?are designed to take away your freedom to share and change"),
+    ("gpl", "everyone is permitted to copy and distribute verbatim copies", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("gpl", "each time you redistribute the program", "each time you redistribute the program or any work based on the program the recipient automatically receives a license"),
+    ("gpl-3", "the gnu general public license is a free copyleft license", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl-3", "basic permissions all rights granted under this license", "basic permissions all rights granted under this license are granted for the term of copyright on the program"),
+    ("gpl-3", "conveying under any other circumstances is permitted solely", "conveying under any other circumstances is permitted solely under the conditions stated below"),
+    ("classpath-exception", "linking this library statically or dynamically", "linking this library statically or dynamically with other modules is making a combined work based on this library"),
+    ("classpath-exception", "regardless of the license terms of these independent modules", "as a special exception the copyright holders of this library give you permission to link this library with independent modules to produce an executable regardless of the license terms of these independent modules"),
+    ("gcc-exception", "gcc runtime library exception", "gcc runtime library exception(?: version 3 1)?"),
+    ("gcc-exception", "you have permission to propagate a work of target code", "you have permission to propagate a work of target code formed by combining the runtime library with independent modules"),
+    ("bison-exception", "you may create a larger work that contains part or all of the bison parser skeleton", "as a special exception you may create a larger work that contains part or all of the bison parser skeleton"),
+    ("autoconf-exception", "configuration script generated by autoconf", "(?:if you distribute this file as part of a program that contains a )?configuration script generated by autoconf"),
+    ("openssl-exception", "permission to link the code of", "permission to link the code of .{1,80}? with the openssl (?:project s openssl )?library"),
+    ("linux-syscall-note", "user programs that use kernel services by normal system calls", "this copyright does not cover user programs that use kernel services by normal system calls"),
+    ("font-exception", "if you create a document which uses this font", "if you create a document which uses this font and embed this font or unaltered portions of this font into the document"),
+    ("lgpl", "this library is distributed in the hope that it will be useful", "this library is distributed in the hope that it will be useful but without any warranty"),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license", "you should have received a copy of the gnu lesser general public license along with this (?:library|program)"),
+    ("lgpl", "incorporates the terms and conditions of version 3 of the gnu general public license", "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license"),
+    ("agpl", "remote network interaction", "remote network interaction use with the gnu general public license"),
+    ("agpl", "you should have received a copy of the gnu affero general public license", "you should have received a copy of the gnu affero general public license along with this program"),
+    ("agpl", "if you modify the program your modified version must prominently offer", "if you modify the program your modified version must prominently offer all users interacting with it remotely"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document", "permission is granted to copy distribute and or modify this document under the terms of(?= the gnu free documentation license)"),
+    ("gfdl", "with no invariant sections", "with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl", "incompatible with secondary licenses", "this source code form is incompatible with secondary licenses as defined by the mozilla public license v 2 0"),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-1.1", "alternatively the contents of this file may be used under the terms of", "alternatively the contents of this file may be used under the terms of either"),
+    ("npl", "the contents of this file are subject to the netscape public license", "the contents of this file are subject to the netscape public license"),
+    ("cddl", "the contents of this file are subject to the terms of the common development", "the contents of this file are subject to the terms of(?= the common development and distribution license)"),
+    ("epl", "recipient s acceptance of this agreement", "any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement"),
+    ("epl-2.0", "this source code may also be made available under the following secondary licenses", "this source code may also be made available under the following secondary licenses"),
+    ("cpl", "the accompanying program is provided under the terms of this common public license", "the accompanying program is provided under the terms of this common public license"),
+    ("ipl", "the accompanying program is provided under the terms of this ibm public license", "the accompanying program is provided under the terms of this ibm public license"),
+    ("eupl", "licensed under the eupl", "licensed under the(?= eupl)"),
+    ("artistic", "the intent of this document is to state the conditions under which a package may be copied", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic-2.0", "this license establishes the terms under which a given free software package", "this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed"),
+    ("perl", "the same terms as perl itself", "(?:under )?the same terms as perl itself"),
+    ("bsl-1.0", "distributed under the boost software license", "distributed under the boost software license version 1 0"),
+    ("bsl", "must be included in all copies of the software in whole or in part", "must be included in all copies of the software in whole or in part and all derivative works of the software"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("zlib", "an acknowledgment in the product documentation would be appreciated", "if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required"),
+    ("libpng", "this code is released under the libpng license", "this code is released under the libpng license"),
+    ("libtiff", "in no event shall sam leffler or silicon graphics be liable", "in no event shall sam leffler or silicon graphics be liable"),
+    ("ijg", "this software is based in part on the work of the independent jpeg group", "this software is based in part on the work of the independent jpeg group"),
+    ("curl", "except as contained in this notice the name of a copyright holder", "except as contained in this notice the name of a copyright holder shall not be used in advertising"),
+    ("openssl", "this product includes software developed by the openssl project", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("ssleay", "this product includes cryptographic software written by eric young", "this product includes cryptographic software written by eric young"),
+    ("ofl-1.1", "this font software is licensed under the sil open font license", "this font software is licensed under the sil open font license version 1 1"),
+    ("ofl", "the goals of the open font license", "the goals of the open font license ofl are to stimulate worldwide development of collaborative font projects"),
+    ("python", "python software foundation license version 2", "(?:the )?python software foundation license version 2"),
+    ("python", "psf is making python available to licensee on an as is basis", "psf is making python available to licensee on an as is basis"),
+    ("php", "this product includes php software freely available from", "this product includes php software freely available from(?: https?)? (?:www )?php net"),
+    ("ruby", "you may make and give away verbatim copies of the source form of the software", "you may make and give away verbatim copies of the source form of the software without restriction"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("ncsa", "university of illinois ncsa open source license", "(?:the )?university of illinois ncsa open source license"),
+    ("unicode", "unicode inc license agreement", "unicode inc license agreement data files and software"),
+    ("w3c", "notice and license", "w3c software (?:and document )?notice and license"),
+    ("vim", "there are no restrictions on distributing unmodified copies of vim", "there are no restrictions on distributing unmodified copies of vim"),
+    ("sqlite-blessing", "may you do good and not evil", "may you do good and not evil may you find forgiveness for yourself and forgive others"),
+    ("json", "the software shall be used for good not evil", "the software shall be used for good not evil"),
+    ("unlicense", "in jurisdictions that recognize copyright laws", "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain"),
+    ("unlicense", "for more information please refer to", "for more information please refer to(?: https?)? unlicense org"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed"),
+    ("cc0", "to the extent possible under law", "to the extent possible under law .{1,80}? waived all copyright"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("public-domain-mark", "this work has been identified as being free of known restrictions", "this work has been identified as being free of known restrictions under copyright law"),
+    ("creative-commons", "the work as defined below is provided under the terms of this creative commons public license", "the work as defined below is provided under the terms of this creative commons public license"),
+    ("creative-commons", "by exercising the licensed rights", "by exercising the licensed rights defined below you accept and agree to be bound by the terms and conditions of this creative commons"),
+    ("creative-commons", "this work is licensed under a creative commons", "this work is licensed under a(?= creative commons)"),
+    ("odbl", "the open database license odbl is a license agreement", "the open database license odbl is a license agreement intended to allow users to freely share modify and use this database"),
+    ("odc-by", "open data commons attribution license", "(?:the )?open data commons attribution license(?: v?1 0)?"),
+    ("ogl", "contains public sector information licensed under the open government", "contains public sector information licensed under the open government licen[sc]e(?: v[123] 0)?"),
+    ("ms-pl", "this license governs use of the accompanying software", "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("ms-rl", "reciprocal grants for any file you distribute", "reciprocal grants for any file you distribute that contains code from the software"),
+    ("osl-3.0", "licensed under the open software license version", "licensed under the open software license version 3 0"),
+    ("busl", "the licensor hereby grants you the right to copy modify create derivative works", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("elastic", "you may not provide the software to third parties as a hosted or managed service", "you may not provide the software to third parties as a hosted or managed service"),
+    ("commons-clause", "the license does not grant to you the right to sell the software", "(?:the grant of rights under )?the license (?:will not include and the license )?does not grant to you the right to sell the software"),
+    ("polyform", "the licensor grants you a copyright license for the software", "the licensor grants you a copyright license for the software to do everything you might do with the software"),
+    ("beerware", "you can buy me a beer in return", "if we meet some day and you think this stuff is worth it you can buy me a beer in return"),
+    ("proprietary", "unauthorized copying of this file", "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", "no part of this publication may be reproduced", "no part of this publication may be reproduced (?:distributed )?(?:stored in a retrieval system )?or transmitted in any form"),
+    ("proprietary", "by installing copying or otherwise using the software", "by installing copying or otherwise using the software you agree to be bound by the terms"),
+)
+
+#: What may stand behind "SPDX-License-Identifier:", as (label, words).
+SPDX = (
+    ("0bsd", "0bsd"),
+    ("afl-3.0", "afl 3 0"),
+    ("agpl-3.0", "agpl 3 0 only"),
+    ("agpl-3.0", "agpl 3 0 or later"),
+    ("apache-1.1", "apache 1 1"),
+    ("apache-2.0", "apache 2 0"),
+    ("artistic-1.0", "artistic 1 0"),
+    ("artistic-2.0", "artistic 2 0"),
+    ("beerware", "beerware"),
+    ("blueoak-1.0.0", "blueoak 1 0 0"),
+    ("bsd-1-clause", "bsd 1 clause"),
+    ("bsd-2-clause", "bsd 2 clause"),
+    ("bsd-2-clause-patent", "bsd 2 clause patent"),
+    ("bsd-3-clause", "bsd 3 clause"),
+    ("bsd-3-clause-clear", "bsd 3 clause clear"),
+    ("bsd-4-clause", "bsd 4 clause"),
+    ("bsl-1.0", "bsl 1 0"),
+    ("busl-1.1", "busl 1 1"),
+    ("cc-by-4.0", "cc by 4 0"),
+    ("cc-by-sa-4.0", "cc by sa 4 0"),
+    ("cc-by-nc-4.0", "cc by nc 4 0"),
+    ("cc0-1.0", "cc0 1 0"),
+    ("cddl-1.0", "cddl 1 0"),
+    ("cddl-1.1", "cddl 1 1"),
+    ("cecill-2.1", "cecill 2 1"),
+    ("cpl-1.0", "cpl 1 0"),
+    ("curl", "curl"),
+    ("ecl-2.0", "ecl 2 0"),
+    ("elastic-2.0", "elastic 2 0"),
+    ("epl-1.0", "epl 1 0"),
+    ("epl-2.0", "epl 2 0"),
+    ("eupl-1.2", "eupl 1 2"),
+    ("gfdl-1.3", "gfdl 1 3 only"),
+    ("gfdl-1.3", "gfdl 1 3 or later"),
+    ("gpl-1.0", "gpl 1 0 or later"),
+    ("gpl-2.0", "gpl 2 0"),
+    ("gpl-2.0", "gpl 2 0 only"),
+    ("gpl-2.0", "gpl 2 0 or later"),
+    ("gpl-3.0", "gpl 3 0"),
+    ("gpl-3.0", "gpl 3 0 only"),
+    ("gpl-3.0", "gpl 3 0 or later"),
+    ("hpnd", "hpnd"),
+    ("ijg", "ijg"),
+    ("ipl-1.0", "ipl 1 0"),
+    ("isc", "isc"),
+    ("lgpl-2.0", "lgpl 2 0 only"),
+    ("lgpl-2.1", "lgpl 2 1"),
+    ("lgpl-2.1", "lgpl 2 1 only"),
+    ("lgpl-2.1", "lgpl 2 1 or later"),
+    ("lgpl-3.0", "lgpl 3 0"),
+    ("lgpl-3.0", "lgpl 3 0 only"),
+    ("lgpl-3.0", "lgpl 3 0 or later"),
+    ("libpng-2.0", "libpng 2 0"),
+    ("mit", "mit"),
+    ("mit-0", "mit 0"),
+    ("mpl-1.1", "mpl 1 1"),
+    ("mpl-2.0", "mpl 2 0"),
+    ("ms-pl", "ms pl"),
+    ("ms-rl", "ms rl"),
+    ("mulanpsl-2.0", "mulanpsl 2 0"),
+    ("ncsa", "ncsa"),
+    ("odbl-1.0", "odbl 1 0"),
+    ("ofl-1.1", "ofl 1 1"),
+    ("openssl", "openssl"),
+    ("osl-3.0", "osl 3 0"),
+    ("php-3.01", "php 3 01"),
+    ("postgresql", "postgresql"),
+    ("psf-2.0", "psf 2 0"),
+    ("python-2.0", "python 2 0"),
+    ("qpl-1.0", "qpl 1 0"),
+    ("ruby", "ruby"),
+    ("sspl-1.0", "sspl 1 0"),
+    ("unicode-3.0", "unicode 3 0"),
+    ("unlicense", "unlicense"),
+    ("upl-1.0", "upl 1 0"),
+    ("vim", "vim"),
+    ("w3c", "w3c"),
+    ("wtfpl", "wtfpl"),
+    ("x11", "x11"),
+    ("zlib", "zlib"),
+    ("zpl-2.1", "zpl 2 1"),
+)
+
 
 def rules() -> tuple[Rule, ...]:
     """All signatures in order: whole sentences, versions, names, short identifiers, mentions."""
     out: list[Rule] = []
     out += [Rule(label, key, text, trust) for label, key, text, trust in PHRASES if trust == 1.0]
+    out += [Rule(label, key, text, 1.0) for label, key, text in SENTENCES]
+    for label, words in SPDX:
+        out.append(Rule(label, "spdx license identifier", rf"spdx license identifier {words}", 1.0))
     for label, key, name, versions in VERSIONED:
         for version in versions:
             short = version.removesuffix(" 0")
@@ -364,5 +564,5 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
 
 def _stems(keywords: list[str]) -> list[str]:
     """A few texts of which every keyword holds one: the first gate."""
-    common = ["licen", " cc ", "creative commons", "creativecommons", "permission", "copyright"]
+    common = ["licen", " cc ", "creative commons", "creativecommons", "permission", "copyright", "software"]
     return common + [key for key in keywords if not any(stem in key for stem in common)]
