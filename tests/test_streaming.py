@@ -2,11 +2,15 @@ from __future__ import annotations
 
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
+
+from pyspark.sql import Row
+from pyspark.sql import types as T
 
 from tests.conftest import OFF, rows_of
 from vitrine.operators.panel import with_previous
 from vitrine.session import work_dir
-from vitrine.streaming.steps import append_steps, previous_in_stream
+from vitrine.streaming.steps import _Steps, append_steps, previous_in_stream
 from vitrine.streaming.sweep import append_new_days
 
 SCHEMA = "url_id string, created timestamp_ntz, price double"
@@ -69,3 +73,76 @@ def test_steps_equal_the_batch_and_survive_restarts(spark):
     frame = spark.createDataFrame([r for r in rows if r[0] and r[1]], STEPS)
     want = with_previous(frame, ["url_id"], "created", ["id"], {"before": "quantity"}, policy=OFF)
     assert rows_of(out) == rows_of(want.select(out.columns))
+
+
+class _Listing:
+    """State and timers of one listing, which count how often they are asked."""
+
+    def __init__(self):
+        self.value, self.rows, self.timers = None, [], set()
+        self.reads = self.registered = 0
+
+    def getValueState(self, name, schema):
+        return SimpleNamespace(get=lambda: self.value, exists=lambda: self.value is not None, update=self._update)
+
+    def getListState(self, name, schema):
+        return SimpleNamespace(
+            get=self._read,
+            exists=lambda: bool(self.rows),
+            appendList=lambda rows: self.rows.extend(rows),
+            put=self._put,
+            clear=lambda: self._put([]),
+        )
+
+    def _update(self, value):
+        self.value = value
+
+    def _put(self, rows):
+        self.rows = list(rows)
+
+    def _read(self):
+        self.reads += 1
+        return iter(list(self.rows))
+
+    def listTimers(self):
+        return iter(sorted(self.timers))
+
+    def registerTimer(self, at):
+        self.registered += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+def test_a_listing_has_one_timer_however_many_rows_wait(spark):
+    """Rows of one firing are stepped together, so state calls don't grow with the rows."""
+    waiting = T.StructType.fromDDL("_at long, id long, quantity double")
+    out = T.StructType.fromDDL("url_id string, _at long, id long, quantity double, _before_quantity double")
+    row = Row("url_id", "_event", "_at", "id", "quantity")
+    listing, steps, given = _Listing(), _Steps(["id"], waiting, out), []
+    steps.init(listing)
+
+    def arrive(*times):
+        rows = [row("u", None, at * 1000, at, float(at)) for at in times]
+        steps.handleInputRows(("u",), iter(rows), None)
+
+    def pass_to(watermark):
+        now = SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark)
+        for at in sorted(t for t in listing.timers if t < watermark):
+            fired = SimpleNamespace(getExpiryTimeInMs=lambda at=at: at)
+            given.extend(steps.handleExpiredTimer(("u",), now, fired))
+            listing.deleteTimer(at)
+
+    arrive(*range(1000, 0, -1))
+    arrive(5000, 2000)
+    pass_to(1)
+    assert (given, listing.timers) == ([], {1})
+    pass_to(2000)  # a row of the watermark's millisecond still waits
+    assert [r[2] for r in given] == list(range(1, 1001)) and listing.timers == {2000}
+    arrive(2000, 3000)
+    pass_to(9000)
+    assert [r[2] for r in given[1000:]] == [2000, 2000, 3000, 5000] and not listing.timers and not listing.rows
+    before = [None, *(r[3] for r in given[:-1])]
+    assert [r[4] for r in given] == before
+    assert listing.reads == 2 and listing.registered == 2

@@ -26,10 +26,11 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 
 
 class _Steps(StatefulProcessor):
-    """One listing: rows wait by time, and are stepped when their timer fires."""
+    """One listing: rows wait by time. Its only timer is that of the first row that waits; when it
+    fires, all rows that the watermark has passed are stepped."""
 
     def __init__(self, order: Sequence[str], waiting: T.StructType, out: T.StructType):
-        self.ordered, self.schema, self.out = 1 + len(order), waiting, out.names
+        self.ordered, self.schema, self.out = 1 + len(order), waiting, Row(*out.names)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -37,31 +38,38 @@ class _Steps(StatefulProcessor):
         self.waiting = handle.getListState("waiting", self.schema)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        names = self.schema.names
-        arrived = [tuple(row[name] for name in names) for row in rows]
+        # The key and the watermark's column are not kept.
+        arrived = [tuple(row[2:]) for row in rows]
         self.waiting.appendList(arrived)
-        # One timer for each millisecond that rows wait for.
-        for at in {row[0] for row in arrived}:
-            self.handle.registerTimer(at // 1000)
+        first = min(row[0] for row in arrived) // 1000
+        timers = list(self.handle.listTimers())
+        if not timers or first < min(timers):
+            for timer in timers:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        until = expiredTimerInfo.getExpiryTimeInMs()
-        held = [tuple(row) for row in self.waiting.get()] if self.waiting.exists() else []
-        due = [row for row in held if row[0] // 1000 <= until]
+        # A row of the watermark's own millisecond may still come.
+        passed = timerValues.getCurrentWatermarkInMs() - 1
+        until = max(passed, expiredTimerInfo.getExpiryTimeInMs())
+        due, rest = [], []
+        for row in self.waiting.get():
+            (due if row[0] // 1000 <= until else rest).append(tuple(row))
+        if rest:
+            self.handle.registerTimer(min(row[0] for row in rest) // 1000)
         if not due:
             return
-        rest = [row for row in held if row[0] // 1000 > until]
         if rest:
             self.waiting.put(rest)
         else:
             self.waiting.clear()
         n = self.ordered
         due.sort(key=lambda row: tuple((value is not None, value) for value in row[:n]))
-        before = tuple(self.last.get()) if self.last.exists() else None
+        before = self.last.get()
         for row in due:
             earlier = before[n:] if before else (None,) * len(row[n:])
-            yield Row(**dict(zip(self.out, (*key, *row, *earlier))))
+            yield self.out(*key, *row, *earlier)
             before = row
         self.last.update(before)
 
