@@ -94,3 +94,19 @@ def test_a_load_that_broke_off_is_not_read(spark, listings, facts):
     check(store, listings, facts.where("id < 300"), SCOPE, FINAL_RULES)
     store.load(rest)
     check(store, listings, facts, SCOPE, FINAL_RULES)
+
+
+def test_a_load_writes_few_files_however_many_tasks(spark, facts):
+    """Observations are dealt to their periods before they are written, so each period is one file here."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        store = DayStore(spark, work_dir(spark), SCHEMA, ("id",))
+        assert store.load(facts.where("id % 2 = 0")) == 8
+        assert len(store.observations().inputFiles()) == 8
+        assert store.load(facts) == 8
+        assert len(store.observations().inputFiles()) == 16
+    finally:
+        spark.conf.set(key, before)
+    assert rows_of(store.observations()) == rows_of(known(facts))

@@ -184,33 +184,38 @@ class DayStore:
         number = now.number + 1
         key = ["url_id", "created", *self.tiebreak]
         batch = rows.where(F.col("url_id").isNotNull() & F.col("created").isNotNull())
+        paths = now.observations(self.path, _days(batch.select(self._period())))
         batch = batch.select(*self._names).dropDuplicates(key)
-        known = self._observations(now.observations(self.path, _days(batch.select(self._period()))))
-        there = known.select(*[F.col(name).alias(f"_{name}") for name in key])
-        same = F.col("url_id") == F.col("_url_id")
-        for name in key[1:]:
-            same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
+        known = self._observations(paths)
+        if paths:
+            there = known.select(*[F.col(name).alias(f"_{name}") for name in key])
+            same = F.col("url_id") == F.col("_url_id")
+            for name in key[1:]:
+                same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
+            batch = batch.join(there, same, "left_anti")
         part = f"{self.path}/observations/load={number}"
-        fresh = batch.join(there, same, "left_anti").withColumn("period", self._period())
-        fresh.write.mode("overwrite").partitionBy("period").parquet(part)
-        fresh = self.spark.read.schema(self.schema).parquet(part).select(*self._names)
-        periods = _days(fresh.select(self._period()))
+        # By period, so there are as many files as periods and sizes ask for, not one for each task and period.
+        batch = batch.withColumn("period", self._period()).hint("rebalance", "period")
+        batch.write.mode("overwrite").partitionBy("period").parquet(part)
+        periods = self._written(part)
         if not periods:
             return 0
+        fresh = self.spark.read.schema(self.schema).parquet(part).select(*self._names)
         # Of the days touched, the listings with new observations are summed up anew.
-        touched = fresh.select("url_id", F.to_date("created").alias("day")).distinct()
-        history = fresh.unionByName(known).withColumn("day", F.to_date("created"))
-        history = history.join(touched, ["url_id", "day"], "left_semi").drop("day")
+        history, old = fresh, self._days(now.days(self.path, periods))
+        if paths:
+            touched = fresh.select("url_id", F.to_date("created").alias("day")).distinct()
+            days = known.withColumn("day", F.to_date("created"))
+            history = fresh.unionByName(days.join(touched, ["url_id", "day"], "left_semi").drop("day"))
         scope = Scope(as_of=None, targets=None, tiebreak=self.tiebreak)
         facts = clean_facts(history, scope, self.rules.fill, self.rules.strict_quantity)
         made = day_rows(facts, self.tiebreak, self.policy)
-        old = self._days(now.days(self.path, periods))
         if old is not None:
             made = made.unionByName(old.join(touched, ["url_id", "day"], "left_anti"))
         target = f"{self.path}/days/load={number}"
         made = made.withColumn("period", self._period("day"))
         made.hint("rebalance", "period").write.mode("overwrite").partitionBy("period").parquet(target)
-        summed = _days(self.spark.read.schema("period date").parquet(target).select("period"))
+        summed = self._written(target)
         parts, sums = dict(now.parts), dict(now.sums)
         for period in periods:
             parts[period] = [*parts.get(period, []), number]
@@ -230,6 +235,10 @@ class DayStore:
     def _days(self, paths: list[str]) -> DataFrame | None:
         return self.spark.read.parquet(*paths) if paths else None
 
+    def _written(self, path: str) -> set[str]:
+        """The periods of a load, from its folders."""
+        return _days(self.spark.read.schema("period date").parquet(path).select("period"))
+
     def observations(self) -> DataFrame:
         """All observations taken in, each once."""
         return self._observations(self.manifest().observations(self.path))
