@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from sentencepiece import SentencePieceProcessor
@@ -79,3 +80,28 @@ def test_messy(messy, nothing):
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(tuple, got), key=key) == sorted(brute.aligned(rows, *libraries()), key=key)
     assert found(nothing).count() == 0
+
+
+def test_a_known_piece_is_looked_up_once():
+    class Piece(str):
+        hashed = 0
+
+        def __hash__(self):
+            Piece.hashed += 1
+            return str.__hash__(self)
+
+    def encode(pieces):
+        if "!" in pieces:
+            raise ValueError("not to be encoded")
+        return [[ord(piece)] for piece in pieces]
+
+    encoder = alignment.Encoder(lambda text: [Piece(c) for c in text], encode, [bytes([n]) for n in range(128)])
+    texts, want = ["abca", "", "b"], [[97, 98, 99, 97], [], [98]]
+    assert encoder(texts).to_pylist() == want
+    Piece.hashed = 0
+    assert encoder(texts).to_pylist() == want
+    assert Piece.hashed == 5
+    # pieces that could not be encoded leave nothing behind
+    with pytest.raises(ValueError):
+        encoder(["xa!b"])
+    assert encoder(["xb", "a"]).to_pylist() == [[120, 98], [97]]

@@ -32,20 +32,34 @@ FEW = 64
 SPACE = "▁"
 
 
+class _Numbers(dict):
+    """The number of each piece seen; a piece not seen before gets the next one."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        self[piece] = number = len(self)
+        return number
+
+
 class _Known:
     """The number of each piece seen, and the tokens of the numbers."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
         self.encode = encode
-        self.numbers: dict[str, int] = {}
+        self.numbers = _Numbers()
         self.tokens, self.starts = array("i"), array("q", [0])
 
-    def learn(self, pieces: list[str]) -> None:
-        new = list(set(pieces).difference(self.numbers))
-        for piece, tokens in zip(new, self.encode(new)):
-            self.numbers[piece] = len(self.numbers)
+    def learn(self, pieces: list[str]) -> np.ndarray:
+        """The numbers of the pieces, which are looked up once."""
+        numbers = np.fromiter(map(self.numbers.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        new, self.numbers.new = self.numbers.new, []
+        for tokens in self.encode(new):
             self.tokens.extend(tokens)
             self.starts.append(len(self.tokens))
+        return numbers
 
 
 class Encoder:
@@ -68,9 +82,9 @@ class Encoder:
         for text in texts:
             pieces += self.cut(text)
             counts.append(len(pieces))
-        known = self.known
-        known.learn(pieces)
-        numbers = np.fromiter(map(known.numbers.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        known, self.known = self.known, _Known(self.encode)
+        numbers = known.learn(pieces)
+        self.known = known  # not kept if its pieces could not be encoded
         starts, tokens = np.array(known.starts), np.array(known.tokens)
         first = starts[numbers]
         sizes = starts[numbers + 1] - first
