@@ -180,7 +180,8 @@ def win_stock_change_streamed(t: Tables):
     given = t.table("lineitem").schema
     mark = [f"cast({_END.get(f.name, 'null')} as {f.dataType.simpleString()}) as {f.name}" for f in given]
     t.spark.range(1).selectExpr(*mark).write.parquet(f"{base}/end")
-    lines = t.spark.readStream.schema(given).option("pathGlobFilter", "lineitem.parquet").parquet(t.folder)
+    # As a pattern, so the table may be one file or a folder of files.
+    lines = t.spark.readStream.schema(given).parquet(f"{t.folder}/lineitem.parque[t]")
     end = t.spark.readStream.schema(given).parquet(f"{base}/end")
     rows = t.as_observations(lines.unionByName(end))
     readable = rows.select(

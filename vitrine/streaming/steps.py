@@ -4,6 +4,8 @@ The batch form (operators.panel.with_previous) sorts the whole history of a list
 keeps its last stepped observation, and the rows that wait for the watermark. When the watermark has
 passed a row, no earlier one can come any more: it is stepped, in the order of time and tie-break.
 
+Listings are stepped in groups, as Arrow blocks (streaming.groups), or each by itself.
+
 Rule for late rows: a row that arrives after the watermark has passed its time is left out, and no
 step that was given out changes. The watermark is ``delay`` behind the newest row of all listings.
 State and watermark are in the checkpoint, so a run that breaks off goes on where it was.
@@ -21,9 +23,14 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from vitrine.streaming.groups import PACKED, STEPPED, GroupSteps, packed, unpacked
+
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+# Kinds that Arrow tells apart and orders as Spark does.
+_FLAT = (T.IntegralType, T.BooleanType, T.DecimalType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
 
 class _Steps(StatefulProcessor):
     """One listing: rows wait by time. Its only timer is that of the first row that waits; when it
@@ -84,11 +91,17 @@ def previous_in_stream(
     tiebreak: Sequence[str],
     previous: dict[str, str],
     delay: str = "1 day",
+    groups: int | None = 1024,
 ) -> DataFrame:
     """Streamed form of with_previous: for each ``{new: column}`` the value one observation earlier.
 
     Gives key, time, tie-break, the columns of ``previous`` and the new ones. Rows without a key or
     a time have no history and are left out.
+
+    groups: listings are stepped together in so many groups. It must not change while a checkpoint
+        is in use. None steps each listing by itself: its state alone is read when a row is due,
+        which costs less where few listings of very many have rows in a batch. Keys and tie-breaks
+        that Arrow can't order take that way too.
     """
     values = list(dict.fromkeys(previous.values()))
     kinds = {f.name: f.dataType for f in rows.schema}
@@ -96,8 +109,6 @@ def previous_in_stream(
         rows.where(F.col(key).isNotNull() & F.col(time).isNotNull())
         .withColumn("_event", F.col(time).cast("timestamp"))
         .withColumn("_at", F.unix_micros("_event"))
-        .withWatermark("_event", delay)
-        .select(key, "_event", "_at", *tiebreak, *values)
     )
     waiting = T.StructType([T.StructField("_at", T.LongType())])
     for name in (*tiebreak, *values):
@@ -105,14 +116,38 @@ def previous_in_stream(
     out = T.StructType([T.StructField(key, kinds[key]), *waiting.fields])
     for name in values:
         out = out.add(f"_before_{name}", kinds[name])
-    stepped = marked.groupBy(key).transformWithState(
-        _Steps(tiebreak, waiting, out), out, "append", "eventTime"
-    )
+    flat = _flat(kinds[key]) and all(_flat(kinds[name], True) for name in tiebreak)
+    if groups is not None and flat:
+        group = F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("_group")
+        blocks = (
+            marked.select(group, key, "_at", *tiebreak, *values)
+            .mapInArrow(packed(groups), PACKED)
+            .withWatermark("_newest", delay)
+            .groupBy("_group")
+            .transformWithState(
+                GroupSteps(len(tiebreak), len(values)), STEPPED, "append", "eventTime"
+            )
+        )
+        stepped = blocks.mapInArrow(unpacked(out.names), out)
+    else:
+        stepped = (
+            marked.withWatermark("_event", delay)
+            .select(key, "_event", "_at", *tiebreak, *values)
+            .groupBy(key)
+            .transformWithState(_Steps(tiebreak, waiting, out), out, "append", "eventTime")
+        )
     when = F.timestamp_micros("_at").cast(kinds[time]).alias(time)
     new = [F.col(f"_before_{column}").alias(name) for name, column in previous.items()]
     return stepped.select(key, when, *tiebreak, *values, *new)
 
 
+def _flat(kind: T.DataType, order_only: bool = False) -> bool:
+    """Floating numbers can be ordered, but as keys NaN and -0.0 would be told apart."""
+    if isinstance(kind, T.FractionalType) and order_only:
+        return True
+    return isinstance(kind, _FLAT) or kind in (T.StringType(), T.BinaryType())
+
+
 @contextmanager
 def _state_of_many_keys(spark: SparkSession) -> Iterator[None]:
     before = spark.conf.get(_PROVIDER)
